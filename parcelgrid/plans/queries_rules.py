@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from parcelgrid.fixtures import Fixtures, sites_with_ring
 from parcelgrid.functions import geometry as g
 from parcelgrid.operators import edits as ed, metrics as m, pairs as pr, rules as ru, windows as wi
+from parcelgrid.operators import sweeps as sw
 from parcelgrid.operators.prefix import ranked
 from parcelgrid.plans import oracle_forms as o
 from parcelgrid.plans.registry import query, r4
@@ -384,6 +385,15 @@ def candidate_objectives(fx: Fixtures) -> DataFrame:
     return objectives(fx)
 
 
+@query(
+    "a9_pareto_front",
+    _OBJ + """SELECT o.site_id, o.layout_id FROM obj o WHERE NOT EXISTS (SELECT 1 FROM obj b WHERE b.site_id=o.site_id
+      AND b.f1<=o.f1 AND b.f2<=o.f2 AND b.f3<=o.f3 AND b.f4<=o.f4 AND (b.f1<o.f1 OR b.f2<o.f2 OR b.f3<o.f3 OR b.f4<o.f4))""",
+)
+def pareto_front(fx: Fixtures) -> DataFrame:
+    return sw.pareto_front(objectives(fx), 4).select("site_id", "layout_id")
+
+
 @query(
     "a10_pick_scenarios",
     _METRICS + """,
