@@ -108,4 +108,4 @@ def site_ring(w: str = "w", h: str = "h", cut: str = "cut", concave: str = "conc
 
 
 def sites_with_ring(fx: Fixtures) -> DataFrame:
-    return fx.sites.withColumn("ring", site_ring())
+    return g.materialize(fx.sites, ring=site_ring())

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 EPS = 1e-9
 POINT = "struct<x:double,y:double>"
@@ -28,6 +28,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def materialize(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumns`` the optimizer does not see through.
+
+    A filter on a derived column is pushed below its projection as a copy of the whole expression, and copies of
+    copies add up for nested geometry.  Going through a one-element ``explode`` keeps one evaluation per row;
+    predicates and pruning on all other columns still pass.
+    """
+    one = F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))
+    keep = [c for c in df.columns if c not in columns]
+    return df.withColumn("_one", F.explode(one)).select(*keep, *[F.col(f"_one.{k}").alias(k) for k in columns])
+
+
 def empty_ring() -> Column:
     return F.array().cast(RING)
 
@@ -521,7 +533,9 @@ def clip_segment(a: Column, b: Column, ring: Column) -> Column:
         den = rx * sy - ry * sx
         t = F.try_divide((e.p.x - a.x) * sy - (e.p.y - a.y) * sx, den)
         u = F.try_divide((e.p.x - a.x) * ry - (e.p.y - a.y) * rx, den)
-        ok = (F.abs(den) > EPS) & (t > 0) & (t < 1) & (u >= -EPS) & (u <= 1 + EPS)
+        # relative test: a side nearly parallel to the line is no crossing
+        skew = F.abs(den) > EPS * F.hypot(rx, ry) * F.hypot(sx, sy)
+        ok = skew & (t > 0) & (t < 1) & (u >= -EPS) & (u <= 1 + EPS)
         return F.when(ok, F.round(t, 12))
 
     cuts = F.array_sort(

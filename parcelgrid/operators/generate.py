@@ -35,18 +35,16 @@ def grid_candidates(sites: DataFrame, spacing: g.Num, cos: g.Num = 1.0, sin: g.N
     """
     s, c, n = g.num(spacing), g.num(cos), g.num(sin)
     ring = F.col("ring")
-    base = sites.withColumn("_o", g.centroid(ring)).withColumn("_m", g.bounds(ring))
-    base = base.withColumn("_s", s).withColumn("_cos", c).withColumn("_sin", n)
+    base = g.materialize(sites, _o=g.centroid(ring), _m=g.bounds(ring), _s=s, _cos=c, _sin=n)
     diameter = F.hypot(F.col("_m.maxx") - F.col("_m.minx"), F.col("_m.maxy") - F.col("_m.miny"))
-    base = (
-        base.withColumn("_x0", F.col("_m.minx") - diameter)
-        .withColumn("_y0", F.col("_m.miny") - diameter)
-        .withColumn("_ring", g.rotate_cs(ring, F.col("_cos"), -F.col("_sin"), F.col("_o")))
-    )
-    base = base.withColumn("_t", g.bounds(F.col("_ring")))
-    base = base.withColumn("convex", g.is_convex(F.col("_ring"))).withColumn(
-        "planes", F.when(F.col("convex"), g.planes_of(F.col("_ring")))
-    )
+    base = g.materialize(
+        base,
+        _x0=F.col("_m.minx") - diameter,
+        _y0=F.col("_m.miny") - diameter,
+        _ring=g.rotate_cs(ring, F.col("_cos"), -F.col("_sin"), F.col("_o")),
+    )
+    turned = F.col("_ring")
+    base = g.materialize(base, _t=g.bounds(turned), convex=g.is_convex(turned), planes=g.planes_of(turned))
     s = F.col("_s")
 
     def indices(lo: str, hi: str, origin: str) -> Column:
@@ -68,7 +66,7 @@ def grid_candidates(sites: DataFrame, spacing: g.Num, cos: g.Num = 1.0, sin: g.N
     usable = F.when(inside, s * s).otherwise(
         g.area_in_rect(F.col("_ring"), F.col("x"), F.col("y"), F.col("w"), F.col("h"))
     )
-    cells = cells.withColumn("usable_sqm", usable).filter(F.col("usable_sqm") > 0)
+    cells = g.materialize(cells, usable_sqm=usable).filter(F.col("usable_sqm") > 0)
     dx, dy = F.col("x") + s / 2 - F.col("_o.x"), F.col("y") + s / 2 - F.col("_o.y")
     return cells.select(
         *[k for k in sites.columns if k not in ("ring", "convex", "planes")],
@@ -85,7 +83,7 @@ def tile_grid(sites: DataFrame) -> DataFrame:
     """Tiles of side clip(sqrt(area/200), 5, 50); tiles off the site are marked empty."""
     ring = F.col("ring")
     side = F.least(F.greatest(F.sqrt(g.area(ring) / 200.0), F.lit(5.0)), F.lit(50.0))
-    b = sites.withColumn("_m", g.bounds(ring)).withColumn("tile_m", side)
+    b = g.materialize(sites, _m=g.bounds(ring), tile_m=side)
 
     def count(lo: str, hi: str) -> Column:
         return F.greatest(F.lit(1), F.floor((F.col(hi) - F.col(lo)) / F.col("tile_m")).cast("int"))
@@ -109,7 +107,7 @@ def tile_grid(sites: DataFrame) -> DataFrame:
 
 def _network(sites: DataFrame, setback: float) -> DataFrame:
     ring = F.col("ring")
-    return sites.withColumn("_m", g.bounds(ring)).withColumn("_in", g.inset(ring, setback))
+    return g.materialize(sites, _m=g.bounds(ring), _in=g.inset(ring, setback))
 
 
 def _clip_axis(horizontal: bool, at: Column, lo: Column, hi: Column, window: Column) -> Column:
@@ -152,9 +150,9 @@ def grid_network(
     net = _network(sites, setback)
     x0, x1 = F.col("_m.minx") + setback, F.col("_m.maxx") - setback
     y0, y1 = F.col("_m.miny") + setback, F.col("_m.maxy") - setback
-    net = net.withColumn(
-        "_p",
-        F.concat(
+    net = g.materialize(
+        net,
+        _p=F.concat(
             _axis_lines(True, "primary", _steps(y0 + p / 2, y1, p), x0, x1),
             _axis_lines(False, "primary", _steps(x0 + p / 2, x1, p), y0, y1),
         ),
@@ -166,9 +164,9 @@ def grid_network(
         )
         return g.let(means, lambda ms: F.filter(ats, lambda v: ~F.exists(ms, lambda m: F.abs(v - m) < s / 2)))
 
-    net = net.withColumn(
-        "_q",
-        F.concat(
+    net = g.materialize(
+        net,
+        _q=F.concat(
             _axis_lines(True, "secondary", free(_steps(y0 + s, y1, s), "y"), x0, x1),
             _axis_lines(False, "secondary", free(_steps(x0 + s, x1, s), "x"), y0, y1),
         ),
@@ -201,37 +199,40 @@ def branches_along(
 ) -> DataFrame:
     """Middle line of the bounding box, perpendicular branches at equal shares of it, short stubs pruned."""
     ring = F.col("ring")
-    s = sites.withColumn("_m", g.bounds(ring))
+    s = g.materialize(sites, _m=g.bounds(ring))
     wide = (F.col("_m.maxx") - F.col("_m.minx")) >= (F.col("_m.maxy") - F.col("_m.miny"))
     cx, cy = (F.col("_m.minx") + F.col("_m.maxx")) / 2, (F.col("_m.miny") + F.col("_m.maxy")) / 2
     a = F.when(wide, g.pt(F.col("_m.minx"), cy)).otherwise(g.pt(cx, F.col("_m.miny")))
     z = F.when(wide, g.pt(F.col("_m.maxx"), cy)).otherwise(g.pt(cx, F.col("_m.maxy")))
-    s = s.withColumn("_a", a).withColumn("_z", z)
-    s = s.withColumn("_main", g.longest_part(g.clip_segment(F.col("_a"), F.col("_z"), ring)))
-    s = s.filter(F.col("_main").isNotNull()).withColumn("_len", g.path_length(F.col("_main")))
+    s = g.materialize(s, _a=a, _z=z)
+    s = g.materialize(s, _main=g.longest_part(g.clip_segment(F.col("_a"), F.col("_z"), ring)))
+    s = g.materialize(s.filter(F.col("_main").isNotNull()), _len=g.path_length(F.col("_main")))
     n = F.least(F.lit(num_branches), F.floor(F.col("_len") / spacing).cast("int"))
     diagonal = F.hypot(F.col("_m.maxx") - F.col("_m.minx"), F.col("_m.maxy") - F.col("_m.miny"))
-    s = s.withColumn("_n", n).withColumn("_d", diagonal)
-    dx = (F.col("_main")[1].x - F.col("_main")[0].x) / F.col("_len")
-    dy = (F.col("_main")[1].y - F.col("_main")[0].y) / F.col("_len")
+    first, last = F.col("_main")[0], F.col("_main")[1]
+    s = g.materialize(
+        s, _n=n, _d=diagonal, _dx=(last.x - first.x) / F.col("_len"), _dy=(last.y - first.y) / F.col("_len")
+    )
+    dx, dy = F.col("_dx"), F.col("_dy")
 
     def branch(k: Column) -> Column:
         at = g.interpolate(F.col("_main"), F.col("_len") * (k + 1) / (F.col("_n") + 1))
-        return g.let(
+        far = g.let(
             at,
-            lambda p: g.clip_segment(
-                g.pt(p.x + dy * F.col("_d"), p.y - dx * F.col("_d")),
-                g.pt(p.x - dy * F.col("_d"), p.y + dx * F.col("_d")),
-                ring,
+            lambda p: F.struct(
+                g.pt(p.x + dy * F.col("_d"), p.y - dx * F.col("_d")).alias("s"),
+                g.pt(p.x - dy * F.col("_d"), p.y + dx * F.col("_d")).alias("e"),
             ),
         )
+        return g.let(far, lambda f: g.clip_segment(f.s, f.e, ring))
 
     paths = F.concat(
         F.array(F.col("_main")),
         F.filter(F.flatten(F.transform(_span(F.col("_n")), branch)), lambda p: g.path_length(p) >= min_length),
     )
-    kept = s.withColumn("_p", paths).withColumn("_top", F.array_max(F.transform(F.col("_p"), g.path_length)))
-    kept = kept.withColumn("_p", F.filter(F.col("_p"), lambda p: g.path_length(p) >= F.col("_top") * 0.1))
+    kept = g.materialize(s, _p=paths)
+    kept = g.materialize(kept, _top=F.array_max(F.transform(F.col("_p"), g.path_length)))
+    kept = g.materialize(kept, _p=F.filter(F.col("_p"), lambda p: g.path_length(p) >= F.col("_top") * 0.1))
     return kept.select("site_id", F.posexplode("_p").alias("road_no", "path")).withColumn(
         "length_m", g.path_length(F.col("path"))
     )
@@ -243,7 +244,7 @@ def classify_road(centre_distance: Column, length: Column) -> Column:
 
 def boundary_candidates(sites: DataFrame, n: int = 20) -> DataFrame:
     outline = g.closed(F.col("ring"))
-    s = sites.withColumn("_o", outline).withColumn("_len", g.perimeter(F.col("ring")))
+    s = g.materialize(sites, _o=outline, _len=g.perimeter(F.col("ring")))
     s = s.withColumn("point_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     s = s.withColumn("_p", g.interpolate(F.col("_o"), F.col("_len") * F.col("point_no") / n))
     return s.select("site_id", "point_no", F.col("_p.x").alias("px"), F.col("_p.y").alias("py"))
@@ -281,7 +282,7 @@ def extract_blocks(
         ).otherwise(F.array(side(F.col("piece"), F.col("side"))))
         pieces = j.select("site_id", F.explode(both).alias("_p")).select("site_id", "_p.piece", "_p.side")
         pieces = pieces.filter(F.size("piece") >= 3)
-    out = pieces.withColumn("area_sqm", g.area(F.col("piece"))).filter(F.col("area_sqm") >= min_area)
+    out = g.materialize(pieces, area_sqm=g.area(F.col("piece"))).filter(F.col("area_sqm") >= min_area)
     return out.withColumnRenamed("piece", "ring")
 
 
@@ -310,30 +311,31 @@ def orthogonal_slice(blocks: DataFrame, widths: str = "widths") -> DataFrame:
     Cutting by two half-planes needs no turning back and forth.
     """
     ws = F.col(widths)
-    b = blocks.withColumn("_b", g.obb(F.col("ring")))
-    proj = F.transform(F.col("ring"), lambda p: p.x * F.col("_b.ux") + p.y * F.col("_b.uy"))
-    b = b.withColumn("_lo", F.array_min(proj)).withColumn("_hi", F.array_max(proj))
-    b = b.withColumn("_sum", F.aggregate(ws, F.lit(0.0), lambda a, x: a + x))
+    b = g.materialize(blocks, _b=g.obb(F.col("ring")))
+    b = b.select(*blocks.columns, F.col("_b.ux").alias("_ux"), F.col("_b.uy").alias("_uy"))
+    proj = F.transform(F.col("ring"), lambda p: p.x * F.col("_ux") + p.y * F.col("_uy"))
+    b = g.materialize(
+        b, _lo=F.array_min(proj), _hi=F.array_max(proj), _sum=F.aggregate(ws, F.lit(0.0), lambda a, x: a + x)
+    )
     b = b.filter(F.size(ws) > 0)
     b = b.select("*", F.posexplode(ws).alias("lot_no", "_w"))
     before = F.aggregate(F.slice(ws, F.lit(1), F.col("lot_no")), F.lit(0.0), lambda a, x: a + x)
     k = (F.col("_hi") - F.col("_lo")) / F.col("_sum")
-    b = b.withColumn("_from", F.col("_lo") + before * k).withColumn("_to", F.col("_lo") + (before + F.col("_w")) * k)
-    ux, uy = F.col("_b.ux"), F.col("_b.uy")
+    b = g.materialize(b, _from=F.col("_lo") + before * k, _to=F.col("_lo") + (before + F.col("_w")) * k)
+    ux, uy = F.col("_ux"), F.col("_uy")
     lot = g.clip_convex(
         F.col("ring"), F.array(g.half_plane(ux, uy, F.col("_to")), g.half_plane(-ux, -uy, -F.col("_from")))
     )
-    out = b.withColumn("lot_ring", lot).withColumn("lot_sqm", g.area(F.col("lot_ring")))
+    out = g.materialize(g.materialize(b, lot_ring=lot), lot_sqm=g.area(F.col("lot_ring")))
     return out.filter(F.col("lot_sqm") > g.EPS).select(*blocks.columns, "lot_no", "lot_ring", "lot_sqm")
 
 
 def obb_grid_lots(blocks: DataFrame, lot_w: g.Num, lot_d: g.Num, min_area: g.Num) -> DataFrame:
     """Cells of the oriented box, clipped to the block; rectangular blocks need no clipping."""
-    b = blocks.withColumn("_b", g.obb(F.col("ring")))
+    b = g.materialize(blocks, _b=g.obb(F.col("ring")))
     cols = F.greatest(F.lit(1), F.floor(F.col("_b.width") / g.num(lot_w) + g.EPS).cast("int"))
     rows = F.greatest(F.lit(1), F.floor(F.col("_b.length") / g.num(lot_d) + g.EPS).cast("int"))
-    b = b.withColumn("_c", cols).withColumn("_r", rows)
-    b = b.withColumn("_rect", g.area(F.col("ring")) >= F.col("_b.box_area") - 1e-6)
+    b = g.materialize(b, _c=cols, _r=rows, _rect=g.area(F.col("ring")) >= F.col("_b.box_area") - 1e-6)
     b = b.withColumn("row", F.explode(_span(F.col("_r")))).withColumn("col", F.explode(_span(F.col("_c"))))
     w, h = F.col("_b.width") / F.col("_c"), F.col("_b.length") / F.col("_r")
     ux, uy = F.col("_b.ux"), F.col("_b.uy")
@@ -343,12 +345,10 @@ def obb_grid_lots(blocks: DataFrame, lot_w: g.Num, lot_d: g.Num, min_area: g.Num
         s = (F.col("col") + dj) * w - F.col("_b.width") / 2
         return g.pt(F.col("_b.cx") + t * ux - s * uy, F.col("_b.cy") + t * uy + s * ux)
 
-    b = b.withColumn("_cell", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))
-    b = b.withColumn(
-        "lot_ring",
-        F.when(F.col("_rect"), F.col("_cell")).otherwise(g.clip_convex(F.col("ring"), g.planes_of(F.col("_cell")))),
-    )
-    b = b.withColumn("lot_sqm", F.when(F.col("_rect"), w * h).otherwise(g.area(F.col("lot_ring"))))
+    b = g.materialize(b, _cell=F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))
+    clipped = g.clip_convex(F.col("ring"), g.planes_of(F.col("_cell")))
+    b = g.materialize(b, lot_ring=F.when(F.col("_rect"), F.col("_cell")).otherwise(clipped))
+    b = g.materialize(b, lot_sqm=F.when(F.col("_rect"), w * h).otherwise(g.area(F.col("lot_ring"))))
     return b.filter((F.col("lot_sqm") > g.EPS) & (F.col("lot_sqm") >= g.num(min_area))).select(
         *blocks.columns, "row", "col", "lot_ring", "lot_sqm"
     )
@@ -359,18 +359,18 @@ def subdivide_blocks(
     setback: float = 6.0, min_rect: float = 0.65, max_aspect: float = 4.0, min_area: float = 250.0,
 ) -> DataFrame:
     """Fragments become parks, other blocks are sliced into lots that are kept, turned green, or dropped."""
-    b = blocks.withColumn("_a", g.area(F.col("ring")))
+    b = g.materialize(blocks, _a=g.area(F.col("ring")))
     fragment = F.col("_a") / (spacing * spacing) < 0.6
     parks = b.filter(fragment).select(
         *blocks.columns, F.lit(0).alias("lot_no"), F.lit("park").alias("kind"), F.col("_a").alias("area_sqm"),
         F.lit(0.0).alias("width_m"), F.lit(0.0).alias("buildable_sqm"), F.lit(0.0).alias("rectangularity"),
     )
-    good = b.filter(~fragment).withColumn("_box", g.obb(F.col("ring")))
-    good = good.withColumn("_len", F.col("_box.length")).withColumn("widths", lot_widths(F.col("_len"), lo, hi, target))
+    good = g.materialize(b.filter(~fragment), _len=g.obb(F.col("ring")).length)
+    good = good.withColumn("widths", lot_widths(F.col("_len"), lo, hi, target))
     good = good.withColumn("_n", F.size("widths")).select(*blocks.columns, "_len", "_n", "widths")
-    lots = orthogonal_slice(good).withColumn("_box", g.obb(F.col("lot_ring")))
-    lots = lots.withColumn(
-        "_q", g.shape_quality(F.col("lot_sqm"), F.col("_box.width"), F.col("_box.length"), min_rect, max_aspect, min_area)
+    lots = g.materialize(orthogonal_slice(good), _box=g.obb(F.col("lot_ring")))
+    lots = g.materialize(
+        lots, _q=g.shape_quality(F.col("lot_sqm"), F.col("_box.width"), F.col("_box.length"), min_rect, max_aspect, min_area)
     )
     cls = g.classify_lot(F.col("lot_sqm"), F.col("_q.is_valid"), min_area)
     kind = F.when(cls == "commercial", "lot").when(cls == "green_space", "green").otherwise("dropped")
@@ -390,8 +390,8 @@ def grid_plots(
 
     A road crossing a cell splits it, and split cells are dropped; a road along one side trims it.
     """
-    s = sites.withColumn("_in", g.inset(F.col("ring"), setback)).filter(F.size("_in") >= 3)
-    s = s.withColumn("_m", g.bounds(F.col("_in"))).withColumn("planes", g.planes_of(F.col("_in")))
+    s = g.materialize(sites, _in=g.inset(F.col("ring"), setback)).filter(F.size("_in") >= 3)
+    s = g.materialize(s, _m=g.bounds(F.col("_in")), planes=g.planes_of(F.col("_in")))
     nx = F.floor((F.col("_m.maxx") - F.col("_m.minx")) / width + g.EPS).cast("int")
     ny = F.floor((F.col("_m.maxy") - F.col("_m.miny")) / depth + g.EPS).cast("int")
     c = s.withColumn("row", F.explode(_span(ny))).withColumn("col", F.explode(_span(nx)))
@@ -431,9 +431,9 @@ def grid_plots(
     j = j.filter((F.col("w") > 0) & (F.col("h") > 0)).withColumn("convex", F.lit(True))
     whole = rect_in_site("_in", 0.0, prepared=True)
     clipped = g.clip_convex(F.col("_in"), g.rect_planes(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")))
-    j = j.withColumn("ring", F.when(whole, g.rect_ring(*(F.col(k) for k in "xywh"))).otherwise(clipped))
-    j = j.filter(F.size("ring") >= 3).withColumn("area_sqm", F.round(g.area(F.col("ring")), 6)).withColumn(
-        "_m", g.bounds(F.col("ring"))
+    j = g.materialize(j, ring=F.when(whole, g.rect_ring(*(F.col(k) for k in "xywh"))).otherwise(clipped))
+    j = g.materialize(
+        j.filter(F.size("ring") >= 3), area_sqm=F.round(g.area(F.col("ring")), 6), _m=g.bounds(F.col("ring"))
     )
     return j.filter(F.col("area_sqm") >= min_area).select(
         "site_id", "row", "col", "ring", "area_sqm", (F.col("_m.maxx") - F.col("_m.minx")).alias("width_m"),
@@ -448,26 +448,29 @@ def partition_site(
 
     Rows with ``status = 'error'`` say why a site got none.
     """
-    s = sites.withColumn("_in", g.inset(F.col("ring"), setback))
-    s = s.withColumn("_a", g.area(F.col("_in"))).withColumn("_m", g.bounds(F.col("_in")))
-    s = s.withColumn("planes", g.planes_of(F.col("_in"))).withColumn("convex", F.lit(True))
+    s = g.materialize(sites, _in=g.inset(F.col("ring"), setback))
+    s = g.materialize(s, _a=g.area(F.col("_in")), _m=g.bounds(F.col("_in")), planes=g.planes_of(F.col("_in")))
     n = F.greatest(
         F.lit(min_plots), F.least(F.floor(F.col("_a") / (target_area * 1.3)).cast("int"), F.lit(max_plots))
     )
     uw, uh = F.col("_m.maxx") - F.col("_m.minx") - road_w, F.col("_m.maxy") - F.col("_m.miny") - road_w
-    s = s.withColumn("_n", n).withColumn("_uw", uw).withColumn("_uh", uh)
+    s = g.materialize(s, _n=n, _uw=uw, _uh=uh)
     aspect = F.when(F.col("_uh") > 0, F.try_divide(F.col("_uw"), F.col("_uh"))).otherwise(1.0)
-    s = s.withColumn("_cols", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("_n") * F.greatest(aspect, F.lit(0.0)))).cast("int")))
-    s = s.withColumn("_rows", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.col("_cols")).cast("int")))
-    s = s.withColumn("_cols", F.greatest(F.col("_cols"), F.ceil(F.col("_n") / F.col("_rows")).cast("int")))
+    first = F.floor(F.sqrt(F.col("_n") * F.greatest(aspect, F.lit(0.0)))).cast("int")
+    s = g.materialize(s, _c0=F.greatest(F.lit(1), first))
+    s = g.materialize(s, _rows=F.greatest(F.lit(1), F.ceil(F.col("_n") / F.col("_c0")).cast("int")))
+    s = g.materialize(s, _cols=F.greatest(F.col("_c0"), F.ceil(F.col("_n") / F.col("_rows")).cast("int")))
 
     def size(extent: str, k: str, road: float) -> Column:
         return (F.col(extent) - (F.col(k) - 1) * road) / F.col(k)
 
     tight = (size("_uw", "_cols", road_w) < 15) | (size("_uh", "_rows", road_w) < 15)
-    s = s.withColumn("_road", F.when(tight, 6.0).otherwise(float(road_w)))
-    s = s.withColumn("_pw", F.when(tight, size("_uw", "_cols", 6.0)).otherwise(size("_uw", "_cols", road_w)))
-    s = s.withColumn("_ph", F.when(tight, size("_uh", "_rows", 6.0)).otherwise(size("_uh", "_rows", road_w)))
+    s = g.materialize(
+        s,
+        _road=F.when(tight, 6.0).otherwise(float(road_w)),
+        _pw=F.when(tight, size("_uw", "_cols", 6.0)).otherwise(size("_uw", "_cols", road_w)),
+        _ph=F.when(tight, size("_uh", "_rows", 6.0)).otherwise(size("_uh", "_rows", road_w)),
+    )
     error = (
         F.when(F.col("_a") <= 0, "no buildable area").when(F.col("_n") < 1, "no plot fits")
         .when((F.col("_pw") < 15) | (F.col("_ph") < 15), "plots too small")
@@ -493,7 +496,7 @@ def partition_site(
         return g.area_in_rect(F.col("_in"), c.x, c.y, F.col("_pw"), F.col("_ph")) > F.col("_pw") * F.col("_ph") * 0.9
 
     kept = F.slice(F.filter(cells, lambda c: inside(c) | mostly(c)), F.lit(1), F.greatest(F.col("_n"), F.lit(1)))
-    s = s.withColumn("_k", F.when(F.col("_err").isNull(), kept))
+    s = g.materialize(s, _k=F.when(F.col("_err").isNull(), kept))
     s = s.withColumn("_err", F.when(F.col("_err").isNull() & (F.size("_k") == 0), "nothing placed").otherwise(F.col("_err")))
     s = s.select("site_id", "_err", "_pw", "_ph", "_road", F.posexplode_outer("_k").alias("_i", "_c"))
     return s.select(
@@ -511,11 +514,15 @@ PACKINGS: dict[str, tuple[float, float, float, int]] = {
 }
 
 
+def _prepared(sites: DataFrame) -> DataFrame:
+    r = F.col("ring")
+    return g.materialize(sites, _m=g.bounds(r), convex=g.is_convex(r), planes=g.planes_of(r))
+
+
 def pack_layout(sites: DataFrame, strategy: str, setback: float = 0.0) -> DataFrame:
     """Fixed plots in rows from the min corner, inside the outline, the first few only."""
     w, h, gap, k = PACKINGS[strategy]
-    s = sites.withColumn("_m", g.bounds(F.col("ring"))).withColumn("planes", g.planes_of(F.col("ring")))
-    s = s.withColumn("convex", g.is_convex(F.col("ring")))
+    s = _prepared(sites)
     xs = _steps(F.col("_m.minx") + gap, F.col("_m.maxx") - w, w + gap)
     ys = _steps(F.col("_m.miny") + gap, F.col("_m.maxy") - h, h + gap)
     cells = F.flatten(
@@ -552,8 +559,7 @@ def sample_layouts(
 
     Placement order matters, so one candidate is folded inside its row; candidates spread over the cluster.
     """
-    s = sites.withColumn("_m", g.bounds(F.col("ring"))).withColumn("convex", g.is_convex(F.col("ring")))
-    s = s.withColumn("planes", g.planes_of(F.col("ring")))
+    s = _prepared(sites)
     s = s.withColumn("candidate_no", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
     zero = F.lit(0.0)
 
@@ -581,7 +587,8 @@ def sample_layouts(
             (r.x < q.x + q.w + gap) & (q.x < r.x + r.w + gap) & (r.y < q.y + q.h + gap) & (q.y < r.y + r.h + gap)
         )
 
-    s = s.withColumn("_d", F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_plots - 1)), draw), fits))
+    s = g.materialize(s, _d=F.transform(F.sequence(F.lit(0), F.lit(n_plots - 1)), draw))
+    s = g.materialize(s, _d=F.filter(F.col("_d"), fits))
     placed = F.aggregate(
         F.col("_d"),
         F.slice(F.col("_d"), 1, 0),
@@ -594,8 +601,7 @@ def mutate_layouts(
     placed: DataFrame, sites: DataFrame, seed: int = 43, shift: float = 30.0, probability: float = 0.3, setback: float = 10.0
 ) -> DataFrame:
     """Each plot moved by up to ``shift`` with the given probability, clamped to the bounds, undone when outside."""
-    s = sites.select("site_id", "ring").withColumn("_m", g.bounds(F.col("ring")))
-    s = s.withColumn("convex", g.is_convex(F.col("ring"))).withColumn("planes", g.planes_of(F.col("ring")))
+    s = _prepared(sites.select("site_id", "ring"))
     j = placed.join(s, "site_id")
     ids = [F.col("site_id"), F.col("candidate_no"), F.col("plot_no")]
     moves = _uniform(F.lit(seed), *ids, F.lit(0)) < probability

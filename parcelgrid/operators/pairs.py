@@ -15,7 +15,7 @@ LAYOUT = ("layout_id",)
 def with_planes(sites: DataFrame) -> DataFrame:
     """Half-planes and convexity of every outline, worked out once per site instead of once per plot."""
     r = F.col("ring")
-    return sites.withColumn("convex", g.is_convex(r)).withColumn("planes", F.when(F.col("convex"), g.planes_of(r)))
+    return g.materialize(sites, convex=g.is_convex(r), planes=g.planes_of(r))
 
 
 def rect_in_site(ring: str = "ring", d: float = 0.0, prepared: bool = False) -> Column:
@@ -64,7 +64,7 @@ def overlap_pairs_ring(
     )
     lean = items.select(*keys, id_col, "ring", "x", "y", "w", "h")
     pairs = near_pairs(lean, lean, keys, 0.0, cell_m, ordered)
-    exact = pairs.withColumn("overlap_sqm", g.intersection_area(F.col("ring"), F.col("ring_b")))
+    exact = g.materialize(pairs, overlap_sqm=g.intersection_area(F.col("ring"), F.col("ring_b")))
     return exact.filter(F.col("overlap_sqm") > tol).select(
         *keys, F.col(id_col).alias("a"), F.col(f"{id_col}_b").alias("b"), "overlap_sqm"
     )
@@ -135,12 +135,15 @@ def gate_assets(sites: DataFrame, assets: DataFrame, margin: float = 1.0, min_cl
     ``sites(site_id, ring)``, ``assets(site_id, asset_id, type, x, y, w, h)``.  Cutting the outline by the
     rectangle (a convex window) is exact for concave outlines as well.
     """
-    j = assets.join(sites.select("site_id", F.col("ring").alias("site")), "site_id")
+    prepared = with_planes(sites.select("site_id", "ring")).withColumnRenamed("ring", "site")
+    j = assets.join(prepared, "site_id")
     x, y, w, h = (F.col(k) for k in "xywh")
-    j = j.withColumn("whole", rect_in_site("site", 0.0)).withColumn("clear", rect_in_site("site", margin))
+    j = g.materialize(
+        j, whole=rect_in_site("site", 0.0, prepared=True), clear=rect_in_site("site", margin, prepared=True)
+    )
     inside = g.clip_convex(F.col("site"), g.rect_planes(x, y, x + w, y + h))
-    j = j.withColumn("ring", F.when(F.col("whole"), g.rect_ring(x, y, w, h)).otherwise(inside))
-    j = j.withColumn("kept_sqm", F.when(F.col("whole"), w * h).otherwise(F.round(g.area(F.col("ring")), 6)))
+    j = g.materialize(j, ring=F.when(F.col("whole"), g.rect_ring(x, y, w, h)).otherwise(inside))
+    j = g.materialize(j, kept_sqm=F.when(F.col("whole"), w * h).otherwise(F.round(g.area(F.col("ring")), 6)))
     touches = g.ring_distance(F.col("site"), g.rect_ring(x, y, w, h)) <= g.EPS
     boundary = (
         F.when(F.col("whole"), "inside")
@@ -148,7 +151,7 @@ def gate_assets(sites: DataFrame, assets: DataFrame, margin: float = 1.0, min_cl
         .when((F.col("kept_sqm") > 0) | touches, "too_small")
         .otherwise("outside")
     )
-    return j.withColumn("boundary", boundary).drop("site")
+    return g.materialize(j, boundary=boundary).drop("site", "convex", "planes")
 
 
 def gate_findings(gated: DataFrame, existing: DataFrame, tol: float = 0.1, cell_m: float = 100.0) -> DataFrame:
@@ -179,7 +182,7 @@ def gate_findings(gated: DataFrame, existing: DataFrame, tol: float = 0.1, cell_
 
     def exact(pairs: DataFrame, other: Column) -> DataFrame:
         real = F.when(F.col("plain"), F.col("overlap_sqm")).otherwise(g.intersection_area(F.col("ring"), other))
-        return pairs.withColumn("real", real).filter(F.col("real") > tol)
+        return g.materialize(pairs, real=real).filter(F.col("real") > tol)
 
     rect_b = g.rect_ring(*(F.col(f"{k}_b") for k in "xywh"))
     with_old = near_pairs(new, old, ["site_id"], 0.0, cell_m, boxes_meet).withColumn("plain", F.col("whole"))

@@ -17,12 +17,10 @@ ALONG, ACROSS, RING, CONNECTOR = 0, 1, 2, 3
 
 def _frame(sites: DataFrame, rotation: g.Num) -> DataFrame:
     """Oriented box and the direction of the main axis after the requested rotation."""
-    a = F.radians(g.num(rotation))
-    return (
-        sites.withColumn("_b", g.obb(F.col("ring")))
-        .withColumn("_cos", F.col("_b.ux") * F.cos(a) - F.col("_b.uy") * F.sin(a))
-        .withColumn("_sin", F.col("_b.ux") * F.sin(a) + F.col("_b.uy") * F.cos(a))
-    )
+    a = F.radians(F.pmod(g.num(rotation), F.lit(360.0)))
+    boxed = g.materialize(sites, _b=g.obb(F.col("ring")))
+    ux, uy = F.col("_b.ux"), F.col("_b.uy")
+    return g.materialize(boxed, _cos=ux * F.cos(a) - uy * F.sin(a), _sin=ux * F.sin(a) + uy * F.cos(a))
 
 
 def _line(axis: int, no: Column, offset: Column, min_len: float) -> Column:
@@ -48,11 +46,13 @@ def _draw(framed: DataFrame, template: str, lines: Column) -> DataFrame:
     cy = F.col("_b.cy") + off * F.when(along, cos).otherwise(sin)
     half = 0.75 * F.when(along, F.col("_b.length")).otherwise(F.col("_b.width"))
     dx, dy = F.when(along, cos).otherwise(-sin) * half, F.when(along, sin).otherwise(cos) * half
-    j = j.select(
-        "site_id", "ring", "_l", g.pt(cx - dx, cy - dy).alias("_a"), g.pt(cx + dx, cy + dy).alias("_z")
+    j = g.materialize(
+        j.select("site_id", "ring", "_l", cx.alias("_x"), cy.alias("_y"), dx.alias("_dx"), dy.alias("_dy")),
+        _a=g.pt(F.col("_x") - F.col("_dx"), F.col("_y") - F.col("_dy")),
+        _z=g.pt(F.col("_x") + F.col("_dx"), F.col("_y") + F.col("_dy")),
     )
-    j = j.withColumn("path", g.longest_part(g.clip_segment(F.col("_a"), F.col("_z"), F.col("ring"))))
-    j = j.filter(F.col("path").isNotNull()).withColumn("length_m", g.path_length(F.col("path")))
+    j = g.materialize(j, path=g.longest_part(g.clip_segment(F.col("_a"), F.col("_z"), F.col("ring"))))
+    j = g.materialize(j.filter(F.col("path").isNotNull()), length_m=g.path_length(F.col("path")))
     return j.filter(F.col("length_m") > F.col("_l.min_len")).select(
         "site_id", F.lit(template).alias("template"), F.col("_l.axis").alias("axis"), F.col("_l.no").alias("road_no"),
         "path", "length_m",
@@ -102,13 +102,14 @@ def roads_loop(
     """
     d = float(buffer_m + main_width)
     ring = F.col("ring")
-    s = sites.withColumn("_b", g.obb(ring)).withColumn("_in", g.inset(ring, d))
-    s = s.withColumn("_fits", (F.size("_in") >= 3) & (g.area(F.col("_in")) >= 100.0))
-    s = s.withColumn("_in", F.when(F.col("_fits"), F.col("_in")).otherwise(g.inset(ring, float(buffer_m))))
+    s = g.materialize(sites, _b=g.obb(ring), _deep=g.inset(ring, d))
+    s = g.materialize(s, _fits=(F.size("_deep") >= 3) & (g.area(F.col("_deep")) >= 100.0))
+    s = g.materialize(s, _in=F.when(F.col("_fits"), F.col("_deep")).otherwise(g.inset(ring, float(buffer_m))))
     off = (entry_position - 0.5) * F.col("_b.length")
     entry = g.pt(F.col("_b.cx") + off * F.col("_b.ux"), F.col("_b.cy") + off * F.col("_b.uy"))
-    s = s.withColumn("_e", g.nearest_point(g.closed(ring), entry))
-    s = s.withColumn("_r", g.nearest_point(g.closed(F.col("_in")), F.col("_e")))
+    s = g.materialize(s, _at=entry)
+    s = g.materialize(s, _e=g.nearest_point(g.closed(ring), F.col("_at")))
+    s = g.materialize(s, _r=g.nearest_point(g.closed(F.col("_in")), F.col("_e")))
     ring_road = F.struct(F.lit(RING).alias("axis"), F.lit(0).alias("no"), g.closed(F.col("_in")).alias("path"))
     connector = F.struct(
         F.lit(CONNECTOR).alias("axis"), F.lit(1).alias("no"),
@@ -148,7 +149,7 @@ def entry_points(sites: DataFrame, roads: DataFrame) -> DataFrame:
     loops = roads.filter((F.col("template") == "loop") & (F.col("axis") == CONNECTOR)).select(
         "site_id", "template", "road_no", F.lit(0).alias("end_no"), F.col("path")[0].alias("p")
     )
-    b = sites.withColumn("_b", g.obb(F.col("ring")))
+    b = g.materialize(sites, _b=g.obb(F.col("ring")))
     ux, uy, lx, wx = F.col("_b.ux"), F.col("_b.uy"), F.col("_b.length") / 2, F.col("_b.width") / 2
     px, py = ux * lx - uy * wx, uy * lx + ux * wx
     corners = F.array(

@@ -13,7 +13,7 @@ from parcelgrid.plans.registry import query, r4
 
 
 def rect_sites(fx: Fixtures) -> DataFrame:
-    return fx.sites.withColumn("ring", g.rect_ring(F.lit(0.0), F.lit(0.0), F.col("w"), F.col("h")))
+    return g.materialize(fx.sites, ring=g.rect_ring(F.lit(0.0), F.lit(0.0), F.col("w"), F.col("h")))
 
 
 def convex_sites(fx: Fixtures) -> DataFrame:
@@ -46,7 +46,7 @@ def _cells(spacing: str, candidates: str) -> str:
 @query(
     "e1_grid_candidates",
     _CENTRE + "," + _cells("60.0::DOUBLE", "(SELECT unnest([0,1]) AS q)")
-    + "SELECT site_id, q AS quarter, i, j, round(px,4) AS cx, round(py,4) AS cy, round(usable,4) AS usable_sqm FROM ga WHERE usable>0",
+    + "SELECT site_id, q AS quarter, i, j, round(px,4) AS cx, round(py,4) AS cy, round(usable,2) AS usable_sqm FROM ga WHERE usable>0",
 )
 def grid_candidates(fx: Fixtures) -> DataFrame:
     s = sites_with_ring(fx).select("site_id", "ring", F.explode(F.array(F.lit(0), F.lit(1))).alias("quarter"))
@@ -55,7 +55,7 @@ def grid_candidates(fx: Fixtures) -> DataFrame:
     )
     return c.select(
         "site_id", "quarter", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r4(F.col("cx"), "cx"),
-        r4(F.col("cy"), "cy"), r4(F.col("usable_sqm"), "usable_sqm"),
+        r4(F.col("cy"), "cy"), F.round("usable_sqm", 2).alias("usable_sqm"),
     )
 
 

@@ -11,7 +11,7 @@ from parcelgrid.plans.registry import query, r4
 
 
 def plots_with_ring(fx: Fixtures) -> DataFrame:
-    return fx.plots.withColumn("ring", g.rect_ring(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
+    return g.materialize(fx.plots, ring=g.rect_ring(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
 
 
 def plots_in_sites(fx: Fixtures) -> DataFrame:
@@ -91,7 +91,7 @@ def convex_hull(fx: Fixtures) -> DataFrame:
 
 def turned_plots(fx: Fixtures) -> DataFrame:
     """Plots turned by the 3-4-5 angle about the origin."""
-    return plots_with_ring(fx).withColumn("ring", g.rotate_cs(F.col("ring"), 0.8, 0.6, g.pt(0, 0)))
+    return g.materialize(plots_with_ring(fx), ring=g.rotate_cs(F.col("ring"), 0.8, 0.6, g.pt(0, 0)))
 
 
 @query(
