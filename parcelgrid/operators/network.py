@@ -52,40 +52,63 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     return labels
 
 
-def _contract(labels: DataFrame, picked: DataFrame) -> DataFrame:
-    """Merge the components joined by the picked edges; labels stay per node."""
-    comps = labels.select("site_id", F.col("comp").alias("node")).distinct()
-    links = picked.select(
-        "site_id", F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")
-    ).distinct()
-    merged = components(comps, links).withColumnRenamed("comp", "root").withColumnRenamed("node", "comp")
-    return labels.join(merged, ["site_id", "comp"]).select("site_id", "node", F.col("root").alias("comp"))
+def _hook(picked: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Root of every component that picked an edge.
+
+    Each component points to the other end of its edge; of two pointing at each other the smaller id is the
+    root.  Pointers are then followed twice per round until none moves.
+    """
+    p = picked.select("site_id", "c", F.when(F.col("cu") == F.col("c"), F.col("cv")).otherwise(F.col("cu")).alias("to"))
+    other = p.select("site_id", F.col("c").alias("to"), F.col("to").alias("back"))
+    up = p.join(other, ["site_id", "to"], "left").select(
+        "site_id", "c",
+        F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"),
+    )
+    up = cut_lineage(up)
+    for _ in range(max_rounds):
+        hop = up.select("site_id", F.col("c").alias("to"), F.col("to").alias("to2"))
+        twice = up.join(hop, ["site_id", "to"], "left").select(
+            "site_id", "c", "to", F.coalesce("to2", "to").alias("new")
+        )
+        hop2 = hop.withColumnRenamed("to", "new").withColumnRenamed("to2", "to3")
+        step = cut_lineage(
+            twice.join(hop2, ["site_id", "new"], "left").select("site_id", "c", "to", F.coalesce("to3", "new").alias("new"))
+        )
+        done = step.filter("`to` <> `new`").isEmpty()
+        up = step.select("site_id", "c", F.col("new").alias("to"))
+        if done:
+            break
+    return up.select("site_id", F.col("c").alias("comp"), F.col("to").alias("root"))
+
+
+def _relabel(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    cols = [c for c in labels.columns if c != "comp"]
+    return labels.join(roots, ["site_id", "comp"], "left").select(*cols, F.coalesce("root", "comp").alias("comp"))
+
+
+def _cheapest(live: DataFrame) -> DataFrame:
+    """Cheapest outgoing edge per component; the minimum is taken on the map side first."""
+    ends = live.withColumn("c", F.explode(F.array("cu", "cv")))
+    best = ends.groupBy("site_id", "c").agg(F.min(F.struct("weight", "u", "v", "cu", "cv")).alias("_e"))
+    return best.select("site_id", "c", "_e.*")
 
 
 def mst(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Minimum spanning forest per site.  Every component picks its cheapest outgoing edge each round; ties go to
     the lower ``(weight, u, v)``, so the forest is unique and no cycle can close."""
-    labels = cut_lineage(nodes.select("site_id", "node", F.col("node").alias("comp")))
-    live = cut_lineage(edges.select(*EDGE))
-    tree = None
+    labels = nodes.select("site_id", "node", F.col("node").alias("comp"))
+    live, tree = edges.select(*EDGE), None
     for _ in range(max_rounds):
-        lab = labels.select("site_id", "node", "comp")
         j = live.join(
-            lab.select("site_id", F.col("node").alias("u"), F.col("comp").alias("cu")), ["site_id", "u"]
-        ).join(lab.select("site_id", F.col("node").alias("v"), F.col("comp").alias("cv")), ["site_id", "v"])
+            labels.select("site_id", F.col("node").alias("u"), F.col("comp").alias("cu")), ["site_id", "u"]
+        ).join(labels.select("site_id", F.col("node").alias("v"), F.col("comp").alias("cv")), ["site_id", "v"])
         live = cut_lineage(j.filter("cu <> cv"))
-        ends = live.select("site_id", F.col("cu").alias("c"), "u", "v", "weight", "cu", "cv").unionByName(
-            live.select("site_id", F.col("cv").alias("c"), "u", "v", "weight", "cu", "cv")
-        )
-        best = ends.groupBy("site_id", "c").agg(F.min(F.struct("weight", "u", "v", "cu", "cv")).alias("_e"))
-        picked = cut_lineage(
-            best.select("site_id", "_e.*").distinct()
-        )
+        picked = cut_lineage(_cheapest(live))
         if picked.isEmpty():
             break
-        new = picked.select(*EDGE)
+        new = picked.select(*EDGE).distinct()
         tree = new if tree is None else tree.unionByName(new)
-        labels = cut_lineage(_contract(labels, picked))
+        labels = cut_lineage(_relabel(labels, _hook(picked)))
         live = live.select(*EDGE)
     return tree if tree is not None else edges.select(*EDGE).limit(0)
 
@@ -93,44 +116,38 @@ def mst(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 def euclidean_mst(points: DataFrame, start_m: float, max_m: float) -> DataFrame:
     """Spanning tree over all points without listing all pairs.
 
-    Edges are looked for within a radius that doubles, and only between points that are still in different
-    components of their site: by then every shorter edge has had its turn.  Copies of one location hang on
-    their smallest id at length 0.
+    Each round looks for edges within a radius, between different components only, and every component takes its
+    cheapest one: edges beyond the radius are longer, so that is the cheapest of all.  The radius doubles from
+    round to round; sites that are connected drop out.  Copies of one location hang on their smallest id at
+    length 0.
     """
     pts = cut_lineage(points.select("site_id", "node", "px", "py"))
     spot = pts.groupBy("site_id", "px", "py").agg(F.min("node").alias("rep"))
-    copies = pts.join(spot, ["site_id", "px", "py"]).filter("node <> rep").select(
+    tree = pts.join(spot, ["site_id", "px", "py"]).filter("node <> rep").select(
         "site_id", F.col("rep").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("weight")
     )
     work = cut_lineage(spot.select("site_id", F.col("rep").alias("node"), "px", "py", F.col("rep").alias("comp")))
-    tree, radius = copies, float(start_m)
+    radius = float(start_m)
     while True:
         p = work.select(
             "site_id", "node", "comp", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.0).alias("w"),
             F.lit(0.0).alias("h"),
         )
         differ = (F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b"))
-        pairs = near_pairs(p, p, ["site_id"], radius, radius, differ)
-        # of all edges between two components only the cheapest can be in the tree
-        cheapest = pairs.groupBy(
-            "site_id", F.least("comp", "comp_b").alias("a"), F.greatest("comp", "comp_b").alias("b")
-        ).agg(F.min(F.struct(F.col("gap_m").alias("weight"), F.col("node").alias("u"), F.col("node_b").alias("v"))).alias("_e"))
-        links = cut_lineage(cheapest.select("site_id", "a", "b", "_e.weight", "_e.u", "_e.v"))
-        comps = work.select("site_id", F.col("comp").alias("node")).distinct()
-        if not links.isEmpty():
-            # spanning tree over components, then back to the point edges behind it
-            picked = mst(comps, links.select("site_id", F.col("a").alias("u"), F.col("b").alias("v"), "weight"))
-            new = picked.select("site_id", F.col("u").alias("a"), F.col("v").alias("b")).join(links, ["site_id", "a", "b"])
-            tree = cut_lineage(tree.unionByName(new.select(*EDGE)))
-            joined = new.select("site_id", F.col("a").alias("cu"), F.col("b").alias("cv"))
-            roots = _contract(work.select("site_id", "node", "comp"), joined)
-            work = cut_lineage(work.drop("comp").join(roots, ["site_id", "node"]))
-        left = work.groupBy("site_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        if radius >= max_m or left.isEmpty():
+        live = near_pairs(p, p, ["site_id"], radius, radius, differ).select(
+            "site_id", F.col("gap_m").alias("weight"), F.col("node").alias("u"), F.col("node_b").alias("v"),
+            F.col("comp").alias("cu"), F.col("comp_b").alias("cv"),
+        )
+        picked = cut_lineage(_cheapest(live))
+        found = not picked.isEmpty()
+        if found:
+            tree = tree.unionByName(picked.select(*EDGE).distinct())
+            work = cut_lineage(_relabel(work, _hook(picked)))
+        open_sites = work.groupBy("site_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        work = cut_lineage(work.join(open_sites.select("site_id"), "site_id", "left_semi"))
+        if work.isEmpty() or (not found and radius >= max_m):
             return tree.select(*EDGE)
-        # sites that are connected already take no part in the next round
-        work = cut_lineage(work.join(left.select("site_id"), "site_id", "left_semi"))
-        radius *= 2
+        radius = min(radius * 2, max_m) if radius < max_m else radius
 
 
 def loop_network(points: DataFrame, max_d: float = 500.0, redundancy: float = 0.15) -> DataFrame:
