@@ -292,7 +292,7 @@ def extract_blocks(
 def lot_widths(length: Column, lo: float, hi: float, target: float) -> Column:
     """Equal widths of the fewest lots that meet the target; the rule n = least(ceil(L/t), int(L/min))."""
     t = target if lo <= target <= hi else (lo + hi) / 2.0
-    n = F.least(F.ceil(length / t), F.floor(length / lo))
+    n = F.least(F.ceil(length / t - g.EPS), F.floor(length / lo + g.EPS))  # measured lengths carry noise
     fits = (n >= 1) & (length / F.greatest(n, F.lit(1)) <= hi) & (length / F.greatest(n, F.lit(1)) >= lo)
     count = F.when(fits, n).otherwise(F.greatest(F.lit(1), F.floor(length / t))).cast("int")
     return F.when(length < lo, F.array().cast("array<double>")).otherwise(F.array_repeat(length / count, count))

@@ -272,13 +272,13 @@ def network_summary(points: DataFrame, electric: DataFrame, water: DataFrame) ->
 
 
 def routing_points(assets: DataFrame, gates: DataFrame) -> DataFrame:
-    """Gate as node 0 and the centres of all buildings of sites that have any; roads stay out."""
+    """Gate as node -1 and the centres of all buildings of sites that have any; roads stay out."""
     b = assets.filter(F.col("type") != "internal_road").select(
         "site_id", F.col("asset_id").alias("node"), (F.col("x") + F.col("w") / 2).alias("px"),
         (F.col("y") + F.col("h") / 2).alias("py"),
     )
     served = gates.join(b.select("site_id").distinct(), "site_id", "left_semi")
-    return b.unionByName(served.select("site_id", F.lit(0).cast("long").alias("node"), "px", "py"))
+    return b.unionByName(served.select("site_id", F.lit(-1).cast("long").alias("node"), "px", "py"))
 
 
 def routing_errors(sites: DataFrame, assets: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelgrid.operators.generate import grid_candidates
+from parcelgrid.functions import geometry as g
+from parcelgrid.operators.generate import grid_candidates, grid_network
+from parcelgrid.operators.raster import centres, dead_area, site_cells
 
 
 def sweep_grid(
@@ -62,8 +64,8 @@ def pareto_front(objectives: DataFrame, k: int, key: str = "site_id") -> DataFra
     fs = [f"f{i}" for i in range(1, k + 1)]
     vectors = objectives.select(key, *fs).distinct()
     v = F.struct(*fs)
-    orders = [F.struct(F.col(f), *[F.col(g) for g in fs]) for f in fs]
-    orders += [F.struct(F.col(a) + F.col(b), *[F.col(g) for g in fs]) for i, a in enumerate(fs) for b in fs[i + 1:]]
+    orders = [F.struct(F.col(f), *[F.col(x) for x in fs]) for f in fs]
+    orders += [F.struct(F.col(a) + F.col(b), *[F.col(x) for x in fs]) for i, a in enumerate(fs) for b in fs[i + 1:]]
     strong = vectors.groupBy(key).agg(F.array_distinct(F.array(*[F.min_by(v, o) for o in orders])).alias("_strong"))
     row = F.struct(*fs)
     left = vectors.join(strong, key).filter(
@@ -74,3 +76,38 @@ def pareto_front(objectives: DataFrame, k: int, key: str = "site_id") -> DataFra
         right, (F.col(key) == F.col("_key")) & _dominates(F.col("_q"), F.col("_p"), k), "left_anti"
     ).drop("_p")
     return objectives.join(front, [key, *fs], "left_semi")
+
+
+def road_spacing_sweep(
+    sites: DataFrame, max_distance: float = 200.0, setback: float = 50.0, max_ratio: float = 0.25, size: float = 20.0
+) -> DataFrame:
+    """Spacings 2d, x0.8 while >= d/2 as rows: the first whose dead area is below 5 % of the buildable area and
+    whose roads fit the budget, else the last one.  All steps of all sites run as one plan."""
+    steps, s = [], 2.0 * max_distance
+    while s >= max_distance / 2:
+        steps.append(s)
+        s *= 0.8
+    options = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(v).alias("spacing")) for i, v in enumerate(steps)])
+    cand = sites.withColumn("_o", F.explode(options)).select("site_id", "ring", "_o.step", "_o.spacing")
+    net = grid_network(cand, F.col("spacing"), F.col("spacing") * 2, setback, extra=["step", "spacing"])
+    road = net.groupBy("site_id", "step", "spacing").agg(
+        F.sum(F.col("length_m") * F.col("width_m")).alias("road_sqm"), F.sum("length_m").alias("road_m")
+    )
+    a, z = F.col("path")[0], F.col("path")[1]
+    lines = net.select(
+        "site_id", "step", F.least(a.x, z.x).alias("x"), F.least(a.y, z.y).alias("y"), F.abs(z.x - a.x).alias("w"),
+        F.abs(z.y - a.y).alias("h"),
+    )
+    cells = centres(site_cells(sites, size)).withColumn(
+        "step", F.explode(F.array(*[F.lit(i) for i in range(len(steps))]))
+    )
+    dead = dead_area(cells, lines, max_distance, size, ["site_id", "step"])
+    base = g.materialize(sites, buildable_sqm=g.area(g.inset(F.col("ring"), setback))).select("site_id", "buildable_sqm")
+    every = cand.select("site_id", "step", "spacing").join(base, "site_id")
+    j = every.join(road.drop("spacing"), ["site_id", "step"], "left").join(dead, ["site_id", "step"], "left")
+    zero = F.lit(0.0)
+    dead_sqm, road_sqm = F.coalesce("dead_sqm", zero), F.coalesce("road_sqm", zero)
+    ok = (dead_sqm < F.col("buildable_sqm") * 0.05) & (road_sqm <= F.col("buildable_sqm") * max_ratio)
+    pick = F.struct("step", "spacing", road_sqm.alias("road_sqm"), dead_sqm.alias("dead_sqm"), ok.alias("accepted"))
+    rank = F.when(ok, F.col("step")).otherwise(F.lit(10_000) - F.col("step"))
+    return j.groupBy("site_id").agg(F.min_by(pick, rank).alias("_p")).select("site_id", "_p.*")
