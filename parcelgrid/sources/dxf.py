@@ -22,7 +22,7 @@ LAYERS = {
 def parse_dxf(docs: DataFrame) -> DataFrame:
     """Entities ``path, entity_no, kind, layer, is_closed, points`` of LWPOLYLINE, POLYLINE and LINE."""
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    d = g.materialize(docs, _l=F.transform(lines, F.trim))
+    d = g.materialize(docs, _l=F.transform(lines, lambda t: F.trim(t)))
     n = F.floor(F.size("_l") / 2).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
