@@ -303,11 +303,37 @@ def route_to_boundary(sites: DataFrame, assets: DataFrame, offset: float = 2.0)
     return j.select("site_id", "asset_id", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), F.col("n.dist").alias("length_m"))
 
 
-def place_transformers(points: DataFrame, per: int = 15, rounds: int = 5) -> DataFrame:
+def nearest_centre(points: DataFrame, centres: DataFrame, start_m: float, max_rounds: int = 40) -> DataFrame:
+    """Nearest centre of every point, searched in grid cells within a radius that doubles until all have one.
+
+    A point never meets all centres of its site; whatever lies within the radius holds the nearest one.
+    Every site must have a centre.
+    """
+    c = centres.select(
+        "site_id", "c", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h")
+    )
+    todo, done, radius = points.select("site_id", "node", "px", "py"), None, float(start_m)
+    for _ in range(max_rounds):
+        p = todo.select("*", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
+        d = F.round((F.col("px") - F.col("x_b")) ** 2 + (F.col("py") - F.col("y_b")) ** 2, 6)
+        near = near_pairs(p, c, ["site_id"], radius, radius, how="left").groupBy("site_id", "node").agg(
+            F.min(F.when(F.col("x_b").isNotNull(), F.struct(d.alias("d"), F.col("c_b").alias("c")))).alias("_m"),
+            F.first("px").alias("px"), F.first("py").alias("py"),
+        )
+        step = cut_lineage(near.select("site_id", "node", "px", "py", F.col("_m.c").alias("c")))
+        hit = step.filter("c is not null")
+        done = hit if done is None else done.unionByName(hit)
+        todo = step.filter("c is null").drop("c")
+        if todo.isEmpty():
+            return done
+        radius *= 2
+    raise ValueError("a site has no centre")
+
+
+def place_transformers(points: DataFrame, per: int = 15, rounds: int = 5, start_m: float = 200.0) -> DataFrame:
     """Centres of ``max(1, n div per)`` clusters per site, Lloyd rounds for all sites at once.
 
-    Seeds are the points at equal steps of the id order.  Points meet the centres of their site by an equi-join;
-    centres per site are few next to its points, and sums are combined on the map side.
+    Seeds are the points at equal steps of the id order; sums are combined on the map side.
     """
     from parcelgrid.operators.prefix import ranked
 
@@ -322,12 +348,9 @@ def place_transformers(points: DataFrame, per: int = 15, rounds: int = 5) -> Dat
     )
     p = cut_lineage(p)
     for _ in range(rounds):
-        d = F.round((F.col("px") - F.col("cx")) ** 2 + (F.col("py") - F.col("cy")) ** 2, 6)
-        nearest = p.join(centres, "site_id").groupBy("site_id", "node").agg(
-            F.min(F.struct(d.alias("d"), F.col("c"))).alias("_m"), F.first("px").alias("px"), F.first("py").alias("py")
-        )
+        nearest = nearest_centre(p, centres, start_m)
         centres = cut_lineage(
-            nearest.groupBy("site_id", F.col("_m.c").alias("c")).agg(
+            nearest.groupBy("site_id", "c").agg(
                 F.round(F.avg("px"), 6).alias("cx"), F.round(F.avg("py"), 6).alias("cy"), F.count("*").alias("n_points")
             )
         ).select("site_id", "c", "cx", "cy")

@@ -186,7 +186,7 @@ def no_build(fx: Fixtures) -> DataFrame:
 
 @query(
     "j13_min_area_quality",
-    f"""SELECT p.layout_id, plot_no, round(least(1.0, {o.site_overlap('p', 's')}/(p.w*p.h)),6) AS quality
+    f"""SELECT p.layout_id, plot_no, round(least(1.0, {o.site_overlap('p', 's')}/(p.w*p.h)),12) AS quality
         FROM plots p JOIN layouts l USING (layout_id) JOIN sites s ON s.site_id=l.site_id WHERE p.w*p.h>=2000""",
 )
 def min_area_quality(fx: Fixtures) -> DataFrame:
@@ -196,7 +196,7 @@ def min_area_quality(fx: Fixtures) -> DataFrame:
     inside = pr.rect_in_site("ring", 0.0, prepared=True)
     left = F.when(inside, F.col("area_sqm")).otherwise(g.area_in_rect(F.col("ring"), x, y, w, h))
     ratio = pr.block_quality_ratio(left, F.col("area_sqm"))
-    return j.select("layout_id", "plot_no", F.round(ratio, 6).alias("quality"))
+    return j.select("layout_id", "plot_no", F.round(ratio, 12).alias("quality"))
 
 
 # ---------------------------------------------------------------- aggregates
