@@ -12,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parcelgrid.session import cut_lineage
+
+
 
 def _slot(value: Column, lo: Column, hi: Column, chunks: int) -> Column:
     share = F.try_divide((value - lo).cast("double"), (hi - lo).cast("double"))
@@ -40,10 +43,13 @@ def ranked(
     work, by = df, list(keys)
     if not by:
         work, by = df.withColumn("_all", F.lit(0)), ["_all"]
+    # written once: the statistics, the chunk totals and the rows all read it again, column by column
+    work = cut_lineage(work)
     path = list(by)
     for level in range(levels):
         work = _split(work, path, order, tie, chunks, f"_c{level}")
         path.append(f"_c{level}")
+    work = cut_lineage(work)
 
     totals = work.groupBy(*path).agg(
         F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelgrid.operators.bucket import near_pairs
-from parcelgrid.operators.metrics import layout_metrics
 from parcelgrid.operators.pairs import rect_in_site, road_access
 
 
@@ -46,18 +45,24 @@ def compliance_flags(
     no_access = access.groupBy("layout_id").agg(
         F.count("*").alias("n_no_access"), F.min("plot_no").alias("first_no_access")
     )
+    kind = F.col("type")
     per_plot = j.groupBy("layout_id").agg(
+        F.sum(F.when(ind, a).otherwise(0.0)).alias("sellable_sqm"),
+        F.sum(F.when(kind == "green_space", a).otherwise(0.0)).alias("green_sqm"),
         F.min(F.when(F.col("_set"), F.col("plot_no"))).alias("first_setback"),
         (F.count_if(small) + F.count_if(narrow)).alias("n_dimension"),
         F.min(F.when(small | narrow, F.col("plot_no"))).alias("first_dimension"),
     )
     with_roads = roads.select("site_id").distinct().withColumn("_roads", F.lit(True))
-    m = layout_metrics(layout_sites, plots)
+    zero = F.lit(0.0)
+    m = layout_sites.select("layout_id", "site_id", "site_sqm").join(per_plot, "layout_id", "left")
+    m = m.withColumn("sellable_sqm", F.coalesce("sellable_sqm", zero)).withColumn("green_sqm", F.coalesce("green_sqm", zero))
+    m = m.withColumn("sellable_ratio", F.when(F.col("site_sqm") > 0, F.col("sellable_sqm") / F.col("site_sqm")).otherwise(zero))
+    m = m.withColumn("green_ratio", F.when(F.col("site_sqm") > 0, F.col("green_sqm") / F.col("site_sqm")).otherwise(zero))
     return (
         m.join(with_roads, "site_id", "left")
         .withColumn("has_roads", F.coalesce("_roads", F.lit(False)))
         .drop("_roads")
-        .join(per_plot, "layout_id", "left")
         .join(pair_rules(plots, reg["fire_m"]), "layout_id", "left")
         .join(no_access, "layout_id", "left")
         .withColumn("n_dimension", F.coalesce("n_dimension", F.lit(0).cast("long")))

@@ -20,6 +20,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # split a hot layout even where its partitioning would have been reused afterwards
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         # no call-site capture per Column: building large expressions is several times faster
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # small local data: keep all cores busy instead of merging everything into one task
