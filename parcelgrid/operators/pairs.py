@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelgrid.functions import geometry as g
 from parcelgrid.operators.bucket import near_pairs
+from parcelgrid.session import cut_lineage
 
 LAYOUT = ("layout_id",)
 
@@ -151,7 +152,8 @@ def gate_assets(sites: DataFrame, assets: DataFrame, margin: float = 1.0, min_cl
         .when((F.col("kept_sqm") > 0) | touches, "too_small")
         .otherwise("outside")
     )
-    return g.materialize(j, boundary=boundary).drop("site", "convex", "planes")
+    # findings, result and merge all read the gated assets: cut them once
+    return cut_lineage(g.materialize(j, boundary=boundary).drop("site", "convex", "planes"))
 
 
 def gate_findings(gated: DataFrame, existing: DataFrame, tol: float = 0.1, cell_m: float = 100.0) -> DataFrame:

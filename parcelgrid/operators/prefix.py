@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from parcelgrid.session import cut_lineage
 
 
-
 def _slot(value: Column, lo: Column, hi: Column, chunks: int) -> Column:
     share = F.try_divide((value - lo).cast("double"), (hi - lo).cast("double"))
     return F.coalesce(F.least(F.floor(share * chunks), F.lit(chunks - 1)), F.lit(0)).cast("int")
