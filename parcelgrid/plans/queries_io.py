@@ -124,7 +124,7 @@ def dxf_summary(fx: Fixtures) -> DataFrame:
 @query(
     "io6_parse_assets_from_text",
     """SELECT asset_id, 'add' AS action, CASE WHEN asset_id%17=0 THEN '' ELSE t END AS type, CASE WHEN asset_id%17=0 THEN 0 ELSE w END AS width_m, CASE WHEN asset_id%17=0 THEN 'bad json' ELSE '' END AS error
-       FROM (SELECT *, ['internal_road','warehouse_cold','factory_standard','parking_lot','green_buffer','utility_station','office_center'][kind_no+1] AS t FROM assets) WHERE asset_id%17=0 OR kind_no<>3""",
+       FROM (SELECT *, ['factory_standard','warehouse_cold','office_hq','parking_lot','green_buffer','utility_station','internal_road'][kind_no+1] AS t FROM assets) WHERE asset_id%17=0 OR kind_no<>3""",
 )
 def parse_assets_from_text(fx: Fixtures) -> DataFrame:
     """Parking lots get an unknown type, every tenth text lacks a bracket, every seventeenth is broken."""

@@ -131,8 +131,8 @@ def utility_points(fx: Fixtures) -> DataFrame:
 
 
 _UTIL = """
-pt AS (SELECT site_id, asset_id AS node, x+w/2 AS px, y+h/2 AS py FROM assets WHERE kind_no<>0 UNION ALL
-  SELECT site_id, -1, 0.0, h/4 FROM sites WHERE site_id IN (SELECT site_id FROM assets WHERE kind_no<>0))
+pt AS (SELECT site_id, asset_id AS node, x+w/2 AS px, y+h/2 AS py FROM assets WHERE kind_no<>6 UNION ALL
+  SELECT site_id, -1, 0.0, h/4 FROM sites WHERE site_id IN (SELECT site_id FROM assets WHERE kind_no<>6))
 """
 
 

@@ -104,13 +104,13 @@ def typed_assets(fx: Fixtures) -> DataFrame:
 
 # fixed values: the seven asset keywords, in the order of kind_no
 ASSET_KEYWORDS = (
-    "internal_road",
-    "warehouse_cold",
     "factory_standard",
+    "warehouse_cold",
+    "office_hq",
     "parking_lot",
     "green_buffer",
     "utility_station",
-    "office_center",
+    "internal_road",
 )
 
 
@@ -123,12 +123,12 @@ def gated_assets(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
 _GATE = f"""
 gate AS (SELECT a.*, s.w AS sw, s.h AS sh, s.cut, s.concave, {o.site_contains('a', 's')} AS whole,
     {o.site_contains('a', 's', '1.0')} AS clear, {o.site_overlap('a', 's')} AS kept,
-    a.kind_no=0 AS road FROM assets a JOIN sites s USING (site_id) WHERE NOT is_existing),
+    a.kind_no=6 AS road FROM assets a JOIN sites s USING (site_id) WHERE NOT is_existing),
 gate2 AS (SELECT *, CASE WHEN whole THEN 'inside' WHEN kept>=10 THEN 'clipped'
     WHEN kept>0 OR (x<=sw AND y<=sh AND (CASE WHEN concave THEN x<=sw/2 OR y<=sh/2 ELSE x+y<=sw+sh-cut END)) THEN 'too_small'
     ELSE 'outside' END AS boundary FROM gate),
-meet AS (SELECT a.site_id, a.asset_id AS ida, b.asset_id AS idb, a.road AND b.kind_no=0 AS rr, b.is_existing,
-    a.road OR b.kind_no=0 AS any_road, greatest(a.x,b.x) AS x, greatest(a.y,b.y) AS y,
+meet AS (SELECT a.site_id, a.asset_id AS ida, b.asset_id AS idb, a.road AND b.kind_no=6 AS rr, b.is_existing,
+    a.road OR b.kind_no=6 AS any_road, greatest(a.x,b.x) AS x, greatest(a.y,b.y) AS y,
     least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x) AS w, least(a.y+a.h,b.y+b.h)-greatest(a.y,b.y) AS h
     FROM gate2 a JOIN assets b ON a.site_id=b.site_id AND a.boundary IN ('inside','clipped')
     WHERE (b.is_existing OR (a.asset_id>b.asset_id AND b.asset_id IN (SELECT asset_id FROM gate2 WHERE boundary IN ('inside','clipped'))))),

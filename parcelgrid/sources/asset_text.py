@@ -22,7 +22,8 @@ def parse_assets_from_text(rows: DataFrame, text: str, keywords: Sequence[str])
         missing > 0, F.concat(F.regexp_replace("_raw", r"\}\s*$", ""), F.repeat(F.lit("]"), missing), F.lit("}"))
     ).otherwise(F.col("_raw"))
     r = rows.withColumn("_raw", raw).withColumn("_j", F.from_json(fixed, _SCHEMA))
-    bad = F.col("_j.new_assets").isNull()
+    # a broken object parses to nulls throughout; a valid one may simply have no assets
+    bad = F.coalesce(F.col("_j.new_assets").isNull() & F.col("_j.action").isNull() & F.col("_j.explanation").isNull(), F.lit(True))
     keep = F.filter("_j.new_assets", lambda a: a.type.isin(*keywords))
     ids = [c for c in rows.columns if c != text]
     good = r.filter(~bad).select(
