@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,73 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = count_message_tokens(read_messages(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
     return out.select(F.col("message_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def held_out(key: str) -> Column:
+    """Whether a row is kept from training; a null id is not."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.toxicity import fit_toxicity, score_toxicity
+
+    messages = read_messages(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("message_id"), "toxic")
+    known = labels.filter(F.col("message_id").isNotNull() & ~held_out("message_id"))
+    model = fit_toxicity(messages.join(known, "message_id"))
+    return score_toxicity(messages, model).select(
+        F.col("message_id").alias("doc_id"), held_out("message_id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+#: Rules of the contract (fixed values).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.url_filters import filter_links
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_links(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, "page_id", "url")
+
+
+ORACLES["op8_url_filters"] = """
+WITH parts AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), best AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+  FROM (SELECT DISTINCT host, path FROM parts), rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path
+)
+SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+"""
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.language import identify_languages, learn_profiles
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = documents.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    profiles = learn_profiles(known, content="text")
+    return identify_languages(messages_of(documents), profiles).select(
+        F.col("message_id").alias("doc_id"), held_out("message_id").alias("held_out"), "lang_pred", "score"
+    )
