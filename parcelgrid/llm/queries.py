@@ -116,3 +116,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(messages_of(documents), profiles).select(
         F.col("message_id").alias("doc_id"), held_out("message_id").alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.near_copies import near_copy_groups
+
+    return near_copy_groups(read_messages(spark, sf_dir)).withColumnRenamed("message_id", "doc_id")
