@@ -123,3 +123,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parcelgrid.llm.near_copies import near_copy_groups
 
     return near_copy_groups(read_messages(spark, sf_dir)).withColumnRenamed("message_id", "doc_id")
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.decontaminate import find_passages
+
+    found = find_passages(read_messages(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    return found.select(
+        F.col("message_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
