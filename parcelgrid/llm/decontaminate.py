@@ -345,5 +345,5 @@ def cut_spans(content: Column, spans: Column) -> Column:
     n = F.size(spans)
     left = F.concat(F.array(F.lit(0)), ends)
     right = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(content)))
-    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.trim(content.substr(F.get(left, i) + 1, F.get(right, i) - F.get(left, i))))
+    kept = F.zip_with(left, right, lambda a, b: F.trim(content.substr(a + 1, b - a)))
     return F.when(n > 0, F.array_join(F.filter(kept, lambda t: t != ""), " ")).otherwise(content)

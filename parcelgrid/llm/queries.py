@@ -135,3 +135,56 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("message_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.secrets import KINDS, find_secrets, spans_text
+
+    found = find_secrets(read_messages(spark, sf_dir))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(
+        F.col("message_id").alias("doc_id"), *counts, F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.quality_rules import measure_messages
+
+    return measure_messages(read_messages(spark, sf_dir)).withColumnRenamed("message_id", "doc_id")
+
+
+ORACLES["op7_quality_rules"] = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row_no FROM documents),
+words AS (
+  SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+), grams AS (
+  SELECT row_no, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+  FROM (SELECT row_no, words, unnest(range(1, len(words) - 1)) AS i FROM words)
+), again AS (
+  SELECT row_no, i FROM (SELECT *, count(*) OVER (PARTITION BY row_no, g) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT row_no, sum(least(3, i - coalesce(before, -3))) AS n
+  FROM (SELECT *, lag(i) OVER (PARTITION BY row_no ORDER BY i) AS before FROM again) GROUP BY row_no
+), counted AS (
+  SELECT doc_id, text, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+         len(string_split(text, chr(10))) AS n_lines
+  FROM words LEFT JOIN covered c USING (row_no)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR length(text) > 40 * n_words
+            OR 2 * length(regexp_replace(text, '[^\p{L}]+', '', 'g')) < length(text)) AS kept
+FROM judged
+"""
