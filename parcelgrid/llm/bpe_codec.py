@@ -22,6 +22,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -305,13 +306,15 @@ def decode_messages(
 
 
 def codec_digests(
-    messages: DataFrame, vocabulary_path: str, message_id: str = "message_id", content: str = "content"
+    messages: DataFrame, vocabulary_path: str, message_id: str = "message_id", content: str = "content",
+    with_tokens: bool = False,
 ) -> DataFrame:
     """Encodes every message and decodes the result, keeping only digests: a check of a stored encoding.
 
     Ids and decoded text stream from the transducer through the decoder, so a message of any length needs constant
     memory beside its text.  Returns ``message_id, n_tokens BIGINT, ids_sha256, decoded_sha256`` (lower-case hex; of
-    the ids as little-endian unsigned 32-bit integers, and of the surface form in UTF-8).  Null counts as empty.
+    the ids as little-endian unsigned 32-bit integers, and of the surface form in UTF-8), and with
+    ``with_tokens`` the ids as ``tokens ARRAY<INT>``.  Null counts as empty.
     """
     spec = _spec(vocabulary_path)
 
@@ -319,22 +322,26 @@ def codec_digests(
         coder = transducer(spec)
         table = [s.encode() for s in coder.surface]
 
-        def digests(text: str) -> tuple[int, str, str]:
+        def digests(text: str) -> tuple:
+            kept = array("I")
             n, ids_hash, text_hash, machine = 0, hashlib.sha256(), hashlib.sha256(), TextDecoder(table, b" ")
             for packed in coder.encode(text):
                 if packed:
                     ids_hash.update(packed)
                     n += len(packed) // 4
+                    if with_tokens:
+                        kept.frombytes(packed)
                     text_hash.update(machine.feed(memoryview(packed).cast("I")).encode())
             text_hash.update(machine.finish().encode())
-            return n, ids_hash.hexdigest(), text_hash.hexdigest()
+            return n, ids_hash.hexdigest(), text_hash.hexdigest(), kept
 
         def work(part: pa.RecordBatch):
             rows = [digests(t.as_py() or "") for t in part.column("content")]
-            n, ids, decoded = zip(*rows)
-            return pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)
+            n, ids, decoded, kept = zip(*rows)
+            tokens = [pa.array([np.frombuffer(k, np.int32) for k in kept], pa.list_(pa.int32()))] if with_tokens else []
+            return pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), *tokens
 
         return work
 
-    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    fields = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * with_tokens
     return map_rows(keyed(messages, message_id, content=content), "content", make, fields, message_id)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from parcelgrid.llm.batches import keyed, slices, utf8
 
@@ -302,14 +302,13 @@ def find_passages(
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     rows = keyed(messages, message_id, content=content)
-    kind = rows.schema["key"].dataType.simpleString()
     for b in range(blocks):
         part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         phrases = Phrases.of(sorted({(r["item"], r["text"]) for r in part.collect()}, key=str), window)
         spread = messages.sparkSession.sparkContext.broadcast(phrases)
-        text = "" if b == blocks - 1 else ", content string"
-        fields = f"key {kind}, n_words bigint, spans {SPANS}, items array<string>{text}"
-        rows = rows.mapInArrow(_search(spread, b > 0, bool(text)), fields)
+        more = b < blocks - 1
+        found = T.StructType.fromDDL(f"n_words bigint, spans {SPANS}, items array<string>" + ", content string" * more)
+        rows = rows.mapInArrow(_search(spread, b > 0, more), T.StructType([rows.schema["key"], *found]))
     return rows.withColumnRenamed("key", message_id)
 
 
@@ -339,6 +338,16 @@ def _search(spread, later: bool, more: bool):
     return run
 
 
+def remove_passages(
+    messages: DataFrame, items: DataFrame, content: str = "content", item_id: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The messages with all their columns and without the benchmark passages in their content; no shuffle."""
+    packed = messages.select(F.struct(*messages.columns).alias("row"), F.col(content).alias("content"))
+    found = find_passages(packed, items, "row", "content", item_id, item_text)
+    clean = cut_spans(F.col("row").getField(content), F.col("spans")).alias(content)
+    return found.select(*[clean if c == content else F.col("row").getField(c).alias(c) for c in messages.columns])
+
+
 def cut_spans(content: Column, spans: Column) -> Column:
     """The text without the spans; a single space stands where one was cut out between other text."""
     ends = F.transform(spans, lambda s: s["stop"])

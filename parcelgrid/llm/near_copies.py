@@ -147,3 +147,19 @@ def near_copy_groups(messages: DataFrame, message_id: str = "message_id", conten
     return fps.join(found, "fp").select(
         F.col("key").alias(message_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_first_copies(messages: DataFrame, message_id: str = "message_id", content: str = "content") -> DataFrame:
+    """One message of each group of near copies, that with the smallest id, with all its columns.
+
+    Repeated rows become one.  Rows that share an id but not a content are one message in several parts: they stay or
+    go together.  In a group without any id only repeated rows can be told to be the same.
+    """
+    groups = cut_lineage(near_copy_groups(messages, message_id, content).select(F.col(message_id).alias("_kept"), "component_id"))
+    kept = groups.groupBy("_kept").agg(
+        F.max(F.col("_kept").eqNullSafe(F.col("component_id"))).alias("_first"), (F.count("*") > 1).alias("_again")
+    ).filter("_first").select("_kept", "_again")
+    rows = messages.join(kept, F.col(message_id).eqNullSafe(F.col("_kept")))
+    once = rows.filter(~F.col("_again")).select(messages.columns)
+    again = rows.filter("_again").select(messages.columns).dropDuplicates([message_id, content])
+    return once.unionByName(again)

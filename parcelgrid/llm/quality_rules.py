@@ -137,6 +137,15 @@ def judge_messages(
     return rows.select(F.col("key").alias(message_id), cascade(F.col("_text"), F.col("_words"), ordered).isNull().alias("kept"))
 
 
+def keep_messages(
+    messages: DataFrame, content: str = "content", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS
+) -> DataFrame:
+    """The messages that no rule rejects, with all their columns."""
+    ordered = order_rules(messages, content, rules, sample_rows)
+    text = F.coalesce(F.col(content), F.lit(""))
+    return messages.filter(_with(words_of(text), lambda words: cascade(text, words, ordered)).isNull())
+
+
 def measure_messages(
     messages: DataFrame, message_id: str = "message_id", content: str = "content", rules: tuple[Rule, ...] = RULES,
     sample_rows: int = SAMPLE_ROWS,

@@ -188,3 +188,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 2 * length(regexp_replace(text, '[^\p{L}]+', '', 'g')) < length(text)) AS kept
 FROM judged
 """
+
+
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.main_text import extract_text, fit_labeller
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract_text(pages, fit_labeller(pages))

@@ -69,9 +69,9 @@ def _weak_kind(m: Column) -> Column:
     )
 
 
-def _candidates(messages: DataFrame, message_id: str, content: str) -> DataFrame:
+def _candidates(rows: DataFrame) -> DataFrame:
     """``key, base, weak``: certain and weak parts of every message, from one pass over the texts."""
-    rows = messages.select(F.col(message_id).alias("key"), F.coalesce(F.col(content), F.lit("")).alias("text"))
+    rows = rows.select("key", F.coalesce("text", F.lit("")).alias("text"))
     lit = F.lit
     matched = rows.select(
         "key", "text",
@@ -128,7 +128,22 @@ def find_secrets(
     Null and empty contents have no spans; a null id stays null; repeated rows stay repeated; rows that share an id
     but not a text are kept apart; extra columns are ignored.
     """
-    found = cut_lineage(_candidates(messages, message_id, content))
+    return _with_spans(messages.select(F.col(message_id).alias("key"), F.col(content).alias("text")), scope).withColumnRenamed(
+        "key", message_id
+    )
+
+
+def redact_messages(messages: DataFrame, content: str = "content", scope: int = SCOPE) -> DataFrame:
+    """The messages with all their columns and their secrets replaced by a mark."""
+    packed = messages.select(F.struct(*messages.columns).alias("key"), F.col(content).alias("text"))
+    found = _with_spans(packed, scope)
+    clean = redact(F.col("key").getField(content), F.col("spans")).alias(content)
+    return found.select(*[clean if c == content else F.col("key").getField(c).alias(c) for c in messages.columns])
+
+
+def _with_spans(rows: DataFrame, scope: int) -> DataFrame:
+    """``key, spans`` for rows of ``key, text``."""
+    found = cut_lineage(_candidates(rows))
     some = found.filter(F.col("doc").isNotNull())
     free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["start"] < b["stop"]) & (b["start"] < w["stop"])))
     parts = some.select("doc", F.explode(F.concat("base", free)).alias("p")).select("doc", "p.*").distinct()
@@ -139,7 +154,7 @@ def find_secrets(
         "key", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{PART}>")))).alias("spans")
     )
     plain = found.filter(F.col("doc").isNull()).select("key", F.col("base").alias("spans"))
-    return plain.unionByName(joined).withColumnRenamed("key", message_id)
+    return plain.unionByName(joined)
 
 
 def spans_text(spans: Column) -> Column:
