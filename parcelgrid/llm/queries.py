@@ -60,7 +60,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = read_messages(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("message_id"), "toxic")
     known = labels.filter(F.col("message_id").isNotNull() & ~held_out("message_id"))
-    model = fit_toxicity(messages.join(known, "message_id"))
+    model = fit_toxicity(messages, known)
     return score_toxicity(messages, model).select(
         F.col("message_id").alias("doc_id"), held_out("message_id").alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),

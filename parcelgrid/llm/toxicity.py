@@ -168,22 +168,25 @@ class ToxicityModel:
 
 
 def fit_toxicity(
-    messages: DataFrame, message_id: str = "message_id", content: str = "content", toxic: str = "toxic",
-    fit_rows: int = FIT_ROWS,
+    messages: DataFrame, labels: DataFrame, message_id: str = "message_id", content: str = "content",
+    toxic: str = "toxic", fit_rows: int = FIT_ROWS,
 ) -> ToxicityModel:
-    """Lexicon and weights from labelled messages.
+    """Lexicon and weights from labelled messages; ``labels`` has the ids and 0 or 1.
 
-    At most ``fit_rows`` messages of each class are used, those first in the order of a hash of the id; this bounds
-    what is read again and what reaches the driver (five numbers per message, and the beginnings of words that are
-    candidates).  Terms and stems come from the beginnings of words, see ``pick_terms``; at most ``MOST_TERMS`` are
-    kept.  Without labelled messages there are none, and every score is that of no evidence.
+    At most ``fit_rows`` labels of each class are used, those first in the order of a hash of the id, and one message
+    for each.  This bounds what is broadcast, what is read again, and what reaches the driver (five numbers per
+    message, and the beginnings of words that are candidates).  Terms and stems come from the beginnings of words, see
+    ``pick_terms``; at most ``MOST_TERMS`` are kept.  Without labelled messages there are none, and every score is
+    that of no evidence.
     """
-    rows = messages.filter(F.col(toxic).isin(0, 1) & F.col(content).isNotNull()).select(
-        F.col(message_id).alias("key"), F.col(content).alias("content"), F.col(toxic).alias("toxic")
-    )
-    order = [F.xxhash64("key"), F.col("key")]
-    parts = [rows.filter(F.col("toxic") == k).orderBy(*order).limit(fit_rows) for k in (0, 1)]
-    sample = cut_lineage(parts[0].unionByName(parts[1]))
+    marks = labels.select(F.col(message_id).alias("key"), F.col(toxic).alias("toxic")).filter("key IS NOT NULL")
+    parts = [
+        marks.filter(F.col("toxic") == k).distinct().orderBy(F.xxhash64("key"), "key").limit(fit_rows) for k in (0, 1)
+    ]
+    chosen = cut_lineage(parts[0].unionByName(parts[1]))
+    rows = keyed(messages, message_id, content=content).filter("content IS NOT NULL")
+    # the ids are bounded by fit_rows; repeated ids keep one message
+    sample = cut_lineage(rows.join(F.broadcast(chosen), "key").dropDuplicates(["key", "toxic"]))
     sizes = dict(sample.groupBy("toxic").count().collect())
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
 
