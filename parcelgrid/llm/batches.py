@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SLICE_BYTES = 4 << 20
 
@@ -39,7 +39,8 @@ def map_rows(
 
     ``make`` runs once in each task and returns the function that turns a slice into the arrays of ``fields``.
     """
-    kind = rows.schema["key"].dataType.simpleString()
+    schema = T.StructType([T.StructField(out_key, rows.schema["key"].dataType), *T.StructType.fromDDL(fields)])
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -49,8 +50,6 @@ def map_rows(
                 arrays = [part.column("key"), *work(part)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = f"`{out_key}` {kind}, {fields}"
-    names = rows.sparkSession.createDataFrame([], schema).columns
     return rows.mapInArrow(run, schema)
 
 
