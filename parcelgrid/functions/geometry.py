@@ -200,23 +200,26 @@ def is_convex(ring: Column) -> Column:
 
 
 def drop_collinear(ring: Column, tol: float = 0.1) -> Column:
-    """Drop vertices lying within ``tol`` of the line through their two neighbours."""
+    """Drop vertices lying within ``tol`` of the line from the last kept vertex to the next one.
+
+    A finely drawn curve keeps a vertex wherever it has left the line by more than ``tol``; a ring of which fewer than
+    three vertices would stay is kept as it is.
+    """
 
     def offset(prev: Column, here: Column, nxt: Column) -> Column:
         return F.try_divide(F.abs(cross(prev, nxt, here)), F.hypot(nxt.x - prev.x, nxt.y - prev.y))
 
     def shrink(r: Column) -> Column:
-        n = F.size(r)
-        return F.filter(
-            r,
-            lambda p, i: F.coalesce(
-                offset(
-                    F.try_element_at(r, F.pmod(i - 1, n) + 1), p, F.try_element_at(r, F.pmod(i + 1, n) + 1)
-                )
-                > tol,
-                F.lit(True),
-            ),
-        )
+        steps = F.zip_with(r, shift_left(r), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        before = F.try_element_at(r, F.lit(-1))
+
+        def step(kept: Column, s: Column) -> Column:
+            last = F.coalesce(F.try_element_at(kept, F.lit(-1)), before)
+            stays = F.coalesce(offset(last, s.p, s.q) > tol, F.lit(True))
+            return F.when(stays, F.concat(kept, F.array(s.p))).otherwise(kept)
+
+        fewer = F.aggregate(steps, F.slice(r, 1, 0), step)
+        return let(fewer, lambda k: F.when(F.size(k) >= 3, k).otherwise(r))
 
     return let(ring, shrink)
 
@@ -401,8 +404,8 @@ def clip_to_ring(ring: Column, window: Column) -> Column:
 
 
 def inset(ring: Column, distance: Num) -> Column:
-    """Setback polygon of a convex ring: its half-planes moved inwards."""
-    return clip_convex(ring, planes_of(ring, distance))
+    """Setback polygon of a convex ring: its half-planes moved inwards.  Null for a concave ring."""
+    return F.when(is_convex(ring), clip_convex(ring, planes_of(ring, distance)))
 
 
 def intersection_area(a: Column, b: Column) -> Column:

@@ -174,19 +174,19 @@ def pick_scenarios(metrics: DataFrame) -> DataFrame:
 
 
 def session_summary(messages: DataFrame, layouts: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Boundary flag, number of layouts and of messages per session."""
+    """Boundary flag, number of layouts and of messages of every session that has any of them."""
     m = messages.groupBy("session_id").agg(F.count("*").alias("n_messages"))
     lay = layouts.groupBy("session_id").agg(F.count("*").alias("n_layouts"))
     has = boundaries.select("session_id").distinct().withColumn("has_boundary", F.lit(True))
     zero = F.lit(0).cast("long")
     return (
-        m.join(lay, "session_id", "left")
-        .join(has, "session_id", "left")
+        m.join(lay, "session_id", "full")
+        .join(has, "session_id", "full")
         .select(
             "session_id",
             F.coalesce("has_boundary", F.lit(False)).alias("has_boundary"),
             F.coalesce("n_layouts", zero).alias("n_layouts"),
-            "n_messages",
+            F.coalesce("n_messages", zero).alias("n_messages"),
         )
     )
 

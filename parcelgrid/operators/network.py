@@ -27,12 +27,12 @@ def candidate_edges(points: DataFrame, max_d: float, cell_m: float | None = None
     )
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node id reachable from every node: labels spread over edges, then jump along labels."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Smallest node id reachable from every node: labels spread over edges, then jump along labels, until none moves."""
     e = edges.select("site_id", "u", "v")
     both = cut_lineage(e.unionByName(e.select("site_id", F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = cut_lineage(nodes.select("site_id", "node", F.col("node").alias("comp")))
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels.select("site_id", F.col("node").alias("v"), "comp"), ["site_id", "v"]).groupBy(
             "site_id", F.col("u").alias("node")
         ).agg(F.min("comp").alias("low"))
@@ -48,11 +48,10 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         changed = step.filter(F.col("new") != F.col("comp")).count()
         labels = step.select("site_id", "node", F.col("new").alias("comp"))
         if changed == 0:
-            break
-    return labels
+            return labels
 
 
-def _hook(picked: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _hook(picked: DataFrame) -> DataFrame:
     """Root of every component that picked an edge.
 
     Each component points to the other end of its edge; of two pointing at each other the smaller id is the
@@ -65,7 +64,7 @@ def _hook(picked: DataFrame, max_rounds: int = 40) -> DataFrame:
         F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"),
     )
     up = cut_lineage(up)
-    for _ in range(max_rounds):
+    while True:
         hop = up.select("site_id", F.col("c").alias("to"), F.col("to").alias("to2"))
         twice = up.join(hop, ["site_id", "to"], "left").select(
             "site_id", "c", "to", F.coalesce("to2", "to").alias("new")
@@ -93,12 +92,12 @@ def _cheapest(live: DataFrame) -> DataFrame:
     return best.select("site_id", "c", "_e.*")
 
 
-def mst(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def mst(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Minimum spanning forest per site.  Every component picks its cheapest outgoing edge each round; ties go to
     the lower ``(weight, u, v)``, so the forest is unique and no cycle can close."""
     labels = nodes.select("site_id", "node", F.col("node").alias("comp"))
     live, tree = edges.select(*EDGE), None
-    for _ in range(max_rounds):
+    while True:
         j = live.join(
             labels.select("site_id", F.col("node").alias("u"), F.col("comp").alias("cu")), ["site_id", "u"]
         ).join(labels.select("site_id", F.col("node").alias("v"), F.col("comp").alias("cv")), ["site_id", "v"])
@@ -113,15 +112,19 @@ def mst(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return tree if tree is not None else edges.select(*EDGE).limit(0)
 
 
-def euclidean_mst(points: DataFrame, start_m: float, max_m: float) -> DataFrame:
+def euclidean_mst(points: DataFrame, start_m: float) -> DataFrame:
     """Spanning tree over all points without listing all pairs.
 
     Each round looks for edges within a radius, between different components only, and every component takes its
     cheapest one: edges beyond the radius are longer, so that is the cheapest of all.  The radius doubles from
     round to round; sites that are connected drop out.  Copies of one location hang on their smallest id at
-    length 0.
+    length 0.  The search ends when every site is connected; the diameter of the largest site is the furthest that it
+    can have to look, and a point without a place is an error.
     """
     pts = cut_lineage(points.select("site_id", "node", "px", "py"))
+    placed = F.col("px").isNotNull() & F.col("py").isNotNull() & ~F.isnan("px") & ~F.isnan("py")
+    if not pts.filter(~placed).isEmpty():
+        raise ValueError("a point has no place")
     spot = pts.groupBy("site_id", "px", "py").agg(F.min("node").alias("rep"))
     tree = pts.join(spot, ["site_id", "px", "py"]).filter("node <> rep").select(
         "site_id", F.col("rep").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("weight")
@@ -145,9 +148,9 @@ def euclidean_mst(points: DataFrame, start_m: float, max_m: float) -> DataFrame:
             work = cut_lineage(_relabel(work, _hook(picked)))
         open_sites = work.groupBy("site_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         work = cut_lineage(work.join(open_sites.select("site_id"), "site_id", "left_semi"))
-        if work.isEmpty() or (not found and radius >= max_m):
+        if work.isEmpty():
             return tree.select(*EDGE)
-        radius = min(radius * 2, max_m) if radius < max_m else radius
+        radius *= 2
 
 
 def loop_network(points: DataFrame, max_d: float = 500.0, redundancy: float = 0.15) -> DataFrame:
@@ -172,18 +175,19 @@ def shortest_per_site(edges: DataFrame, limits: DataFrame) -> DataFrame:
     """The ``k`` shortest edges per site, ``k`` a column; large sites are ranked in chunks."""
     from parcelgrid.operators.prefix import ranked
 
-    # rank by weight with a tie that follows (u, v): both fit one number only by order, so rank ties by hash-free key
-    keyed = edges.withColumn("_tie", F.col("u") * F.lit(1 << 31) + F.col("v"))
+    # one number that orders as (u, v) does; a decimal holds both ids whole
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    keyed = edges.withColumn("_tie", whole("u") * F.lit(10**19).cast("decimal(20,0)") + whole("v"))
     r = ranked(keyed, ["site_id"], "weight", "_tie")
     return r.join(limits, "site_id").filter(F.col("rn") <= F.col("k")).drop("_tie")
 
 
-def steiner_approx(terminals: DataFrame, extra: DataFrame, start_m: float, max_m: float) -> DataFrame:
+def steiner_approx(terminals: DataFrame, extra: DataFrame, start_m: float) -> DataFrame:
     """Spanning tree over terminals and all candidate points; unused candidates stay, as in the original."""
-    return euclidean_mst(terminals.unionByName(extra), start_m, max_m)
+    return euclidean_mst(terminals.unionByName(extra), start_m)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Distance and predecessor of every node reachable from its site's source, by frontier relaxation."""
     e = edges.select(*EDGE)
     both = cut_lineage(
@@ -192,7 +196,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 200)
     best = cut_lineage(
         sources.select("site_id", "node", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh"))
     )
-    for _ in range(max_rounds):
+    while True:
         front = best.filter("fresh").select("site_id", F.col("node").alias("u"), "dist")
         offers = front.join(both, ["site_id", "u"]).groupBy("site_id", F.col("v").alias("node")).agg(
             F.min(F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("u").alias("pred"))).alias("_o")
@@ -212,24 +216,23 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 200)
             )
         )
         if best.filter("fresh").isEmpty():
-            break
-    return best.drop("fresh")
+            return best.drop("fresh")
 
 
-def path_to(paths: DataFrame, targets: DataFrame, max_rounds: int = 200) -> DataFrame:
+def path_to(paths: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges of the path from the source to each site's target; nothing when unreachable."""
     at = cut_lineage(targets.select("site_id", "node", F.lit(0).alias("step")).join(
         paths.select("site_id", "node"), ["site_id", "node"], "left_semi"))
-    out = at
-    for k in range(1, max_rounds + 1):
+    out, k = at, 0
+    while True:
+        k += 1
         nxt = at.join(paths, ["site_id", "node"]).filter("pred is not null").select(
             "site_id", F.col("pred").alias("node"), F.lit(k).alias("step")
         )
         at = cut_lineage(nxt)
         if at.isEmpty():
-            break
+            return out
         out = out.unionByName(at)
-    return out
 
 
 def visibility_edges(edges: DataFrame, points: DataFrame, obstacles: DataFrame, cell_m: float = 100.0) -> DataFrame:
@@ -303,17 +306,19 @@ def route_to_boundary(sites: DataFrame, assets: DataFrame, offset: float = 2.0)
     return j.select("site_id", "asset_id", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), F.col("n.dist").alias("length_m"))
 
 
-def nearest_centre(points: DataFrame, centres: DataFrame, start_m: float, max_rounds: int = 40) -> DataFrame:
+def nearest_centre(points: DataFrame, centres: DataFrame, start_m: float) -> DataFrame:
     """Nearest centre of every point, searched in grid cells within a radius that doubles until all have one.
 
     A point never meets all centres of its site; whatever lies within the radius holds the nearest one.
-    Every site must have a centre.
+    A site without a centre is an error.
     """
+    if not points.join(centres.select("site_id"), "site_id", "left_anti").isEmpty():
+        raise ValueError("a site has no centre")
     c = centres.select(
         "site_id", "c", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h")
     )
     todo, done, radius = points.select("site_id", "node", "px", "py"), None, float(start_m)
-    for _ in range(max_rounds):
+    while True:
         p = todo.select("*", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
         d = F.round((F.col("px") - F.col("x_b")) ** 2 + (F.col("py") - F.col("y_b")) ** 2, 6)
         near = near_pairs(p, c, ["site_id"], radius, radius, how="left").groupBy("site_id", "node").agg(
@@ -327,7 +332,6 @@ def nearest_centre(points: DataFrame, centres: DataFrame, start_m: float, max_ro
         if todo.isEmpty():
             return done
         radius *= 2
-    raise ValueError("a site has no centre")
 
 
 def place_transformers(points: DataFrame, per: int = 15, rounds: int = 5, start_m: float = 200.0) -> DataFrame:
@@ -349,11 +353,13 @@ def place_transformers(points: DataFrame, per: int = 15, rounds: int = 5, start_
     p = cut_lineage(p)
     for _ in range(rounds):
         nearest = nearest_centre(p, centres, start_m)
-        centres = cut_lineage(
-            nearest.groupBy("site_id", "c").agg(
-                F.round(F.avg("px"), 6).alias("cx"), F.round(F.avg("py"), 6).alias("cy"), F.count("*").alias("n_points")
-            )
-        ).select("site_id", "c", "cx", "cy")
+        moved = nearest.groupBy("site_id", "c").agg(
+            F.round(F.avg("px"), 6).alias("nx"), F.round(F.avg("py"), 6).alias("ny")
+        )
+        # a centre that lost its points stays where it was
+        centres = cut_lineage(centres.join(moved, ["site_id", "c"], "left").select(
+            "site_id", "c", F.coalesce("nx", "cx").alias("cx"), F.coalesce("ny", "cy").alias("cy")
+        ))
     return centres
 
 

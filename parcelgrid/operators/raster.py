@@ -113,21 +113,29 @@ def union_area(parts: DataFrame, keys: list[str], size: float) -> DataFrame:
     return cells.groupBy(*keys).agg((F.count("*") * float(size * size)).alias("area_sqm"))
 
 
-def nearest_seed_regions(cells: DataFrame, seeds: DataFrame, start_m: float, max_m: float) -> DataFrame:
-    """Nearest seed of every cell, searched in rings that double until each cell has one."""
+def nearest_seed_regions(cells: DataFrame, seeds: DataFrame, start_m: float) -> DataFrame:
+    """Nearest seed of every cell, searched in rings that double until each cell has one.
+
+    Cells of a site without seeds have a null seed.
+    """
     s = seeds.select(
         "site_id", "node", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h")
     )
-    todo = cut_lineage(centres(cells))
-    done, radius = None, float(start_m)
+    every = cut_lineage(centres(cells))
+    todo = every.join(s.select("site_id"), "site_id", "left_semi")
+    none = F.lit(None)
+    done = every.join(s.select("site_id"), "site_id", "left_anti").select(
+        "site_id", "i", "j", none.cast(s.schema["node"].dataType).alias("seed"), none.cast("double").alias("d")
+    )
+    radius = float(start_m)
     while True:
         hit = near_pairs(todo, s, ["site_id"], radius, radius).groupBy("site_id", "i", "j").agg(
             F.min(F.struct(F.round("gap_m", 6).alias("d"), F.col("node_b").alias("seed"))).alias("_m")
         )
         hit = cut_lineage(hit.select("site_id", "i", "j", "_m.seed", "_m.d"))
-        done = hit if done is None else done.unionByName(hit)
+        done = done.unionByName(hit)
         todo = cut_lineage(todo.join(hit.select("site_id", "i", "j"), ["site_id", "i", "j"], "left_anti"))
-        if radius >= max_m or todo.isEmpty():
+        if todo.isEmpty():
             return done
         radius *= 2
 

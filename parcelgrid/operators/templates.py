@@ -132,7 +132,7 @@ TEMPLATES: dict[str, Callable[..., DataFrame]] = {
 
 
 def roads_by_template(sites: DataFrame, template: str = "template") -> DataFrame:
-    """Every site by the generator its ``template`` column names; unknown names give no roads."""
+    """Every site by the generator its ``template`` column names; see ``template_errors`` for unknown names."""
     parts = [make(sites.filter(F.col(template) == name)) for name, make in TEMPLATES.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -140,6 +140,13 @@ def roads_by_template(sites: DataFrame, template: str = "template") -> DataFrame
     return out
 
 
+def template_errors(sites: DataFrame, template: str = "template") -> DataFrame:
+    """A row with the reason for every site that ``roads_by_template`` can draw nothing for."""
+    known = F.col(template).isin(*TEMPLATES)
+    why = F.when(F.col(template).isNull(), "no template").when(~known, F.concat(F.lit("unknown template "), F.col(template)))
+    return sites.select("site_id", template, why.alias("error")).filter("error IS NOT NULL")
+
+
 def entry_points(sites: DataFrame, roads: DataFrame) -> DataFrame:
     """Entries per template: two opposite box corners (grid), axis ends (spine, cross), connector start (loop)."""
     ends = F.array(F.col("path")[0], F.col("path")[F.size("path") - 1])

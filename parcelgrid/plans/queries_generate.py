@@ -208,6 +208,16 @@ def template_dispatch(fx: Fixtures) -> DataFrame:
     )
 
 
+@query(
+    "u3_template_errors",
+    """SELECT site_id, CASE site_id%5 WHEN 0 THEN 'star' WHEN 2 THEN 'grid' WHEN 3 THEN 'spine' WHEN 4 THEN 'cross' END AS template,
+      CASE site_id%5 WHEN 0 THEN 'unknown template star' ELSE 'no template' END AS error FROM sites WHERE site_id%5<2""",
+)
+def template_errors(fx: Fixtures) -> DataFrame:
+    names = F.array(F.lit("star"), F.lit(None).cast("string"), F.lit("grid"), F.lit("spine"), F.lit("cross"))
+    return te.template_errors(fx.sites.withColumn("template", F.get(names, (F.col("site_id") % 5).cast("int"))))
+
+
 @query(
     "e6_recommend_template",
     """SELECT layout_id, plot_no, CASE WHEN a>2.5 THEN 'spine' WHEN a<1.3 THEN 'cross' WHEN w*h*20>500000 THEN 'grid' ELSE 'loop' END AS template

@@ -115,10 +115,14 @@ def assemble_rings(fx: Fixtures) -> DataFrame:
 
 @query(
     "io11_dxf_summary",
-    """SELECT site_id::VARCHAR AS path, (site_id%3<>0)::BIGINT AS n_lwpolyline, (site_id%3<>0)::BIGINT AS n_closed, 1::BIGINT AS n_polyline, CASE WHEN site_id%3=0 THEN 4 ELSE 1 END::BIGINT AS n_line, true AS is_valid FROM sites""",
+    """SELECT site_id::VARCHAR AS path, (site_id%3<>0)::BIGINT AS n_lwpolyline, (site_id%3<>0)::BIGINT AS n_closed, 1::BIGINT AS n_polyline, CASE WHEN site_id%3=0 THEN 4 ELSE 1 END::BIGINT AS n_line, true AS is_valid FROM sites
+       UNION ALL SELECT 'empty-'||site_id, 0, 0, 0, 0, false FROM sites""",
 )
 def dxf_summary(fx: Fixtures) -> DataFrame:
-    return dxf.summary(dxf.parse_dxf(dxf_documents(fx)))
+    """Every drawing, and for every site one more without entities."""
+    empty = fx.sites.select(F.concat(F.lit("empty-"), F.col("site_id").cast("string")).alias("path"), F.lit(dxf.HEADER + dxf.FOOTER).alias("value"))
+    drawings = dxf_documents(fx).unionByName(empty)
+    return dxf.summary(dxf.parse_dxf(drawings), drawings)
 
 
 @query(

@@ -50,7 +50,7 @@ def candidate_edges(fx: Fixtures) -> DataFrame:
 
 @query("n2_mst", _PTS + "," + _grow("pt", "1e9") + "SELECT site_id, u, v, round(weight,4) AS weight FROM tr")
 def mst(fx: Fixtures) -> DataFrame:
-    t = nw.euclidean_mst(asset_points(fx), 100.0, 1000.0)
+    t = nw.euclidean_mst(asset_points(fx), 100.0)
     return t.select("site_id", "u", "v", r4(F.col("weight"), "weight"))
 
 
@@ -82,7 +82,7 @@ def loop_network(fx: Fixtures) -> DataFrame:
 )
 def non_tree_edges(fx: Fixtures) -> DataFrame:
     p = asset_points(fx)
-    rest = ed.non_tree_edges(nw.candidate_edges(p, 150.0), nw.euclidean_mst(p, 100.0, 1000.0))
+    rest = ed.non_tree_edges(nw.candidate_edges(p, 150.0), nw.euclidean_mst(p, 100.0))
     return rest.groupBy("site_id").agg(F.count("*").alias("n_edges"), r4(F.sum("weight"), "total_m"))
 
 
@@ -99,7 +99,7 @@ def steiner_approx(fx: Fixtures) -> DataFrame:
         "site_id", (F.col("point_no") + 1000000000).cast("long").alias("node"), "px", "py"
     )
     terminals = asset_points(fx).join(sites.select("site_id"), "site_id", "left_semi")
-    t = nw.steiner_approx(terminals, extra, 100.0, 1000.0)
+    t = nw.steiner_approx(terminals, extra, 100.0)
     return t.groupBy("site_id").agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 3).alias("total_m"))
 
 
@@ -146,7 +146,7 @@ pt AS (SELECT site_id, asset_id AS node, x+w/2 AS px, y+h/2 AS py FROM assets WH
 )
 def route_utilities(fx: Fixtures) -> DataFrame:
     p = utility_points(fx)
-    s = nw.network_summary(p, nw.loop_network(p), nw.euclidean_mst(p, 100.0, 1000.0))
+    s = nw.network_summary(p, nw.loop_network(p), nw.euclidean_mst(p, 100.0))
     return s.select(
         "site_id", "n_nodes", F.round("electric_m", 3).alias("electric_m"), F.round("water_m", 3).alias("water_m"), "redundant"
     )
@@ -170,7 +170,8 @@ _LLOYD = _PTS + """, rk AS (SELECT *, row_number() OVER (PARTITION BY site_id OR
 """
 for _i in range(3):
     _LLOYD += f""", a{_i} AS (SELECT site_id, node, any_value(px) AS px, any_value(py) AS py, min(struct_pack(d:=round((px-cx)*(px-cx)+(py-cy)*(py-cy),6),c:=c)) AS m FROM pt JOIN c{_i} USING (site_id) GROUP BY 1,2),
- c{_i + 1} AS (SELECT site_id, m.c AS c, round(avg(px),6) AS cx, round(avg(py),6) AS cy FROM a{_i} GROUP BY 1,2)
+ b{_i} AS (SELECT site_id, m.c AS c, round(avg(px),6) AS nx, round(avg(py),6) AS ny FROM a{_i} GROUP BY 1,2),
+ c{_i + 1} AS (SELECT site_id, c, coalesce(nx,cx) AS cx, coalesce(ny,cy) AS cy FROM c{_i} LEFT JOIN b{_i} USING (site_id,c))
 """
 
 

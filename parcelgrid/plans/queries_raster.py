@@ -75,10 +75,11 @@ def union_area(fx: Fixtures) -> DataFrame:
 @query(
     "e20_nearest_seed_regions",
     _raster(20) + """, pt AS (SELECT site_id, asset_id AS node, x+w/2 AS sx, y+h/2 AS sy FROM assets)
-    SELECT site_id, i::INT AS i, j::INT AS j, arg_min(node, [round(sqrt(pow(px-sx,2)+pow(py-sy,2)),6), node]) AS seed FROM rc JOIN pt USING (site_id) GROUP BY 1,2,3""",
+    SELECT site_id, i::INT AS i, j::INT AS j, arg_min(node, [round(sqrt(pow(px-sx,2)+pow(py-sy,2)),6), node]) AS seed FROM rc JOIN pt USING (site_id) GROUP BY 1,2,3
+    UNION ALL SELECT site_id, i::INT, j::INT, NULL FROM rc WHERE site_id NOT IN (SELECT site_id FROM pt)""",
 )
 def nearest_seed_regions(fx: Fixtures) -> DataFrame:
-    return ra.nearest_seed_regions(ra.site_cells(sites_with_ring(fx), 20.0), asset_points(fx), 100.0, 1600.0).drop("d")
+    return ra.nearest_seed_regions(ra.site_cells(sites_with_ring(fx), 20.0), asset_points(fx), 100.0).drop("d")
 
 
 @query("e20_region_borders")

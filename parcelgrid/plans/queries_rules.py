@@ -407,8 +407,9 @@ def pick_scenarios(fx: Fixtures) -> DataFrame:
 
 @query(
     "a14_session_summary",
-    """SELECT session_id, count(*) AS n_messages, coalesce((SELECT count(*) FROM layouts l WHERE l.layout_id%997=session_id),0) AS n_layouts,
-       session_id IN (SELECT site_id FROM sites) AS has_boundary FROM messages GROUP BY session_id""",
+    """SELECT session_id, sum(m)::BIGINT AS n_messages, sum(l)::BIGINT AS n_layouts, bool_or(b) AS has_boundary FROM (
+         SELECT session_id, 1 AS m, 0 AS l, false AS b FROM messages UNION ALL SELECT layout_id%997, 0, 1, false FROM layouts
+         UNION ALL SELECT site_id, 0, 0, true FROM sites) GROUP BY session_id""",
 )
 def session_summary(fx: Fixtures) -> DataFrame:
     lay = fx.layouts.select((F.col("layout_id") % 997).alias("session_id"))

@@ -76,15 +76,16 @@ def boundary_and_roads(entities: DataFrame) -> DataFrame:
     return best.unionByName(roads)
 
 
-def summary(entities: DataFrame) -> DataFrame:
-    """Counts per drawing; no usable entity makes it invalid."""
+def summary(entities: DataFrame, drawings: DataFrame) -> DataFrame:
+    """Counts per drawing of ``drawings``; one without a usable entity has zeros and is invalid."""
     k = F.col("kind")
-    return entities.groupBy("path").agg(
+    every = drawings.select("path").distinct().withColumn("kind", F.lit(None).cast("string")).withColumn("is_closed", F.lit(False))
+    return entities.select("path", "kind", "is_closed").unionByName(every).groupBy("path").agg(
         F.count_if(k == "LWPOLYLINE").alias("n_lwpolyline"),
         F.count_if((k == "LWPOLYLINE") & F.col("is_closed")).alias("n_closed"),
         F.count_if(k == "POLYLINE").alias("n_polyline"),
         F.count_if(k == "LINE").alias("n_line"),
-        (F.count("*") > 0).alias("is_valid"),
+        (F.count("kind") > 0).alias("is_valid"),
     )
 
 

@@ -25,7 +25,9 @@ def load_regulations(spark: SparkSession, path: str | None = None, **overrides:
         return row
     schema = ", ".join(f"{k} double" for k in DEFAULTS)
     given = spark.read.schema(schema).json(path, multiLine=True)
-    renamed = given.select(*[F.col(k).alias(f"g_{k}") for k in DEFAULTS]).limit(1)
+    renamed = given.select(*[F.col(k).alias(f"g_{k}") for k in DEFAULTS])
+    if len(renamed.take(2)) > 1:
+        raise ValueError(f"{path} holds more than one rule document")
     both = row.join(F.broadcast(renamed), F.lit(True), "left")
     return both.select(*[F.coalesce(f"g_{k}", k).alias(k) for k in DEFAULTS])
 

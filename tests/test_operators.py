@@ -32,7 +32,7 @@ def test_euclidean_mst_with_copies_and_far_clusters(spark):
     rng = random.Random(3)
     pts = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(20)] + [(900, 900)] * 5 + [(905, 900), (300, 40)]
     df = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "site_id long, node long, px double, py double")
-    tree = nw.euclidean_mst(df, 20.0, 2000.0).collect()
+    tree = nw.euclidean_mst(df, 20.0).collect()
     seen, total = {0}, 0.0
     while len(seen) < len(pts):
         d, j = min((math.dist(pts[i], pts[j]), j) for i in seen for j in range(len(pts)) if j not in seen)
