@@ -177,7 +177,7 @@ def shortest_per_site(edges: DataFrame, limits: DataFrame) -> DataFrame:
 
     # one number that orders as (u, v) does; a decimal holds both ids whole
     whole = lambda c: F.col(c).cast("decimal(19,0)")
-    keyed = edges.withColumn("_tie", whole("u") * F.lit(10**19).cast("decimal(20,0)") + whole("v"))
+    keyed = edges.withColumn("_tie", whole("u") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + whole("v"))
     r = ranked(keyed, ["site_id"], "weight", "_tie")
     return r.join(limits, "site_id").filter(F.col("rn") <= F.col("k")).drop("_tie")
 

@@ -82,7 +82,13 @@ def nearest_seed_regions(fx: Fixtures) -> DataFrame:
     return ra.nearest_seed_regions(ra.site_cells(sites_with_ring(fx), 20.0), asset_points(fx), 100.0).drop("d")
 
 
-@query("e20_region_borders")
+@query(
+    "e20_region_borders",
+    _raster(20) + """, pt AS (SELECT site_id, asset_id AS node, x+w/2 AS sx, y+h/2 AS sy FROM assets),
+    reg AS (SELECT site_id, i::INT AS i, j::INT AS j, arg_min(node, [round(sqrt(pow(px-sx,2)+pow(py-sy,2)),6), node]) AS seed FROM rc JOIN pt USING (site_id) GROUP BY 1,2,3)
+    SELECT a.site_id, b.i, b.j, a.seed, 'x' AS axis, b.seed AS other FROM reg a JOIN reg b ON b.site_id=a.site_id AND b.i=a.i+1 AND b.j=a.j WHERE a.seed<>b.seed
+    UNION ALL SELECT a.site_id, b.i, b.j, a.seed, 'y', b.seed FROM reg a JOIN reg b ON b.site_id=a.site_id AND b.j=a.j+1 AND b.i=a.i WHERE a.seed<>b.seed""",
+)
 def region_borders(fx: Fixtures) -> DataFrame:
     return ra.region_borders(nearest_seed_regions(fx))
 

@@ -28,7 +28,10 @@ def _open(ring: Column) -> Column:
 
 
 def parse_geojson(docs: DataFrame) -> DataFrame:
-    """Features with role and shape; an empty or broken document gives one row with ``error``."""
+    """Features with role and shape; an empty or broken document gives one row with ``error``.
+
+    A polygon has its outer ``ring`` and its ``holes``; a line of several parts has one row for each.
+    """
     d = g.materialize(docs, _d=F.from_json("value", _DOC))
     bare = F.array(
         F.struct(
@@ -52,30 +55,46 @@ def parse_geojson(docs: DataFrame) -> DataFrame:
     bad = F.col("_f").isNull() | (F.size("_f") == 0)
     rows = d.select("path", bad.alias("_bad"), "_first", F.posexplode_outer("_f").alias("feature_no", "_f"))
     c, t, role = F.col("_f.geometry.coordinates"), F.col("_f.geometry.type"), F.col("_f.properties")["role"]
-    ring = F.when(t == "Polygon", _open(_points(F.from_json(c, "array<array<array<double>>>")[0]))).when(
+    opened = lambda rings: F.transform(rings, lambda r: _open(_points(r)))
+    # all rings of a polygon, of several polygons those of the largest
+    rings = F.when(t == "Polygon", opened(F.from_json(c, "array<array<array<double>>>"))).when(
         t == "MultiPolygon",
         F.array_max(
             F.transform(
                 F.from_json(c, "array<array<array<array<double>>>>"),
-                lambda p, i: F.struct(g.area(_points(p[0])).alias("a"), (-i).alias("o"), _open(_points(p[0])).alias("ring")),
+                lambda p, i: F.struct(g.area(_points(p[0])).alias("a"), (-i).alias("o"), opened(p).alias("rings")),
             )
-        ).ring,
+        ).rings,
     )
-    path = F.when(t == "LineString", _points(F.from_json(c, "array<array<double>>"))).when(
-        t == "MultiLineString", _points(F.from_json(c, "array<array<array<double>>>")[0])
+    lines = F.when(t == "LineString", F.array(_points(F.from_json(c, "array<array<double>>")))).when(
+        t == "MultiLineString", F.transform(F.from_json(c, "array<array<array<double>>>"), _points)
     )
     is_line = t.isin("LineString", "MultiLineString")
     name = (
         F.when(role == "boundary", "boundary").when(F.col("feature_no") + 1 == F.col("_first"), "boundary")
         .when((role == "road") | is_line, "road").otherwise(F.coalesce(role, F.lit("other")))
     )
-    return rows.select(
+    out = g.materialize(rows.select(
         F.col("path").alias("path"), "feature_no", F.when(F.col("_bad"), "empty document").alias("error"),
-        F.when(~F.col("_bad"), name).alias("role"), t.alias("geom_type"), ring.alias("ring"), path.alias("line"),
-        F.col("_f.properties").alias("properties"),
+        F.when(~F.col("_bad"), name).alias("role"), t.alias("geom_type"), F.col("_f.properties").alias("properties"),
+        rings.alias("_rings"), lines.alias("_lines"),
+    ))
+    return out.select(
+        "path", "feature_no", "error", "role", "geom_type", F.get("_rings", 0).alias("ring"),
+        F.slice("_rings", 2, F.greatest(F.size("_rings") - 1, F.lit(0))).alias("holes"),
+        F.explode_outer("_lines").alias("line"), "properties",
     )
 
 
+def net_area(ring: Column, holes: Column) -> Column:
+    """Area of a polygon without its holes."""
+    return g.area(ring) - F.aggregate(F.coalesce(holes, F.array().cast(holes_type())), F.lit(0.0), lambda a, h: a + g.area(h))
+
+
+def holes_type() -> str:
+    return f"array<{g.RING}>"
+
+
 def parse_project_json(docs: DataFrame) -> DataFrame:
     """Assets of project documents: one ``coordinates`` ring or a list of named polygons."""
     ring = "array<array<double>>"
