@@ -254,13 +254,14 @@ def boundary_candidates(sites: DataFrame, n: int = 20) -> DataFrame:
 
 
 def extract_blocks(
-    sites: DataFrame, roads: DataFrame, n_roads: int, extra_width: float = 0.0, min_area: float = 500.0
+    sites: DataFrame, roads: DataFrame, extra_width: float = 0.0, min_area: float = 500.0
 ) -> DataFrame:
     """Land between straight roads that run through a convex site.
 
-    ``roads(site_id, road_no 1..n_roads, x1, y1, x2, y2, width_m)``.  Each road splits every piece by two
-    half-planes; sites without roads stay one block.
+    ``roads(site_id, road_no 1, 2, ..., x1, y1, x2, y2, width_m)``.  Each road splits every piece by two half-planes;
+    sites without roads stay one block.  There is one step for each road number in use; the largest is read first.
     """
+    n_roads = roads.agg(F.max("road_no")).first()[0] or 0
     pieces = sites.select("site_id", F.col("ring").alias("piece"), F.lit("").alias("side"))
     for k in range(1, n_roads + 1):
         r = roads.filter(F.col("road_no") == k).select(

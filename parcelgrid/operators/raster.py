@@ -74,9 +74,15 @@ def dead_area(cells: DataFrame, lines: DataFrame, max_d: float, size: float, key
 
 
 def buildable_area(sites: DataFrame, constraints: DataFrame, size: float = 5.0) -> DataFrame:
-    """Site area less its hard constraints, each place counted once: cells whose centre no constraint covers."""
-    hard = constraints.filter("is_hard").select("site_id", "x", "y", "w", "h")
-    inside = near_pairs(centres(site_cells(sites, size)), hard, ["site_id"], 0.0, 100.0).select("site_id", "i", "j").distinct()
+    """Site area less its hard constraints and their buffers, each place counted once.
+
+    A cell is lost if its centre lies within ``buffer_m`` of a hard constraint.
+    """
+    hard = constraints.filter("is_hard").select("site_id", "x", "y", "w", "h", F.coalesce("buffer_m", F.lit(0.0)).alias("buffer_m"))
+    widest = float(hard.agg(F.max("buffer_m")).first()[0] or 0.0)
+    inside = near_pairs(
+        centres(site_cells(sites, size)), hard, ["site_id"], F.col("buffer_m_b"), max(100.0, widest), max_within=widest
+    ).select("site_id", "i", "j").distinct()
     lost = inside.groupBy("site_id").agg((F.count("*") * float(size * size)).alias("blocked_sqm"))
     s = g.materialize(sites.select("site_id", "ring"), site_sqm=g.area(F.col("ring")))
     return s.join(lost, "site_id", "left").select(

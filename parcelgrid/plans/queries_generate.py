@@ -291,7 +291,7 @@ qb AS (SELECT site_id, sx||sy AS side, CASE sy WHEN 'a' THEN 0 ELSE w/4+HX END A
     + f"SELECT b.site_id, side, round({o.site_overlap('b', 's')},4) AS area_sqm FROM qb b JOIN sites s USING (site_id) WHERE {o.site_overlap('b', 's')}>=500",
 )
 def extract_blocks(fx: Fixtures) -> DataFrame:
-    b = ge.extract_blocks(convex_sites(fx), fx.roads, n_roads=2)
+    b = ge.extract_blocks(convex_sites(fx), fx.roads)
     return b.select("site_id", "side", r4(F.col("area_sqm"), "area_sqm"))
 
 
@@ -527,7 +527,7 @@ def sidewalks_and_green_rings(fx: Fixtures) -> DataFrame:
 
 def subdivided_sites(fx: Fixtures) -> DataFrame:
     """Blocks between the roads, lots on their oriented boxes, then the rule table decides lot or green."""
-    blocks = ge.extract_blocks(rect_sites(fx), fx.roads.withColumn("width_m", F.lit(12.0)), 2, min_area=0.0)
+    blocks = ge.extract_blocks(rect_sites(fx), fx.roads.withColumn("width_m", F.lit(12.0)), min_area=0.0)
     small = blocks.filter((F.col("area_sqm") < 750) & (F.col("area_sqm") > 50)).select(
         "site_id", "side", F.lit("green").alias("action"), "area_sqm"
     )

@@ -36,7 +36,7 @@ def dead_zones(fx: Fixtures) -> DataFrame:
 
 @query(
     "j11_buildable_area",
-    _raster(10) + """, bl AS (SELECT site_id, count(*)*100.0::DOUBLE AS b FROM rc WHERE EXISTS (SELECT 1 FROM site_constraints c WHERE c.site_id=rc.site_id AND is_hard AND px BETWEEN x AND x+w AND py BETWEEN y AND y+h) GROUP BY 1)
+    _raster(10) + """, bl AS (SELECT site_id, count(*)*100.0::DOUBLE AS b FROM rc WHERE EXISTS (SELECT 1 FROM site_constraints c WHERE c.site_id=rc.site_id AND is_hard AND sqrt(pow(greatest(0,px-(x+w),x-px),2)+pow(greatest(0,py-(y+h),y-py),2))<=buffer_m) GROUP BY 1)
     SELECT site_id, coalesce(b,0) AS blocked_sqm, CASE WHEN concave THEN 0.75*w*h ELSE w*h-cut*cut/2 END-coalesce(b,0) AS buildable_sqm FROM sites LEFT JOIN bl USING (site_id)""",
 )
 def buildable_area(fx: Fixtures) -> DataFrame:
