@@ -196,3 +196,74 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return extract_text(pages, fit_labeller(pages))
+
+
+ORACLES["op1_secret_scans"] = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row_no FROM documents),
+patterns(family, pattern, inner_group) AS (VALUES
+  ('assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2),
+  ('access', 'AKIA[A-Z0-9]{16,}', 0), ('hex', '[0-9a-f]{24,}', 0),
+  ('weak', 'https?://[^\s"''<>]+|(?:access|client|account|user)_?(?:key_?)?id["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@-]{4,}|A[A-Z]{2}A[A-Z0-9]{12,}|[A-Za-z0-9+/_=-]{20,}', 0)
+), found AS (
+  SELECT row_no, 'assign' AS family, regexp_extract_all(text, (SELECT pattern FROM patterns WHERE family = 'assign'), 0) AS whole,
+         regexp_extract_all(text, (SELECT pattern FROM patterns WHERE family = 'assign'), 2) AS value,
+         string_split_regex(text, (SELECT pattern FROM patterns WHERE family = 'assign')) AS gaps FROM texts
+  UNION ALL
+  SELECT row_no, family, regexp_extract_all(text, pattern, 0), regexp_extract_all(text, pattern, 0), string_split_regex(text, pattern)
+  FROM texts, patterns WHERE family <> 'assign'
+), placed AS (
+  SELECT row_no, family, whole[k] AS m, value[k] AS v,
+         CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x)))
+              + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM found WHERE len(whole) > 0)
+), kinds AS (
+  SELECT row_no, start, start + length(m) AS stop, CASE
+    WHEN family = 'assign' THEN CASE WHEN length(v) >= 6 THEN 0 END
+    WHEN family = 'access' THEN 1 WHEN family = 'hex' THEN 2
+    WHEN regexp_matches(m, '^https?://') THEN 5
+    WHEN regexp_matches(m, '^(?:access|client|account|user)_?(?:key_?)?id["'']?\x20*[:=]') THEN 3
+    WHEN regexp_matches(m, '^A[A-Z]{2}A[A-Z0-9]{12,}$') THEN 3
+    WHEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN 4 END AS kind
+  FROM placed
+), base AS (SELECT * FROM kinds WHERE kind < 3),
+weak AS (
+  SELECT * FROM kinds k WHERE kind > 2 AND NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.row_no = k.row_no AND k.start < b.stop AND b.start < k.stop)
+), parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+linked AS (
+  SELECT * FROM weak w WHERE EXISTS (
+    SELECT 1 FROM parts p WHERE p.row_no = w.row_no AND greatest(p.start - w.stop, w.start - p.stop) <= 200
+      AND CASE WHEN w.kind = 4 THEN p.kind IN (1, 3, 5) ELSE p.kind IN (0, 2, 4) END)
+), spans AS (
+  SELECT row_no, start, kind, ['assign', 'access', 'hex', 'link_id', 'link_value', 'link_endpoint'][kind + 1] || ':' || start || ':' || stop AS s
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM linked)
+)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(s, ',' ORDER BY start, kind), '') AS spans
+FROM texts LEFT JOIN spans USING (row_no) GROUP BY row_no, doc_id
+"""
+
+
+ORACLES["op2_decontamination"] = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS row_no,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, n, array_to_string(words[k:k + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS k FROM (SELECT *, least(10, len(words)) AS n FROM items WHERE len(words) > 0))
+), doc_windows AS (
+  SELECT row_no, k, n, array_to_string(words[k:k + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM item_windows))
+), hits AS (SELECT row_no, k, n, item FROM doc_windows JOIN item_windows USING (n, g)),
+hit_words AS (SELECT row_no, count(DISTINCT p) AS n_hit FROM (SELECT row_no, unnest(range(k, k + n)) AS p FROM hits) GROUP BY row_no),
+hit_items AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT row_no, item FROM hits) GROUP BY row_no)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (row_no) LEFT JOIN hit_items USING (row_no)
+"""

@@ -129,6 +129,15 @@ def test_secrets_and_links(spark):
         assert [tuple(s) for s in got[k] if s.kind < 3] == sorted(base)
     linked = {k: [secrets.KINDS[s.kind] for s in v if s.kind > 2] for k, v in got.items() if any(s.kind > 2 for s in v)}
     assert linked == {5: ["link_endpoint", "link_value"], 9: ["link_id", "link_value"]}
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": range(len(texts)), "text": texts}))
+    cursor = con.execute(queries.ORACLES["op1_secret_scans"])
+    names = [c[0] for c in cursor.description]
+    spans = {r[names.index("doc_id")]: r[names.index("spans")] for r in cursor.fetchall()}
+    assert spans == {k: ",".join(f"{secrets.KINDS[s.kind]}:{s.start}:{s.stop}" for s in v) for k, v in got.items()}
     clean = secrets.redact_messages(spark.createDataFrame([(1, texts[3])], "message_id int, content string")).first().content
     assert clean == "🙂 [secret]' [secret]"
 
