@@ -95,7 +95,7 @@ def read_dxf_entities(fx: Fixtures) -> DataFrame:
 
 @query(
     "io4_dxf_boundary_and_roads",
-    """SELECT site_id::VARCHAR AS path, 'boundary' AS role, 1::BIGINT AS n, w*h AS area_sqm FROM sites WHERE site_id%3<>0
+    """SELECT site_id::VARCHAR AS path, 'boundary' AS role, 1::BIGINT AS n, w*h AS area_sqm FROM sites
        UNION ALL SELECT site_id::VARCHAR, 'road', CASE WHEN site_id%3=0 THEN 5 ELSE 2 END, 0 FROM sites""",
 )
 def dxf_boundary_and_roads(fx: Fixtures) -> DataFrame:

@@ -65,11 +65,25 @@ def parse_dxf(docs: DataFrame) -> DataFrame:
 
 
 def boundary_and_roads(entities: DataFrame) -> DataFrame:
-    """Largest valid closed polyline per drawing is the boundary; open polylines and lines are roads."""
+    """One boundary per drawing, and its roads: open polylines and lines.
+
+    The boundary is the largest valid closed LWPOLYLINE, in a drawing without one the largest closed POLYLINE, and in
+    a drawing without either the largest ring that its loose lines form.
+    """
     rings = g.materialize(entities.filter("is_closed"), area_sqm=g.area(F.col("points")), ok=g.is_simple(F.col("points")))
     best = rings.filter("ok").groupBy("path").agg(
-        F.max_by(F.struct("entity_no", "points", "area_sqm"), F.struct("area_sqm", -F.col("entity_no"))).alias("_m")
-    ).select("path", "_m.*").withColumn("role", F.lit("boundary"))
+        F.max_by(
+            F.struct("entity_no", "points", "area_sqm"), F.struct(F.col("kind") == "LWPOLYLINE", "area_sqm", -F.col("entity_no"))
+        ).alias("_m")
+    ).select("path", "_m.*")
+    loose = assemble_rings(entities.join(best.select("path"), "path", "left_anti")).filter("status = 'ring'")
+    formed = g.materialize(loose, area_sqm=g.area(F.col("ring")), ok=g.is_simple(F.col("ring"))).filter("ok")
+    largest = formed.groupBy("path").agg(
+        F.max_by(F.struct("ring", "area_sqm"), F.struct("area_sqm", -F.col("comp"))).alias("_m")
+    ).select(
+        "path", F.lit(None).cast(entities.schema["entity_no"].dataType).alias("entity_no"), F.col("_m.ring").alias("points"), "_m.area_sqm"
+    )
+    best = best.unionByName(largest).withColumn("role", F.lit("boundary"))
     roads = entities.filter("not is_closed").select(
         "path", "entity_no", "points", F.lit(0.0).alias("area_sqm"), F.lit("road").alias("role")
     )
