@@ -31,6 +31,17 @@ def fold_edits(edits: DataFrame) -> DataFrame:
     )
 
 
+def split_at_deletion(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edits up to the first deletion of their element, and those after it, which find no element any more.
+
+    The order is that of ``edit_no`` within a design.
+    """
+    gone = edits.filter(F.col("action") == "delete").groupBy("design_id", "target").agg(F.min("edit_no").alias("_gone"))
+    j = edits.join(gone, ["design_id", "target"], "left")
+    late = F.coalesce(F.col("edit_no") > F.col("_gone"), F.lit(False))
+    return j.filter(~late).select(edits.columns), j.filter(late).select(edits.columns)
+
+
 def apply_edits(elements: DataFrame, folded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Live elements after the fold, added roads, and rejected targets.
 

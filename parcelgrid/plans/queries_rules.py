@@ -600,8 +600,11 @@ def design_elements(fx: Fixtures) -> DataFrame:
 
 
 _FOLD = """
+gone AS (SELECT design_id, target, min(edit_no) AS g FROM edits WHERE action='delete' GROUP BY 1,2),
+early AS (SELECT e.* FROM edits e LEFT JOIN gone USING (design_id, target) WHERE g IS NULL OR edit_no<=g),
+late AS (SELECT design_id, target, count(*) AS n FROM edits JOIN gone USING (design_id, target) WHERE edit_no>g GROUP BY 1,2),
 fo AS (SELECT design_id, target, sum(CASE WHEN action='move' THEN dx ELSE 0 END) AS dx, sum(CASE WHEN action='move' THEN dy ELSE 0 END) AS dy,
-       bool_or(action='delete') AS del, bool_or(action='convert_to_green') AS grn, count(CASE WHEN action='add_road' THEN 1 END) AS nr, count(*) AS ne FROM edits GROUP BY 1,2),
+       bool_or(action='delete') AS del, bool_or(action='convert_to_green') AS grn, count(CASE WHEN action='add_road' THEN 1 END) AS nr, count(*) AS ne FROM early GROUP BY 1,2),
 el AS (SELECT design_id, 'L'||i AS target, i*20 AS x, i*10 AS y FROM (SELECT DISTINCT design_id FROM edits), (SELECT unnest(range(1,16)) AS i))
 """
 
@@ -611,10 +614,13 @@ el AS (SELECT design_id, 'L'||i AS target, i*20 AS x, i*10 AS y FROM (SELECT DIS
     _FOLD + """SELECT design_id, target, CASE WHEN coalesce(grn,false) THEN 'green' ELSE 'lot' END AS kind, (x+coalesce(dx,0))::DOUBLE AS x, (y+coalesce(dy,0))::DOUBLE AS y, 'live' AS state
       FROM el LEFT JOIN fo USING (design_id, target) WHERE NOT coalesce(del,false)
       UNION ALL SELECT design_id, target, 'road', nr::DOUBLE, 0, 'added' FROM fo WHERE nr>0
-      UNION ALL SELECT design_id, target, 'unknown', ne::DOUBLE, 0, 'rejected' FROM fo ANTI JOIN el USING (design_id, target) WHERE del OR grn OR dx<>0 OR dy<>0""",
+      UNION ALL SELECT design_id, target, 'unknown', ne::DOUBLE, 0, 'rejected' FROM fo ANTI JOIN el USING (design_id, target) WHERE del OR grn OR dx<>0 OR dy<>0
+      UNION ALL SELECT design_id, target, 'deleted', n::DOUBLE, 0, 'late' FROM late""",
 )
 def apply_edits(fx: Fixtures) -> DataFrame:
-    live, roads, rejected = ed.apply_edits(design_elements(fx), ed.fold_edits(fx.edits))
+    early, late = ed.split_at_deletion(fx.edits)
+    live, roads, rejected = ed.apply_edits(design_elements(fx), ed.fold_edits(early))
+    refused = late.groupBy("design_id", "target").agg(F.count("*").cast("double").alias("x"))
     zero = F.lit(0.0).alias("y")
     return (
         live.select("design_id", "target", "kind", "x", "y", F.lit("live").alias("state"))
@@ -622,6 +628,7 @@ def apply_edits(fx: Fixtures) -> DataFrame:
                                   F.col("roads_added").cast("double").alias("x"), zero, F.lit("added").alias("state")))
         .unionByName(rejected.select("design_id", "target", F.lit("unknown").alias("kind"),
                                      F.col("n_edits").cast("double").alias("x"), zero, F.lit("rejected").alias("state")))
+        .unionByName(refused.select("design_id", "target", F.lit("deleted").alias("kind"), "x", zero, F.lit("late").alias("state")))
     )
 
 
