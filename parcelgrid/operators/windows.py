@@ -64,6 +64,7 @@ def largest_part(parts: DataFrame, keys: Sequence[str], part_no: str, value: str
     ).select(*keys, f"_m.{part_no}", f"_m.{value}", f"_m.{area}")
 
 
+# fixed values: names of the options, best first
 OPTION_NAMES = ("Maximum Profit", "Balanced", "Premium")
 
 

@@ -100,7 +100,7 @@ def sweep_road_spacing(fx: Fixtures) -> DataFrame:
     return road_spacing_sweep(convex_sites(fx).select("site_id", "ring"), max_distance=100.0, setback=20.0)
 
 
-# fixed values: tile id, edges north, east, south, west
+# tiles of this query: id, edges north, east, south, west
 TILES = [
     (0, "empty", "empty", "empty", "empty"),
     (1, "road", "empty", "road", "empty"),
