@@ -214,6 +214,8 @@ def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
         return none
     symbol = np.minimum(np.searchsorted(phrases.vocabulary, words.hash), len(phrases.vocabulary) - 1)
     known = phrases.vocabulary[symbol] == words.hash
+    if not known.any():
+        return none
     begins = known & ~(np.concatenate(([False], known[:-1])) & np.concatenate(([False], words.text[1:] == words.text[:-1])))
     run = np.cumsum(begins) - 1
     sizes = np.bincount(run[known], minlength=int(run[-1]) + 1)
