@@ -159,7 +159,8 @@ def keep_first_copies(messages: DataFrame, message_id: str = "message_id", conte
     kept = groups.groupBy("_kept").agg(
         F.max(F.col("_kept").eqNullSafe(F.col("component_id"))).alias("_first"), (F.count("*") > 1).alias("_again")
     ).filter("_first").select("_kept", "_again")
-    rows = messages.join(kept, F.col(message_id).eqNullSafe(F.col("_kept")))
+    # the kept ids grow with the messages, so they are never broadcast, however few they are just now
+    rows = messages.join(kept.hint("merge"), F.col(message_id).eqNullSafe(F.col("_kept")))
     once = rows.filter(~F.col("_again")).select(messages.columns)
     again = rows.filter("_again").select(messages.columns).dropDuplicates([message_id, content])
     return once.unionByName(again)
