@@ -20,15 +20,20 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 def words_of(text: Column) -> Column:
     """Words of a text: what ASCII white space leaves."""
-    return F.filter(F.split(text, BLANK, -1), lambda w: w != "")
+    inner = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANK, -1))
 
 
 def repeated_words(words: Column) -> Column:
     """Words in three-word windows that occur twice or more, the first occurrence included.
 
-    Windows are sorted, so equal ones are neighbours; the places of those are merged into covered words.
+    Most texts have no two windows with the same hash and end there.  In the others windows are sorted, by hash and
+    then by their words, so that equal ones are neighbours, and their places are merged into covered words.
     """
-    return _with(words, lambda w: F.when(F.size(w) >= 3, _with(_windows(w), _covered)).otherwise(F.lit(0)).cast("long"))
+    def count(w: Column) -> Column:
+        return _with(_hashes(w), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _with(_sorted(w, h), _covered)).otherwise(0))
+
+    return _with(words, lambda w: F.when(F.size(w) >= 3, count(w)).otherwise(0)).cast("long")
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -36,11 +41,17 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
 
 
-def _windows(words: Column) -> Column:
+def _hashes(words: Column) -> Column:
+    return F.transform(
+        F.sequence(F.lit(0), F.size(words) - 3),
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
+    )
+
+
+def _sorted(words: Column, hashes: Column) -> Column:
     """All three-word windows and their places, equal ones next to each other."""
-    return F.array_sort(F.transform(
-        F.sequence(F.lit(1), F.size(words) - 2),
-        lambda i: F.struct(F.array_join(F.slice(words, i, 3), " ").alias("g"), i.alias("i")),
+    return F.sort_array(F.transform(
+        hashes, lambda h, i: F.struct(h.alias("h"), F.array_join(F.slice(words, i + 1, 3), " ").alias("g"), i.alias("i"))
     ))
 
 
@@ -50,7 +61,7 @@ def _covered(ordered: Column) -> Column:
     start = F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n"))
     # a window adds the words that the window before it does not cover
     return F.aggregate(
-        F.array_sort(F.transform(again, lambda x: x["i"])), start,
+        F.sort_array(F.transform(again, lambda x: x["i"])), start,
         lambda s, i: F.struct(i.alias("at"), (s["n"] + F.least(i - s["at"], F.lit(3))).alias("n")),
         lambda s: s["n"],
     )
@@ -63,7 +74,7 @@ def duplicate_lines(text: Column) -> Column:
 
 
 def symbol_count(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long")
+    return F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")
 
 
 @dataclass(frozen=True)
