@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from parcelgrid.llm.batches import keyed, map_rows
+from parcelgrid.session import cut_lineage
 
 FIT_PAGES, FIT_PAGE_BYTES = 160, 1 << 16
 PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 128, 16, 4, 20
@@ -309,11 +310,14 @@ def fit_labeller(
 ) -> BlockLabeller:
     """Labeller fitted on at most ``fit_pages`` pages of at most ``fit_page_bytes``, first by a hash of the id.
 
-    Only this sample reaches the driver.  Without pages the labeller stays as it was initialised.
+    The ids are chosen before any page is read whole, and only the sample reaches the driver.  Without pages the
+    labeller stays as it was initialised.
     """
-    small = pages.filter(F.col(html).isNotNull() & (F.octet_length(F.col(html)) <= fit_page_bytes))
-    chosen = small.select(F.xxhash64(F.col(page_id)).alias("h"), F.col(html).alias("html")).orderBy("h", "html").limit(fit_pages)
-    sample = training_pages([r["html"] for r in chosen.collect()])
+    rows = keyed(pages, page_id, html=html).filter(F.octet_length("html") <= fit_page_bytes)
+    first = rows.select("key").filter("key IS NOT NULL").distinct().orderBy(F.xxhash64("key"), "key").limit(fit_pages)
+    # bounded by fit_pages
+    chosen = rows.join(F.broadcast(cut_lineage(first)), "key").dropDuplicates(["key"]).orderBy("key")
+    sample = training_pages([r["html"] for r in chosen.select("html").collect()])
     return BlockLabeller().fit(sample) if sample else BlockLabeller()
 
 
