@@ -7,10 +7,14 @@ near fingerprints share a cell of at least one of the six grids over two blocks.
 and then exactly.
 
 Counts are kept in unary (none ``00``, one ``01``, two ``11``), which makes the Manhattan distance a bit count as well.
+
+Two bits find little but exact copies, so the pipeline takes ``word_copy_groups``: sets of five-word shingles, candidates
+by bands of min-hashes, and an exact test of the Jaccard similarity of every candidate.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +33,16 @@ CELL_PAIRS = 48
 _LOW_BITS = 0x5555555555555555
 _PORTION = 1 << 16
 
+#: Word copies: shingles of five words, similarity in ninths of the sum of two sets' sizes (4/9 is Jaccard 0.8).
+COPY_WORDS = 5
+#: A pair of Jaccard 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 30, more than 0.99999.
+BANDS, BAND_ROWS = 30, 5
+#: Cells with more sets than ``CELL_PAIRS`` are split by the next band, at most so often.
+LEVELS = 6
+#: Pairs that meet one copy of a set in their exact test.
+PAIRS_A_COPY = 256
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def fingerprint(text: str) -> int:
     """SimHash of the word shingles of a text: a bit is set if more than half of the shingles' hashes have it."""
@@ -149,13 +163,148 @@ def near_copy_groups(messages: DataFrame, message_id: str = "message_id", conten
     )
 
 
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles of a text; a shorter text is one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    digest, wide = xxhash.xxh64_intdigest, COPY_WORDS
+    if len(words) <= wide:
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
+    hashes = (digest(b" ".join(words[k : k + wide]), SEED) for k in range(len(words) - wide + 1))
+    return np.unique(np.fromiter(hashes, np.uint64, len(words) - wide + 1))
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
+
+
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """One hash for each band of the least values under ``BANDS * BAND_ROWS`` orders of the shingles."""
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(hashes), 1024):
+        values = (_FACTORS * hashes[at : at + 1024]) >> np.uint64(32)
+        np.minimum(least, values.min(1).astype(np.uint32), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
+def _with_shingles(rows: DataFrame, fields: str, work) -> DataFrame:
+    def make():
+        return lambda part: work([shingle_set(t or "") for t in part.column("content").to_pylist()])
+
+    return map_rows(rows, "content", make, fields, "key")
+
+
+def _signatures(sets: list[np.ndarray]) -> list[pa.Array]:
+    return [
+        pa.array(np.array([_set_id(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
+        _lists([_bands(s) for s in sets]),
+    ]
+
+
+def _hashes(sets: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(np.array([_set_id(s) for s in sets], np.uint64).view(np.int64)), _lists(sets)]
+
+
+def _shared_cells(nodes: DataFrame) -> list[DataFrame]:
+    """``cell, fp, size, lead, lead_size, n`` of sets that share a cell, a table for each level of cells.
+
+    A cell of the first level is a band; a cell with more than ``CELL_PAIRS`` sets is split by the band after it.
+    """
+    levels, members = [], nodes.select("fp", "size", F.posexplode("bands").alias("band", "cell"))
+    for level in range(1, LEVELS + 1):
+        found = members.groupBy("cell").agg(F.min(F.struct("fp", "size")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        cells = found.select("cell", "n", F.col("first.fp").alias("lead"), F.col("first.size").alias("lead_size"))
+        shared = cut_lineage(members.join(cells, "cell"))
+        levels.append(shared)
+        large = shared.filter(F.col("n") > CELL_PAIRS).select("fp", "size", "band", "cell")
+        if large.isEmpty():
+            break
+        after = F.get("bands", (F.col("band") + level) % BANDS)
+        members = large.join(nodes.select("fp", "bands"), "fp").select("fp", "size", "band", F.xxhash64("cell", after).alias("cell"))
+    return levels
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs ``u, v`` whose sets have a Jaccard similarity of at least 0.8, tested exactly.
+
+    A set that many pairs have in common goes to their test in several copies.
+    """
+    common = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies"))
+    left = sets.join(common.withColumnRenamed("u", "fp"), "fp").select(
+        F.col("fp").alias("u"), F.col("hashes").alias("a"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+    ).drop("copies")
+    dealt = pairs.join(common, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("copies")).cast("int").alias("copy"))
+    right = sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return dealt.join(left, ["u", "copy"]).join(right, "v").filter(9 * both >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def _may_be_similar(a: str, b: str) -> Column:
+    """Sets whose sizes differ more cannot reach a Jaccard similarity of 0.8."""
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def word_copy_groups(messages: DataFrame, message_id: str = "message_id", content: str = "content") -> DataFrame:
+    """Groups of messages whose five-word shingles have a Jaccard similarity of at least 0.8: ``message_id, component_id``.
+
+    One row per input row; words and groups as in ``near_copy_groups``, wordless contents are one group.  Equal sets
+    are merged first.  Candidates share a cell of min-hashes: first every set is tested against the first one of each
+    of its cells, then all pairs of cells with up to ``CELL_PAIRS`` sets, as far as links have not joined them.  Larger
+    cells are split by further bands, so the work stays linear in the sets.
+    """
+    text = F.coalesce(F.col(content), F.lit(""))
+    rows = messages.select(
+        F.struct(F.col(message_id).alias("id"), F.xxhash64(text).alias("text_hash")).alias("key"), text.alias("content")
+    )
+    prints = cut_lineage(_with_shingles(rows, "fp bigint, size int, bands array<bigint>", _signatures))
+    first = F.min(F.struct(F.col("key.id").isNull().alias("no_id"), F.col("key.id").alias("id"), F.col("key.text_hash").alias("text_hash")))
+    nodes = cut_lineage(prints.groupBy("fp").agg(first.alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    levels = _shared_cells(nodes)
+    stars = cut_lineage(reduce(DataFrame.unionByName, [
+        s.filter((F.col("fp") != F.col("lead")) & _may_be_similar("size", "lead_size")).select(F.col("lead").alias("u"), F.col("fp").alias("v"))
+        for s in levels
+    ]).distinct())
+
+    few = reduce(DataFrame.unionByName, [s.filter((F.col("n") > 2) & (F.col("n") <= CELL_PAIRS)) for s in levels])
+    wanted = stars.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(few.select("fp")).distinct()
+    wanted = wanted.join(nodes.select("fp", "rep"), "fp").select("rep.id", "rep.text_hash").distinct()
+    same = F.col("key.id").eqNullSafe(F.col("id")) & (F.col("key.text_hash") == F.col("text_hash"))
+    # the wanted texts grow with the messages, so their ids are never broadcast
+    texts = rows.join(wanted.hint("merge"), same).select("key", "content")
+    sets = cut_lineage(_with_shingles(texts, "fp bigint, hashes array<bigint>", _hashes).drop("key").dropDuplicates(["fp"]))
+
+    links = cut_lineage(_similar(stars, sets))
+    roots = link_components(links).withColumnRenamed("node", "fp")
+    rooted = few.join(roots, "fp", "left").select("cell", "fp", "size", "lead", F.coalesce("root", "fp").alias("root"))
+    open_cells = rooted.groupBy("cell").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("cell")
+    rooted = cut_lineage(rooted.join(open_cells, "cell"))
+    other = rooted.select("cell", F.col("fp").alias("v"), F.col("size").alias("size_v"), F.col("root").alias("root_v"))
+    rest = rooted.filter(F.col("fp") != F.col("lead")).join(other, "cell").filter(
+        (F.col("fp") < F.col("v")) & (F.col("root") != F.col("root_v")) & _may_be_similar("size", "size_v")
+    ).select(F.col("fp").alias("u"), "v").distinct()
+    more = cut_lineage(_similar(cut_lineage(rest), sets))
+    if not more.isEmpty():
+        roots = link_components(links.unionByName(more)).withColumnRenamed("node", "fp")
+
+    whole = nodes.join(roots, "fp", "left").select("fp", F.col("rep.id").alias("low"), F.coalesce("root", "fp").alias("root"))
+    lowest = whole.groupBy("root").agg(F.min("low").alias("component_id"))
+    found = whole.join(lowest, "root").select("fp", "component_id")
+    return prints.select("key.id", "fp").join(found, "fp").select(F.col("id").alias(message_id), "component_id")
+
+
 def keep_first_copies(messages: DataFrame, message_id: str = "message_id", content: str = "content") -> DataFrame:
-    """One message of each group of near copies, that with the smallest id, with all its columns.
+    """One message of each group of word copies, that with the smallest id, with all its columns.
 
     Repeated rows become one.  Rows that share an id but not a content are one message in several parts: they stay or
     go together.  In a group without any id only repeated rows can be told to be the same.
     """
-    groups = cut_lineage(near_copy_groups(messages, message_id, content).select(F.col(message_id).alias("_kept"), "component_id"))
+    groups = cut_lineage(word_copy_groups(messages, message_id, content).select(F.col(message_id).alias("_kept"), "component_id"))
     kept = groups.groupBy("_kept").agg(
         F.max(F.col("_kept").eqNullSafe(F.col("component_id"))).alias("_first"), (F.count("*") > 1).alias("_again")
     ).filter("_first").select("_kept", "_again")
