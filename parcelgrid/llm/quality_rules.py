@@ -86,7 +86,12 @@ class Rule:
 
 
 def _letters(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    """Letters and the marks that write their vowels, as in Devanagari or Thai."""
+    return F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", ""))
+
+
+def _inked(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, BLANK, ""))
 
 
 #: Base rules first, then the method's own; none rejects a message that only is unusual.
@@ -96,7 +101,7 @@ RULES = (
     Rule("symbols", lambda text, words: 10 * symbol_count(text) > 3 * F.size(words)),
     Rule("duplicate_lines", lambda text, words: 2 * duplicate_lines(text) > F.size(F.split(text, "\n", -1))),
     Rule("long_words", lambda text, words: F.length(text) > 40 * F.size(words)),
-    Rule("few_letters", lambda text, words: 2 * _letters(text) < F.length(text)),
+    Rule("few_letters", lambda text, words: 2 * _letters(text) < _inked(text)),
 )
 BASE = ("few_words", "repeated_words")
 
