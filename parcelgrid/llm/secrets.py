@@ -19,13 +19,17 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LEAST_ASSIGNED = 6
-#: Weak parts: an endpoint, a named or typical identifier, a long run of key characters.
-WEAK = (
-    r"https?://[^\s\"'<>]+"
-    r"|(?:access|client|account|user)_?(?:key_?)?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}"
-    r"|A[A-Z]{2}A[A-Z0-9]{12,}"
-    r"|[A-Za-z0-9+/_=-]{20,}"
+#: Weak parts, matched family by family: named (in any case, after any prefix) or typical identifiers, endpoints with a
+#: scheme or a port, long runs of key characters.
+ID = (
+    r"(?i:(?:access|client|account|user)[_-]?(?:key[_-]?)?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}"
+    r"|(?<![A-Za-z0-9])A[A-Z]{2}A[A-Z0-9]{12,}"
 )
+ENDPOINT = (
+    r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s\"'<>]+"
+    r"|(?<![A-Za-z0-9.-])(?:localhost|(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z0-9-]{1,63}):[0-9]{2,5}(?![A-Za-z0-9])"
+)
+VALUE = r"[A-Za-z0-9+/_=-]{20,}"
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "link_id", "link_value", "link_endpoint")
 _ASSIGN, _ACCESS, _HEX, _ID, _VALUE, _ENDPOINT = range(6)
@@ -59,15 +63,26 @@ def _placed(text: Column, pattern: str, whole: Column, kinds: Column) -> Column:
     return F.when(F.size(whole) > 0, F.filter(typed, lambda p: p["kind"].isNotNull())).otherwise(none)
 
 
-def _weak_kind(m: Column) -> Column:
-    mixed = m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
-    return (
-        F.when(m.rlike("^https?://"), _ENDPOINT)
-        .when(m.rlike("^(?:access|client|account|user)_?(?:key_?)?id[\"']?\\x20*[:=]"), _ID)
-        .when(m.rlike("^A[A-Z]{2}A[A-Z0-9]{12,}$"), _ID)
-        .when(mixed, _VALUE)
+def _weak_parts(text: Column, ids: Column, endpoints: Column, values: Column) -> Column:
+    """Parts of the three families; inside an endpoint there is no identifier, and no value overlaps one of the others."""
+    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
+    kind = lambda matches, k: F.transform(matches, lambda m: F.lit(k))
+    placed = F.struct(
+        _placed(text, ID, ids, kind(ids, _ID)).alias("ids"),
+        _placed(text, ENDPOINT, endpoints, kind(endpoints, _ENDPOINT)).alias("ends"),
+        _placed(text, VALUE, values, F.transform(values, lambda m: F.when(mixed(m), _VALUE))).alias("runs"),
     )
 
+    def resolve(p: Column) -> Column:
+        within = lambda a, b: (b["start"] <= a["start"]) & (a["stop"] <= b["stop"])
+        free = F.filter(p["ids"], lambda a: ~F.exists(p["ends"], lambda b: within(a, b)))
+        ends = F.filter(p["ends"], lambda a: ~F.exists(p["ids"], lambda b: within(a, b)))
+        anchors = F.concat(p["ids"], p["ends"])
+        runs = F.filter(p["runs"], lambda a: ~F.exists(anchors, lambda b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])))
+        return F.array_sort(F.concat(free, ends, runs))
+
+    return F.get(F.transform(F.array(placed), resolve), 0)
+
 
 def _candidates(rows: DataFrame) -> DataFrame:
     """``key, base, weak``: certain and weak parts of every message, from one pass over the texts."""
@@ -78,7 +93,9 @@ def _candidates(rows: DataFrame) -> DataFrame:
         F.regexp_extract_all("text", lit(ASSIGN), lit(0)).alias("m_assign"),
         F.regexp_extract_all("text", lit(ACCESS), lit(0)).alias("m_access"),
         F.regexp_extract_all("text", lit(HEX), lit(0)).alias("m_hex"),
-        F.regexp_extract_all("text", lit(WEAK), lit(0)).alias("m_weak"),
+        F.regexp_extract_all("text", lit(ID), lit(0)).alias("m_id"),
+        F.regexp_extract_all("text", lit(ENDPOINT), lit(0)).alias("m_endpoint"),
+        F.regexp_extract_all("text", lit(VALUE), lit(0)).alias("m_value"),
     ).withColumn(
         # the assigned values, for the least length
         "g_assign", F.when(F.size("m_assign") > 0, F.regexp_extract_all("text", lit(ASSIGN), lit(2)))
@@ -90,7 +107,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
         _placed(F.col("text"), ACCESS, F.col("m_access"), all_("m_access", _ACCESS)),
         _placed(F.col("text"), HEX, F.col("m_hex"), all_("m_hex", _HEX)),
     ))
-    weak = _placed(F.col("text"), WEAK, F.col("m_weak"), F.transform("m_weak", _weak_kind))
+    weak = _weak_parts(*map(F.col, ("text", "m_id", "m_endpoint", "m_value")))
     # equal rows may share their links, other rows may not, even under one id
     doc = F.sha2(F.to_json(F.struct(F.col("key").cast("string").alias("k"), F.col("text").alias("t"))), 256)
     out = matched.select("key", "text", base.alias("base"), weak.alias("weak"))
