@@ -86,24 +86,32 @@ def first_violation(pairs: DataFrame, keys: Sequence[str], a: str, b: str, extra
     ).select(*keys, f"_f.{a}", f"_f.{b}", f"_f.{extra}", "n_violations")
 
 
-def list_elements(named: DataFrame, keys: Sequence[str], limit: int = 10) -> DataFrame:
-    """First ``limit`` lots per group and one line for the remaining ones.
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """The first ``k`` rows per group with their ``rn``; Spark prunes each task to ``k`` rows before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
-    ``named`` carries ``rn`` and ``n`` of its group.
+
+def list_elements(
+    elements: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int = 10, prefix: str = "L"
+) -> DataFrame:
+    """Names of the first ``limit`` elements per group, and one line for the remaining ones.
+
+    Nothing is ranked beyond the listed rows: the rest is the group's count and area less theirs.
     """
-    head = named.filter(F.col("rn") <= limit).select(
-        *keys, F.col("rn").alias("line_no"), F.concat(F.lit("L"), F.col("rn").cast("string")).alias("line"), "area_sqm"
-    )
-    tail = named.filter(F.col("rn") > limit).groupBy(*keys).agg(
-        F.max("rn").alias("_n"), F.sum("area_sqm").alias("area_sqm")
-    )
-    tail = tail.select(
-        *keys,
-        F.lit(limit + 1).alias("line_no"),
-        F.format_string(f"L{limit + 1}-L%d", "_n").alias("line"),
+    head = first_rows(elements.select(*keys, *order, "area_sqm"), keys, order, limit)
+    lines = head.select(
+        *keys, F.col("rn").cast("long").alias("line_no"), F.concat(F.lit(prefix), F.col("rn").cast("string")).alias("line"),
         "area_sqm",
     )
-    return head.unionByName(tail)
+    total = elements.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("area_sqm").alias("_area"))
+    listed = lines.groupBy(*keys).agg(F.sum("area_sqm").alias("_listed"))
+    tail = total.filter(F.col("_n") > limit).join(listed, list(keys)).select(
+        *keys, F.lit(limit + 1).cast("long").alias("line_no"),
+        F.format_string(f"{prefix}{limit + 1}-{prefix}%d", "_n").alias("line"),
+        (F.col("_area") - F.col("_listed")).alias("area_sqm"),
+    )
+    return lines.unionByName(tail)
 
 
 def element_info(named: DataFrame, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -118,7 +126,22 @@ def element_info(named: DataFrame, asked: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def evict_oldest(sessions: DataFrame, order: str, session_id: str, limit: int = 1000) -> DataFrame:
-    """Sessions that stay: once ``limit`` is reached the oldest tenth, at least one, goes."""
-    r = ranked(sessions, [], order, session_id)
-    drop = F.when(F.col("n") >= limit, F.greatest(F.lit(1), F.floor(F.col("n") / 10))).otherwise(0)
-    return r.filter(F.col("rn") > drop).select(*sessions.columns)
+    """Sessions that stay: once ``limit`` is reached the oldest tenth, at least one, goes.
+
+    Two estimated quantiles enclose the last session to go; only sessions between them are ranked, and they count from
+    the exact number of those before.  The estimate decides how many rows that are, never which sessions go.
+    """
+    n = sessions.count()
+    if n < limit:
+        return sessions
+    drop = max(1, n // 10)
+    share, error = drop / n, 0.001
+    low, high = sessions.agg(
+        F.percentile_approx(order, [max(0.0, share - 2 * error), min(1.0, share + 2 * error)], round(1 / error)).alias("q")
+    ).first().q
+    before = sessions.filter(F.col(order) < low).count() + sessions.filter(F.col(order).isNull()).count()
+    if before >= drop or sessions.filter(F.col(order) <= high).count() + before < drop:
+        low, high, before = None, None, 0
+    near = sessions if low is None else sessions.filter(F.col(order).between(low, high))
+    stay = ranked(near, [], order, session_id).filter(F.col("rn") > drop - before).select(*sessions.columns)
+    return stay if low is None else stay.unionByName(sessions.filter(F.col(order) > high))

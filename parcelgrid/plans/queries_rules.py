@@ -481,12 +481,11 @@ def classify_blocks(fx: Fixtures) -> DataFrame:
     "w3_name_elements",
     """SELECT layout_id, plot_no, p||rn AS name, CASE WHEN p='G' THEN 'green' ELSE 'plot' END||'_'||lpad((rn-1)::VARCHAR,3,'0') AS label
        FROM (SELECT *, row_number() OVER (PARTITION BY layout_id, p ORDER BY plot_no) AS rn FROM
-             (SELECT layout_id, plot_no, CASE WHEN type='green_space' THEN 'G' ELSE 'L' END AS p FROM plots WHERE (layout_id+plot_no)%4<>0))""",
+             (SELECT layout_id, plot_no, CASE WHEN type='green_space' THEN 'G' ELSE 'L' END AS p FROM plots))""",
 )
 def name_elements(fx: Fixtures) -> DataFrame:
-    kept = fx.plots.filter((F.col("layout_id") + F.col("plot_no")) % 4 != 0).select("layout_id", "plot_no", "type")
     named = wi.name_elements(
-        kept, ["layout_id"], "plot_no", "plot_no", F.when(F.col("type") == "green_space", "G").otherwise("L")
+        fx.plots.select("layout_id", "plot_no", "type"), ["layout_id"], "plot_no", "plot_no", F.when(F.col("type") == "green_space", "G").otherwise("L")
     )
     return named.select("layout_id", "plot_no", "name", "label")
 
@@ -552,7 +551,8 @@ _NAMED = "nm AS (SELECT site_id, asset_id, w*h AS area_sqm, x+w/2 AS cx, y+h/2 A
       SELECT site_id, 11, 'L11-L'||max(rn), sum(area_sqm) FROM nm WHERE rn>10 GROUP BY 1""",
 )
 def list_elements(fx: Fixtures) -> DataFrame:
-    return wi.list_elements(named_site_lots(fx), ["site_id"])
+    a = fx.assets.select("site_id", "asset_id", (F.col("w") * F.col("h")).alias("area_sqm"))
+    return wi.list_elements(a, ["site_id"], ["asset_id"])
 
 
 @query(
@@ -637,10 +637,10 @@ def apply_edits(fx: Fixtures) -> DataFrame:
     _BLOCKS + """SELECT site_id, block_id AS node, CASE WHEN rn=1 THEN 'xlnt' WHEN rn<=3 THEN 'service' ELSE 'lot' END AS role FROM rk""",
 )
 def network_nodes(fx: Fixtures) -> DataFrame:
-    r = ranked(site_blocks(fx), ["site_id"], "z", "block_id").select("site_id", F.col("block_id").alias("node"), "rn")
-    return ed.network_nodes(
-        r.filter("rn > 3").drop("rn"), r.filter("rn between 2 and 3").drop("rn"), r.filter("rn = 1").drop("rn")
-    )
+    blocks = site_blocks(fx).select("site_id", F.col("block_id").alias("node"), "z")
+    low = wi.first_rows(blocks, ["site_id"], ["z", "node"], 3).select("site_id", "node", "rn")
+    lots = blocks.select("site_id", "node").join(low, ["site_id", "node"], "left_anti")
+    return ed.network_nodes(lots, low.filter("rn > 1").drop("rn"), low.filter("rn = 1").drop("rn"))
 
 
 @query(

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelgrid.functions import geometry as g
-from parcelgrid.operators import network as nw, pairs as pr, sweeps as sw
-from parcelgrid.operators.prefix import ranked
+from parcelgrid.operators import network as nw, pairs as pr, sweeps as sw, windows as wi
+from parcelgrid.operators.prefix import PLACE_BITS, ordered_ranges, ranked
 from parcelgrid.sources import dxf, geojson
 from parcelgrid.sources.regulations import load_regulations
 from parcelgrid.streaming import jobs
@@ -18,7 +18,7 @@ from parcelgrid.streaming import jobs
 def test_ranked_equals_a_plain_window_with_ties_and_one_hot_group(spark):
     rng = random.Random(5)
     rows = [(0 if i % 3 else i % 7, float(rng.choice([1, 1, 1, 2, 5, 9])), i, float(i % 11)) for i in range(600)]
-    got = ranked(spark.createDataFrame(rows, "k long, v double, id long, a double"), ["k"], "v", "id", ["a"], chunks=4).collect()
+    got = ranked(spark.createDataFrame(rows, "k long, v double, id long, a double"), ["k"], "v", "id", ["a"]).collect()
     assert len(got) == 600
     for k in {r[0] for r in rows}:
         want, run = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])), 0.0
@@ -28,6 +28,50 @@ def test_ranked_equals_a_plain_window_with_ties_and_one_hot_group(spark):
             run += w[3]
 
 
+def test_ranges_are_even_with_a_dominant_value_and_far_outliers(spark):
+    """95 % equal values, the rest at two scales; names as keys, one of them null."""
+    rows = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 3 = 0 THEN 'north' ELSE 'hot' END AS name", "id AS lot",
+        "CASE WHEN id % 20 > 0 THEN 5.0 WHEN id % 40 = 0 THEN id * 1e9 ELSE id * 1e-9 END AS z",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = ordered_ranges(rows, ["name", "z", "lot"])
+        sizes = [r[1] for r in ranges.groupBy(F.shiftright("_at", PLACE_BITS)).count().collect()]
+        plan = ranges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert plan.count("Exchange") == 1
+    got = ranked(rows, ["name"], "z", "lot", ["z"])
+    want = rows.selectExpr(
+        "name", "lot", "row_number() OVER (PARTITION BY name ORDER BY z, lot) AS rn", "count(*) OVER (PARTITION BY name) AS n"
+    )
+    assert got.select("name", "lot", "rn", "n").exceptAll(want).isEmpty() and got.count() == 60_000
+
+
+def test_running_sums_across_ranges_and_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(500).selectExpr("id % 3 AS site_id", "id AS lot", "id % 10 AS z", "IF(id % 9 = 0, NULL, CAST(id AS DOUBLE)) AS a")
+        got = ranked(rows, ["site_id"], "z", "lot", ["a"]).select("lot", "a_before", "a_total").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {r.lot: (r.b or 0.0, r.t) for r in rows.selectExpr(
+        "lot", "sum(a) OVER (PARTITION BY site_id ORDER BY z, lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b",
+        "sum(a) OVER (PARTITION BY site_id) AS t").collect()}
+    assert {r.lot: (r.a_before, r.a_total) for r in got} == want
+
+
+@pytest.mark.parametrize("order", ["CAST(id AS DOUBLE)", "IF(id < 95, 3.0, id * 1e6)", "5.0", "IF(id % 2 = 0, NULL, 1.0)"])
+def test_the_oldest_tenth_goes(spark, order):
+    rows = spark.range(230).selectExpr("id AS session_id", f"{order} AS t")
+    stay = {r.session_id for r in wi.evict_oldest(rows, "t", "session_id", limit=200).collect()}
+    ids = [r.session_id for r in rows.orderBy(F.asc_nulls_first("t"), "session_id").collect()]
+    assert stay == set(ids[23:])
+    assert wi.evict_oldest(rows, "t", "session_id").count() == 230
+
+
 def test_euclidean_mst_with_copies_and_far_clusters(spark):
     rng = random.Random(3)
     pts = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(20)] + [(900, 900)] * 5 + [(905, 900), (300, 40)]
