@@ -26,6 +26,12 @@ def read_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the messages of planning sessions, keyed by session and number: the source is the session."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return documents.select(F.col("source").alias("session_id"), F.col("doc_id").alias("seq"), "text")
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -267,3 +273,116 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (row_no) LEFT JOIN hit_items USING (row_no)
 """
+
+
+def looping(messages: DataFrame) -> DataFrame:
+    """Messages of which a tenth, by a hash of their number, get stuck at some word and repeat what follows it."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("seq").cast("string"))
+    g, rest = F.floor(h / 10), F.col("_n") - F.col("_a")
+    rows = messages.withColumn("_w", F.coalesce(words, F.array().cast("array<string>"))).withColumn("_n", F.size("_w"))
+    rows = rows.withColumn("_stuck", F.coalesce(h % 10 == 0, F.lit(False)) & (F.col("_n") > 0))
+    rows = rows.withColumn("_a", F.when(F.col("_stuck"), (g % F.col("_n")).cast("int")))
+    rows = rows.withColumn("_p", 1 + F.floor(rest / (3 + g % 8)).cast("int"))
+    again = F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int"))
+    stuck = F.concat(F.slice("_w", F.lit(1), F.col("_a")), F.slice(F.flatten(again), F.lit(1), rest))
+    return rows.withColumn("text", F.when(F.col("_stuck"), F.array_join(stuck, " ")).otherwise(F.col("text"))).select(*messages.columns)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.periodic_runs import message_runs
+
+    found = message_runs(looping(session_messages(spark, sf_dir)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        F.col("seq").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-longest["start"]).alias("start"),
+        longest["length"].alias("length"), (-longest["period"]).alias("period"),
+        F.floor(1000 * longest["length"] / -longest["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.merkle_manifest import message_manifest
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    rows = documents.withColumn("received_text", F.when(altered, lower).otherwise(F.col("text")))
+    proved = message_manifest(
+        rows, "lang", ["doc_id"], ["doc_id", "source", "lang", "n_chars", "text"], {"text": "received_text"}
+    )
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["before"], s["after"])), "")
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parcelgrid.llm.packing import pack_messages
+
+    packed = pack_messages(session_messages(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return packed.select(
+        F.col("seq").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"),
+        "sequence_id", "offset",
+    )
+
+
+ORACLES["op12_merkle_manifest"] = r"""
+WITH RECURSIVE rows_of AS (
+  SELECT doc_id, lang, text, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)] AS fields,
+         -- CRC-32, bit by bit
+         list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda crc, b: list_reduce(list_concat([xor(crc, b)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+             lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS crc
+  FROM documents
+), coded AS (
+  SELECT *, array_to_string(list_transform(fields, lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), '') AS head FROM rows_of
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS node,
+         sha256(head || coalesce(octet_length(encode(text)) || ':' || CASE WHEN xor(crc, 4294967295) % 3 = 0
+           THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS arrived
+  FROM coded
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, node) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM leaves
+), low(lang, level, pos, size, node) AS (
+  SELECT lang, 0, pos, size, node FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, max((size + 7) // 8), sha256(string_agg(node, '' ORDER BY pos)) FROM low WHERE size > 1 GROUP BY lang, level, pos // 8
+), subroots AS (
+  SELECT lang, node, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM low WHERE size = 1
+), high(level, pos, size, node) AS (
+  SELECT 0, pos, size, node FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, max((size + 7) // 8), sha256(string_agg(node, '' ORDER BY pos)) FROM high WHERE size > 1 GROUP BY level, pos // 8
+), steps AS (
+  SELECT lang, 0 AS tree, level, pos, size,
+         coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM low WINDOW w AS (PARTITION BY lang, level, pos // 8 ORDER BY pos)
+), top_steps AS (
+  SELECT level, pos, size,
+         coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM high WINDOW w AS (PARTITION BY level, pos // 8 ORDER BY pos)
+), way AS (
+  SELECT p.lang, p.pos, 0 AS tree, s.level, s.before, s.after FROM placed p JOIN steps s
+    ON s.lang IS NOT DISTINCT FROM p.lang AND s.size > 1 AND s.pos = p.pos // CAST(pow(8, s.level) AS BIGINT)
+  UNION ALL
+  SELECT p.lang, p.pos, 1, t.level, t.before, t.after FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang
+    JOIN top_steps t ON t.size > 1 AND t.pos = r.pos // CAST(pow(8, t.level) AS BIGINT)
+), proofs AS (
+  SELECT lang, pos, string_agg(before || after, '' ORDER BY tree, level) AS proof, list(before || '|' || after ORDER BY tree, level) AS parts
+  FROM way GROUP BY lang, pos
+), folded AS (
+  SELECT p.doc_id, p.node AS leaf, r.node AS subroot, (SELECT node FROM high WHERE size = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_concat([arrived], coalesce(parts, [])),
+           lambda acc, part: sha256(string_split(part, '|')[1] || acc || string_split(part, '|')[2])) AS folded_root
+  FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang LEFT JOIN proofs f ON f.lang IS NOT DISTINCT FROM p.lang AND f.pos = p.pos
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""

@@ -9,8 +9,9 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from parcelgrid.llm import near_copies, queries
+from parcelgrid.llm import queries
 from parcelgrid.session import cut_lineage
+from tests.llm.test_word_copies import lowest
 from tests.oracle import open_duckdb
 
 SF = "/root/testdata/sf0.001"
@@ -34,13 +35,7 @@ def test_stages(spark):
     kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({queries.ORACLES['op7_quality_rules']}) WHERE kept").fetchall()}
     assert set(tables["quality_rules"]) == kept
 
-    prints = {i: near_copies.fingerprint(r.text) for i, r in tables["quality_rules"].items()}
-    group = {i: i for i in prints}
-    for a in prints:
-        for b in prints:
-            if (prints[a] ^ prints[b]).bit_count() <= 2 and group[a] != group[b]:
-                low, high = sorted((group[a], group[b]))
-                group.update({k: low for k, v in group.items() if v == high})
+    group = lowest({i: r.text for i, r in tables["quality_rules"].items()})
     assert set(tables["near_copies"]) == set(group.values())
 
     windows = set()
