@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from parcelgrid.llm.batches import slices
-from parcelgrid.llm.bpe_codec import _spec, transducer
+from parcelgrid.llm.bpe_codec import _spec
+from parcelgrid.llm.ragged_bpe import batch_encoder
 from parcelgrid.session import cut_lineage
 
 #: Tokens handed to Spark at once by a task.
@@ -129,7 +130,7 @@ def token_pieces(
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, seen = transducer(spec), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        coder, task, seen = batch_encoder(spec), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
 
         def ready(part: pa.RecordBatch, of: list[int], cut: list[tuple]) -> pa.RecordBatch:
             start, length, n, ids, nth = zip(*cut)
@@ -141,8 +142,9 @@ def token_pieces(
         for batch in batches:
             for part in slices(batch, "text"):
                 of, cut, held = [], [], 0
-                for row, value in enumerate(part.column("text")):
-                    ids = array("I", b"".join(coder.encode(value.as_py() or "")))
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for row, packed in enumerate(coder.encode_texts(texts)):
+                    ids = array("I", packed)
                     ids.append(end_id)
                     for start in range(0, len(ids), window):
                         some = ids[start : start + window]

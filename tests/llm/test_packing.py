@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from parcelgrid.fixtures import Fixtures
-from parcelgrid.llm import packing as pk
+from parcelgrid.llm import packing as pk, ragged_bpe
 from parcelgrid.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -116,6 +116,26 @@ def test_nulls_empty_long_repeated_and_clashing(spark):
         pk.pack_messages(df, WORDS, window=100)
 
 
+def some_text(rng):
+    kind = rng.randrange(4)
+    if kind == 0:
+        return "".join(rng.choice("aaab ") for _ in range(rng.randint(0, 60)))
+    if kind == 1:
+        return "".join(rng.choice([*"the road's plot İßΣσς 12 ,.!?-é日本🙂\u0301\t\n\x1c\x85 हिन्", "<|endoftext|>"]) for _ in range(rng.randint(0, 80)))
+    if kind == 2:
+        return "".join(chr(rng.randrange(32, 0x557)) for _ in range(rng.randint(0, 60)))
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 90))) for _ in range(rng.randint(0, 30)))
+
+
+def test_batches_of_texts_against_the_library(monkeypatch):
+    monkeypatch.setattr(ragged_bpe, "HELD_WORDS", 500)
+    rng, coder = random.Random(5), ragged_bpe.BatchEncoder(open(WORDS, "rb").read())
+    for _ in range(8):
+        texts = [some_text(rng) for _ in range(200)] + ["road plot, " * 40_000, "ab" * 3_000, "\x1c" * 3, ""]
+        assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode_texts(texts)] == [i[:-1] for i in library_ids(texts)]
+    assert coder.merge_batch([]) == [] and coder.encode_texts([]) == []
+
+
 def test_query_against_the_library(spark):
     rows = QUERIES["op13_packing"](spark, SF).collect()
     check_sequences(rows, 2048)
