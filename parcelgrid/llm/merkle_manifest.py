@@ -19,7 +19,7 @@ from parcelgrid.session import cut_lineage
 #: Children of a node.
 FAN = 8
 #: Nodes of a window partition, a whole number of runs.
-BLOCK_NODES = FAN**4
+BLOCK_NODES = FAN**3
 #: The only group of the tree over groups.
 TOP = "_"
 
