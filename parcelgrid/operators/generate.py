@@ -250,43 +250,6 @@ def boundary_candidates(sites: DataFrame, n: int = 20) -> DataFrame:
     return s.select("site_id", "point_no", F.col("_p.x").alias("px"), F.col("_p.y").alias("py"))
 
 
-# ---------------------------------------------------------------- blocks
-
-
-def extract_blocks(
-    sites: DataFrame, roads: DataFrame, extra_width: float = 0.0, min_area: float = 500.0
-) -> DataFrame:
-    """Land between straight roads that run through a convex site.
-
-    ``roads(site_id, road_no 1, 2, ..., x1, y1, x2, y2, width_m)``.  Each road splits every piece by two half-planes;
-    sites without roads stay one block.  There is one step for each road number in use; the largest is read first.
-    """
-    n_roads = roads.agg(F.max("road_no")).first()[0] or 0
-    pieces = sites.select("site_id", F.col("ring").alias("piece"), F.lit("").alias("side"))
-    for k in range(1, n_roads + 1):
-        r = roads.filter(F.col("road_no") == k).select(
-            "site_id", "x1", "y1", "x2", "y2", ((F.col("width_m") + extra_width) / 2).alias("half")
-        )
-        j = pieces.join(r, "site_id", "left")
-        ln = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-        a, b = (F.col("y2") - F.col("y1")) / ln, (F.col("x1") - F.col("x2")) / ln
-        c = a * F.col("x1") + b * F.col("y1")
-        left = g.clip_convex(F.col("piece"), F.array(g.half_plane(a, b, c - F.col("half"))))
-        right = g.clip_convex(F.col("piece"), F.array(g.half_plane(-a, -b, -c - F.col("half"))))
-        side = F.struct
-        both = F.when(
-            F.col("half").isNotNull(),
-            F.array(
-                side(left.alias("piece"), F.concat("side", F.lit("a")).alias("side")),
-                side(right.alias("piece"), F.concat("side", F.lit("b")).alias("side")),
-            ),
-        ).otherwise(F.array(side(F.col("piece"), F.col("side"))))
-        pieces = j.select("site_id", F.explode(both).alias("_p")).select("site_id", "_p.piece", "_p.side")
-        pieces = pieces.filter(F.size("piece") >= 3)
-    out = g.materialize(pieces, area_sqm=g.area(F.col("piece"))).filter(F.col("area_sqm") >= min_area)
-    return out.withColumnRenamed("piece", "ring")
-
-
 # ---------------------------------------------------------------- lots
 
 

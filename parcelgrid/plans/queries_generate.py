@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from parcelgrid.fixtures import Fixtures, sites_with_ring
 from parcelgrid.functions import geometry as g
-from parcelgrid.operators import generate as ge, metrics as m, rules as ru, templates as te
+from parcelgrid.operators import arrangement as ar, generate as ge, metrics as m, rules as ru, templates as te
 from parcelgrid.plans import oracle_forms as o
 from parcelgrid.plans.queries_geometry import plots_with_ring, turned_plots
 from parcelgrid.plans.registry import query, r4
@@ -285,14 +285,36 @@ qb AS (SELECT site_id, sx||sy AS side, CASE sy WHEN 'a' THEN 0 ELSE w/4+HX END A
 """
 
 
+def street_plan(fx: Fixtures) -> DataFrame:
+    """The roads of a site, a dead end off the secondary one, and a diagonal that ends on the primary one."""
+    s, lit = fx.sites, F.lit
+    more = [
+        (3, F.col("w") / 4, 3 * F.col("h") / 4, F.col("w") / 8, 3 * F.col("h") / 4),
+        (4, F.col("w") / 2 - 30, lit(-30.0), F.col("w") / 2 + F.col("h") / 4, F.col("h") / 4),
+    ]
+    columns = fx.roads.columns
+    roads = fx.roads
+    for no, x1, y1, x2, y2 in more:
+        roads = roads.unionByName(s.select(
+            "site_id", lit(no).cast("long").alias("road_no"), lit("internal").alias("road_class"), x1.alias("x1"), y1.alias("y1"),
+            x2.alias("x2"), y2.alias("y2"), lit(10.0).alias("width_m"),
+        ).select(*columns))
+    return roads
+
+
 @query(
     "e10_extract_blocks",
-    _QUADS.replace("HX", "8").replace("HY", "12").replace("WHERE_", "WHERE NOT concave")
-    + f"SELECT b.site_id, side, round({o.site_overlap('b', 's')},4) AS area_sqm FROM qb b JOIN sites s USING (site_id) WHERE {o.site_overlap('b', 's')}>=500",
+    _QUADS.replace("HX", "8").replace("HY", "12").replace("WHERE_", "")
+    + f""", q AS (SELECT b.site_id, side, {o.site_overlap('b', 's')} AS a, s.w AS sw, s.h AS sh FROM qb b JOIN sites s USING (site_id)),
+    bl AS (SELECT site_id, 1 AS block_no, a FROM q WHERE side='ba' UNION ALL SELECT site_id, 2, a-(sw/8-8)*10 FROM q WHERE side='aa'
+      UNION ALL SELECT site_id, 3, (sw/4-8-sqrt(50.0))*(sh/4-12)+pow(sh/4-12,2)/2 FROM q WHERE side='bb'
+      UNION ALL SELECT site_id, 4, a FROM q WHERE side='ab'
+      UNION ALL SELECT site_id, 5, (sw/2-sqrt(50.0))*(sh/4-12)-pow(sh/4-12,2)/2 FROM q WHERE side='bb')
+    SELECT site_id, block_no::BIGINT AS block_no, 0 AS n_holes, round(a::DOUBLE,4) AS area_sqm FROM bl""",
 )
 def extract_blocks(fx: Fixtures) -> DataFrame:
-    b = ge.extract_blocks(convex_sites(fx), fx.roads)
-    return b.select("site_id", "side", r4(F.col("area_sqm"), "area_sqm"))
+    b = ar.extract_blocks(sites_with_ring(fx), street_plan(fx))
+    return b.select("site_id", "block_no", F.size("holes").alias("n_holes"), r4(F.col("area_sqm"), "area_sqm"))
 
 
 @query(
@@ -527,7 +549,8 @@ def sidewalks_and_green_rings(fx: Fixtures) -> DataFrame:
 
 def subdivided_sites(fx: Fixtures) -> DataFrame:
     """Blocks between the roads, lots on their oriented boxes, then the rule table decides lot or green."""
-    blocks = ge.extract_blocks(rect_sites(fx), fx.roads.withColumn("width_m", F.lit(12.0)), min_area=0.0)
+    blocks = ar.extract_blocks(rect_sites(fx), fx.roads.withColumn("width_m", F.lit(12.0)), min_area=0.0)
+    blocks = blocks.withColumnRenamed("block_no", "side")
     small = blocks.filter((F.col("area_sqm") < 750) & (F.col("area_sqm") > 50)).select(
         "site_id", "side", F.lit("green").alias("action"), "area_sqm"
     )
@@ -560,6 +583,24 @@ def subdivide_site(fx: Fixtures) -> DataFrame:
     )
 
 
+@query(
+    "e25_lots_on_outlines",
+    _QUADS.replace("HX", "6").replace("HY", "6").replace("WHERE_", "") + f""",
+    ql AS (SELECT *, w<h AS tall, greatest(1,floor(least(w,h)/40))::BIGINT AS c, greatest(1,floor(greatest(w,h)/60))::BIGINT AS r FROM qb),
+    lc AS (SELECT site_id, CASE WHEN tall THEN c ELSE r END AS nx, CASE WHEN tall THEN r ELSE c END AS ny, x, y, w, h FROM ql),
+    cells AS (SELECT site_id, x+i*w/nx AS x, y+j*h/ny AS y, w/nx AS w, h/ny AS h FROM lc, LATERAL (SELECT unnest(range(nx)) AS i) a, LATERAL (SELECT unnest(range(ny)) AS j) b),
+    lots AS (SELECT b.site_id, {o.site_overlap('b', 's')} AS a FROM cells b JOIN sites s USING (site_id))
+    SELECT site_id, count(*)::BIGINT AS n_lots, round(sum(a)::DOUBLE,3) AS total_sqm, round(min(a)::DOUBLE,3) AS least_sqm FROM lots WHERE a>1e-6 GROUP BY 1""",
+)
+def lots_on_outlines(fx: Fixtures) -> DataFrame:
+    """Lots of every block of the real outlines, corners cut off and notches included."""
+    blocks = ar.extract_blocks(sites_with_ring(fx), fx.roads.withColumn("width_m", F.lit(12.0)), min_area=0.0)
+    lots = ge.obb_grid_lots(blocks.select("site_id", "block_no", "ring"), 40.0, 60.0, 1e-6)
+    return lots.groupBy("site_id").agg(
+        F.count("*").alias("n_lots"), F.round(F.sum("lot_sqm"), 3).alias("total_sqm"), F.round(F.min("lot_sqm"), 3).alias("least_sqm")
+    )
+
+
 @query(
     "u2_rule_table",
     """SELECT layout_id, plot_no, CASE WHEN w*h>30000 THEN 'split' WHEN v THEN 'inset_front' WHEN w*h>=0.3*3000 THEN 'green' ELSE 'drop' END AS action

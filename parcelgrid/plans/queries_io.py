@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelgrid.fixtures import Fixtures
 from parcelgrid.functions import geometry as g, registry as rg
@@ -103,13 +103,36 @@ def dxf_boundary_and_roads(fx: Fixtures) -> DataFrame:
     return b.groupBy("path", "role").agg(F.count("*").alias("n"), r4(F.sum("area_sqm"), "area_sqm"))
 
 
+def loose_drawings(fx: Fixtures) -> DataFrame:
+    """Lines in no order: an outline whose ends miss each other across a rounding border, a crossroads, two asset
+    boxes that touch in a corner on every fourth site and lie apart on the others, and a line on its own."""
+    w, h = F.col("w"), F.col("h")
+    out, n = F.lit("LOTS"), F.lit(0.0)
+    off = [F.lit(0.004), F.lit(0.006)]
+    sides = [
+        dxf.line_text(out, g.pt(w + off[1], h), g.pt(n, h)), dxf.line_text(out, g.pt(n, n), g.pt(w + off[0], n)),
+        dxf.line_text(out, g.pt(n, h), g.pt(n, n)), dxf.line_text(out, g.pt(w + off[1], n), g.pt(w + off[0], h)),
+    ]
+    cross = [dxf.line_text(F.lit("ROADS"), g.pt(w / 2, h / 2), g.pt(w / 2 + dx, h / 2 + dy)) for dx, dy in ((90, 0), (-90, 0), (0, 90), (0, -90))]
+
+    def box(x: Column, y: float, size: float) -> list[Column]:
+        c = [g.pt(x, F.lit(y)), g.pt(x + size, F.lit(y)), g.pt(x + size, F.lit(y + size)), g.pt(x, F.lit(y + size))]
+        return [dxf.line_text(out, c[i], c[(i + 1) % 4]) for i in (2, 0, 3, 1)]
+
+    apart = F.when(F.col("site_id") % 4 == 0, 30.0).otherwise(35.0)
+    alone = dxf.line_text(out, g.pt(F.lit(1000.0), n), g.pt(F.lit(1010.0), n))
+    value = F.concat(F.lit(dxf.HEADER), *sides, *cross, *box(F.lit(10.0), 10.0, 20.0), *box(apart, 30.0, 20.0), alone, F.lit(dxf.FOOTER))
+    return fx.sites.select(F.col("site_id").cast("string").alias("path"), value.alias("value"))
+
+
 @query(
     "io5_assemble_rings",
-    """SELECT site_id::VARCHAR AS path, CASE WHEN site_id%3=0 THEN 'ring' ELSE 'open' END AS status, CASE WHEN site_id%3=0 THEN 4 ELSE 1 END::BIGINT AS n_lines,
-       CASE WHEN site_id%3=0 THEN w*h ELSE 0 END AS area_sqm FROM sites""",
+    """SELECT site_id::VARCHAR AS path, status, n_lines, round(CASE k WHEN 0 THEN (w+0.004)*h ELSE a END::DOUBLE, 4) AS area_sqm FROM sites, (VALUES (0, 'ring', 4::BIGINT, 0.0), (1, 'open', 4, 0), (2, 'open', 1, 0)) v(k, status, n_lines, a)
+       UNION ALL SELECT site_id::VARCHAR, 'ring', 4, 400 FROM sites, (SELECT unnest(range(2))) WHERE site_id%4<>0
+       UNION ALL SELECT site_id::VARCHAR, 'open', 8, 0 FROM sites WHERE site_id%4=0""",
 )
 def assemble_rings(fx: Fixtures) -> DataFrame:
-    r = dxf.assemble_rings(dxf.parse_dxf(dxf_documents(fx)))
+    r = dxf.assemble_rings(dxf.parse_dxf(loose_drawings(fx)))
     return r.select("path", "status", "n_lines", r4(F.coalesce(g.area(F.col("ring")), F.lit(0.0)), "area_sqm"))
 
 

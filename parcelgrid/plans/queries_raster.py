@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from parcelgrid.fixtures import Fixtures, sites_with_ring
-from parcelgrid.operators import raster as ra, tiles as ti
+from parcelgrid.functions import geometry as g
+from parcelgrid.operators import arrangement as ar, raster as ra, tiles as ti
 from parcelgrid.operators.sweeps import road_spacing_sweep
 from parcelgrid.plans.queries_generate import convex_sites
 from parcelgrid.plans.queries_network import asset_points
@@ -72,6 +73,27 @@ def union_area(fx: Fixtures) -> DataFrame:
     return ra.union_area(fx.plots, ["layout_id"], 20.0)
 
 
+@query(
+    "a15_dissolve",
+    """q AS (SELECT layout_id, plot_no, x+plot_no/8.0 AS x0, y+plot_no/16.0 AS y0, x+plot_no/8.0+w AS x1, y+plot_no/16.0+h AS y1 FROM plots),
+       touch AS (SELECT a.layout_id, a.plot_no AS p, b.plot_no AS r FROM q a JOIN q b USING (layout_id)
+         WHERE least(a.x1,b.x1)>=greatest(a.x0,b.x0) AND least(a.y1,b.y1)>=greatest(a.y0,b.y0) AND (least(a.x1,b.x1)>greatest(a.x0,b.x0) OR least(a.y1,b.y1)>greatest(a.y0,b.y0))),
+       walk AS (SELECT layout_id, plot_no AS p, plot_no AS low FROM q UNION SELECT w.layout_id, t.r, w.low FROM walk w JOIN touch t ON t.layout_id=w.layout_id AND t.p=w.p),
+       part AS (SELECT layout_id, p AS plot_no, min(low) AS part FROM walk GROUP BY 1,2),
+       m AS (SELECT q.*, part FROM q JOIN part USING (layout_id, plot_no)),
+       xs AS (SELECT *, lead(v) OVER (PARTITION BY layout_id, part ORDER BY v) AS nv FROM (SELECT DISTINCT layout_id, part, unnest([x0,x1]) AS v FROM m)),
+       ys AS (SELECT *, lead(v) OVER (PARTITION BY layout_id, part ORDER BY v) AS nv FROM (SELECT DISTINCT layout_id, part, unnest([y0,y1]) AS v FROM m)),
+       cells AS (SELECT DISTINCT m.layout_id, m.part, xs.v AS cx, xs.nv AS dx, ys.v AS cy, ys.nv AS dy FROM m
+         JOIN xs ON xs.layout_id=m.layout_id AND xs.part=m.part AND xs.v>=m.x0 AND xs.nv<=m.x1 JOIN ys ON ys.layout_id=m.layout_id AND ys.part=m.part AND ys.v>=m.y0 AND ys.nv<=m.y1)
+       SELECT layout_id, round(sum((dx-cx)*(dy-cy))::DOUBLE,4) AS area_sqm FROM cells GROUP BY layout_id, part""",
+)
+def dissolve_plots(fx: Fixtures) -> DataFrame:
+    """Merged outlines of the plots of a layout, moved off the raster: one row for each part."""
+    moved = g.rect_ring(F.col("x") + F.col("plot_no") / 8.0, F.col("y") + F.col("plot_no") / 16.0, F.col("w"), F.col("h"))
+    parts = fx.plots.select("layout_id", "plot_no", moved.alias("ring"))
+    return ar.dissolve(parts, ["layout_id"], "plot_no", cell_m=400.0).select("layout_id", r4(F.col("area_sqm"), "area_sqm"))
+
+
 @query(
     "e20_nearest_seed_regions",
     _raster(20) + """, pt AS (SELECT site_id, asset_id AS node, x+w/2 AS sx, y+h/2 AS sy FROM assets)

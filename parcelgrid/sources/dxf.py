@@ -5,11 +5,12 @@ A drawing is one row; its entities come out of array functions inside that row,
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelgrid.functions import geometry as g
+from parcelgrid.operators.arrangement import move, numbered, order_rings, snapped
 from parcelgrid.operators.network import components
+from parcelgrid.session import cut_lineage
 
 # fixed values: layer per feature kind
 LAYERS = {
@@ -103,53 +104,49 @@ def summary(entities: DataFrame, drawings: DataFrame) -> DataFrame:
     )
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Order the edges of one ring, every endpoint of which has two of them."""
-    near: dict[int, list[int]] = {}
-    where: dict[int, tuple[float, float]] = {}
-    for r in pdf.itertuples():
-        near.setdefault(r.u, []).append(r.v)
-        near.setdefault(r.v, []).append(r.u)
-        where[r.u], where[r.v] = (r.ux, r.uy), (r.vx, r.vy)
-    closed = all(len(v) == 2 for v in near.values()) and len(near) >= 3
-    ring: list[dict[str, float]] = []
-    if closed:
-        start = min(near)
-        prev, here = None, start
-        while here is not None and len(ring) <= len(near):
-            ring.append({"x": where[here][0], "y": where[here][1]})
-            nxt = [v for v in near[here] if v != prev]
-            prev, here = here, nxt[0] if nxt and nxt[0] != start else None
-    return pd.DataFrame(
-        {"path": [pdf["path"].iloc[0]], "comp": [pdf["comp"].iloc[0]], "status": ["ring" if closed else "open"],
-         "ring": [ring if closed else None], "n_lines": [len(pdf)]}
-    )
-
-
 def assemble_rings(entities: DataFrame, snap: float = 0.01) -> DataFrame:
-    """Closed rings from loose LINEs.  Endpoints snap to a grid, lines fall into connected parts, and each part is
-    one ring to order; parts that are no simple ring are reported as open."""
-    ln = entities.filter("kind = 'LINE'")
-    a, b = F.col("points")[0], F.col("points")[1]
-
-    def node(p: Column) -> Column:
-        return F.xxhash64(F.rint(p.x / snap), F.rint(p.y / snap))
-
-    e = ln.select(
-        F.col("path").alias("site_id"), "entity_no", node(a).alias("s"), node(b).alias("t"), a.x.alias("sx"), a.y.alias("sy"),
-        b.x.alias("tx"), b.y.alias("ty"),
-    ).filter("s <> t")
-    flip = F.col("s") > F.col("t")
-    e = e.select(
-        "site_id", "entity_no", F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v"),
-        *[F.when(flip, F.col(f"t{k}")).otherwise(F.col(f"s{k}")).alias(f"u{k}") for k in "xy"],
-        *[F.when(flip, F.col(f"s{k}")).otherwise(F.col(f"t{k}")).alias(f"v{k}") for k in "xy"],
+    """Closed rings from loose LINEs: ``path, comp, status, ring, n_lines``, one row for each connected part.
+
+    Ends within ``snap`` of each other meet.  A part in which every point has two lines is a ring; any other, and one of
+    two points only, is reported as open.  Open parts are set aside before rings are put in order, by pointer doubling
+    over their lines, so a street drawing costs a degree count.  Rings run counter-clockwise; ``comp`` is the first
+    entity of the part.  Lines shorter than ``snap``, or without two points, are no part of any.
+    """
+    key = ["path"]
+    ln = numbered(entities.filter("kind = 'LINE' AND size(points) >= 2").select("path", "entity_no", "points"), "line")
+    ends = ln.select(
+        "path", "entity_no", "line", F.posexplode(F.slice("points", 1, 2)).alias("end", "_p")
+    ).select("path", "entity_no", "line", "end", F.col("_p.x").alias("px"), F.col("_p.y").alias("py")).filter(
+        F.col("px").isNotNull() & F.col("py").isNotNull()
+    )
+    ends = cut_lineage(move(ends, snapped(ends, key, snap), key, "px", "py"))
+    point = ends.groupBy("path", "px", "py").agg(F.count("*").alias("n_lines"))
+    nodes = numbered(point, "node")
+    at = ends.join(nodes.select("path", "px", "py", "node"), ["path", "px", "py"])
+    line = at.groupBy("path", "entity_no", "line").agg(
+        *[F.max(F.when(F.col("end") == k, F.struct("node", "px", "py"))).alias(n) for k, n in ((0, "u"), (1, "v"))]
+    )
+    line = cut_lineage(line.filter("u.node <> v.node"))
+    degree = line.select(F.explode(F.array("u.node", "v.node")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    one = F.lit(0).alias("site_id")
+    comp = components(
+        degree.select(one, "node"), line.select(one, F.col("u.node").alias("u"), F.col("v.node").alias("v"))
+    ).select("node", F.col("comp").alias("part"))
+    part = cut_lineage(line.join(comp.withColumnRenamed("node", "_n"), F.col("u.node") == F.col("_n")).drop("_n"))
+    loose = comp.join(degree.filter("degree <> 2"), "node").select("part").distinct()
+    closed = part.join(loose, "part", "left_anti")
+    both = closed.select("path", "part", "line", (F.col("line") * 2).alias("edge"), "u", "v").unionByName(
+        closed.select("path", "part", "line", (F.col("line") * 2 + 1).alias("edge"), F.col("v").alias("u"), F.col("u").alias("v"))
+    )
+    after = both.select(F.col("u.node").alias("_at"), F.col("edge").alias("next"), F.col("line").alias("_other"))
+    linked = both.join(after, (F.col("v.node") == F.col("_at")) & (F.col("line") != F.col("_other"))).select(
+        "path", "part", "edge", "next", F.col("u.px").alias("ux"), F.col("u.py").alias("uy")
     )
-    nodes = e.select("site_id", F.explode(F.array("u", "v")).alias("node")).distinct()
-    comp = components(nodes, e)
-    j = e.join(comp.select("site_id", F.col("node").alias("u"), "comp"), ["site_id", "u"]).withColumnRenamed("site_id", "path")
-    return j.groupBy("path", "comp").applyInPandas(
-        _walk, f"path string, comp long, status string, ring {g.RING}, n_lines long"
+    rings = g.materialize(order_rings(linked, ["path", "part"]), _a=g.signed_area(F.col("ring")))
+    rings = rings.filter((F.size("ring") >= 3) & (F.col("_a") > 0)).select("part", "ring")
+    counted = part.groupBy("path", "part").agg(F.min("entity_no").alias("comp"), F.count("*").alias("n_lines"))
+    return counted.join(rings, "part", "left").select(
+        "path", "comp", F.when(F.col("ring").isNull(), "open").otherwise("ring").alias("status"), "ring", "n_lines"
     )
 
 

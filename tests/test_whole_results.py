@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelgrid.functions import geometry as g
-from parcelgrid.operators import generate as ge, network as nw, raster as ra, templates as te
+from parcelgrid.operators import arrangement as ar, network as nw, raster as ra, templates as te
 from parcelgrid.sources import geojson
 from parcelgrid.sources.regulations import load_regulations
 
@@ -71,7 +71,7 @@ def test_third_road_splits_and_buffers_block(spark):
     sites = spark.range(1, 2).select(F.col("id").alias("site_id"), square.alias("ring"))
     roads = [(1, k, float(x), 0.0, float(x), 90.0, 2.0) for k, x in ((1, 20), (2, 40), (3, 60))]
     table = spark.createDataFrame(roads, "site_id long, road_no long, x1 double, y1 double, x2 double, y2 double, width_m double")
-    assert ge.extract_blocks(sites, table).count() == 4
+    assert ar.extract_blocks(sites, table).count() == 4
     stone = spark.createDataFrame([(1, 40.0, 40.0, 10.0, 10.0, 20.0, True)], "site_id long, x double, y double, w double, h double, buffer_m double, is_hard boolean")
     blocked = ra.buildable_area(sites, stone, size=1.0).first().blocked_sqm
     assert abs(blocked - (100 + 4 * 10 * 20 + math.pi * 400)) < 40
