@@ -28,27 +28,34 @@ def candidate_edges(points: DataFrame, max_d: float, cell_m: float | None = None
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest node id reachable from every node: labels spread over edges, then jump along labels, until none moves."""
-    e = edges.select("site_id", "u", "v")
-    both = cut_lineage(e.unionByName(e.select("site_id", F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = cut_lineage(nodes.select("site_id", "node", F.col("node").alias("comp")))
-    while True:
-        seen = both.join(labels.select("site_id", F.col("node").alias("v"), "comp"), ["site_id", "v"]).groupBy(
-            "site_id", F.col("u").alias("node")
-        ).agg(F.min("comp").alias("low"))
-        lower = labels.join(seen, ["site_id", "node"], "left").select(
-            "site_id", "node", "comp", F.least("comp", F.coalesce("low", "comp")).alias("next")
+    """Smallest node id reachable from every node, by contraction.
+
+    Every component points to its smallest neighbour, if that is smaller; pointers are followed to their ends by doubling,
+    and the edges go on between the components reached.  At least half of the components with neighbours go in each
+    round, so a chain of a million nodes takes some twenty rounds, on edges that become fewer.
+    """
+    e = edges.select("site_id", F.col("u").alias("a"), F.col("v").alias("b")).filter("a <> b")
+    live = cut_lineage(e.unionByName(e.select("site_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = nodes.select("site_id", "node", F.col("node").alias("comp"))
+    while not live.isEmpty():
+        to = live.groupBy("site_id", "a").agg(F.min("b").alias("low")).select("site_id", "a", F.least("a", "low").alias("to"))
+        moving = True
+        while moving:
+            for _ in range(2):
+                ahead = to.select("site_id", F.col("a").alias("to"), F.col("to").alias("next"))
+                to = to.join(ahead, ["site_id", "to"]).select("site_id", "a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+            to = cut_lineage(to)
+            moving = not to.filter("moved").isEmpty()
+        to = to.drop("moved")
+        labels = labels.join(to.withColumnRenamed("a", "comp"), ["site_id", "comp"], "left").select(
+            "site_id", "node", F.coalesce("to", "comp").alias("comp")
         )
-        jump = lower.select("site_id", F.col("node").alias("next"), F.col("next").alias("hop"))
-        step = cut_lineage(
-            lower.join(jump, ["site_id", "next"]).select(
-                "site_id", "node", "comp", F.least("next", "hop").alias("new")
-            )
+        live = cut_lineage(
+            live.join(to, ["site_id", "a"]).select("site_id", F.col("to").alias("a"), "b")
+            .join(to.select("site_id", F.col("a").alias("b"), F.col("to").alias("c")), ["site_id", "b"])
+            .filter("a <> c").select("site_id", "a", F.col("c").alias("b")).distinct()
         )
-        changed = step.filter(F.col("new") != F.col("comp")).count()
-        labels = step.select("site_id", "node", F.col("new").alias("comp"))
-        if changed == 0:
-            return labels
+    return cut_lineage(labels)
 
 
 def _hook(picked: DataFrame) -> DataFrame:
