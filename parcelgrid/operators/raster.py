@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelgrid.functions import geometry as g
+from parcelgrid.operators import runs as rn
 from parcelgrid.operators.bucket import near_pairs
-from parcelgrid.operators.network import components
-from parcelgrid.operators.pairs import road_boxes
 from parcelgrid.session import cut_lineage
 
 
@@ -34,36 +33,14 @@ def centres(cells: DataFrame) -> DataFrame:
     )
 
 
-def _uncovered(cells: DataFrame, shapes: DataFrame, within: float | Column, max_within: float) -> DataFrame:
-    """Cells whose centre is farther than ``within`` from every shape (boxes) of the site."""
-    near = near_pairs(
-        centres(cells), shapes, ["site_id"], within, cell_m=max(100.0, max_within), max_within=max_within
-    ).select("site_id", "i", "j")
-    return cells.join(near, ["site_id", "i", "j"], "left_anti")
-
-
-def label_parts(cells: DataFrame) -> DataFrame:
-    """Connected parts over the four neighbours; the label is the smallest cell number of the part."""
-    n = cells.withColumn("node", F.col("i").cast("long") * F.lit(1 << 20) + F.col("j"))
-    n = cut_lineage(n)
-    here = n.select("site_id", "i", "j", F.col("node").alias("v"))
-    right = n.select("site_id", (F.col("i") + 1).alias("i"), "j", F.col("node").alias("u"))
-    up = n.select("site_id", "i", (F.col("j") + 1).alias("j"), F.col("node").alias("u"))
-    edges = right.unionByName(up).join(here, ["site_id", "i", "j"]).select("site_id", "u", "v")
-    return n.join(components(n, edges), ["site_id", "node"])
-
-
-def part_areas(labelled: DataFrame, size: float, min_area: float) -> DataFrame:
-    parts = labelled.groupBy("site_id", F.col("comp").alias("part")).agg(
-        (F.count("*") * float(size * size)).alias("area_sqm"), F.min("i").alias("i0"), F.min("j").alias("j0")
-    )
-    return parts.filter(F.col("area_sqm") >= min_area).withColumn("cell_m", F.lit(float(size)))
-
-
 def dead_zones(sites: DataFrame, roads: DataFrame, max_d: float, size: float = 10.0, min_area: float = 100.0) -> DataFrame:
-    """Parts of a site farther than ``max_d`` from all roads; a site without roads is one dead zone."""
-    far = _uncovered(site_cells(sites, size), road_boxes(roads), max_d, max_d)
-    return part_areas(label_parts(far), size, min_area + g.EPS)
+    """Parts of a site farther than ``max_d`` from all roads, straight ones of any direction; a site without roads is one
+    dead zone.  Roads without a place are ignored."""
+    rows = rn.site_rows(sites, size)
+    line = F.struct(g.pt(F.col("x1"), F.col("y1")).alias("p"), g.pt(F.col("x2"), F.col("y2")).alias("q"))
+    shapes = roads.select("site_id", F.array(line).alias("sides"), F.lit(float(max_d)).alias("reach"))
+    far = rn.free_runs(rn.site_runs(rows, size), rn.shape_runs(shapes, rows, size))
+    return rn.part_areas(rn.label_runs(far), size, min_area + g.EPS)
 
 
 def dead_area(cells: DataFrame, lines: DataFrame, max_d: float, size: float, keys: list[str]) -> DataFrame:
@@ -73,17 +50,26 @@ def dead_area(cells: DataFrame, lines: DataFrame, max_d: float, size: float, key
     return far.groupBy(*keys).agg((F.count("*") * float(size * size)).alias("dead_sqm"))
 
 
+def _box_sides(box: dict[str, Column]) -> Column:
+    return g.edges(g.rect_ring(box["x"], box["y"], box["w"], box["h"]))
+
+
 def buildable_area(sites: DataFrame, constraints: DataFrame, size: float = 5.0) -> DataFrame:
     """Site area less its hard constraints and their buffers, each place counted once.
 
     A cell is lost if its centre lies within ``buffer_m`` of a hard constraint.
     """
-    hard = constraints.filter("is_hard").select("site_id", "x", "y", "w", "h", F.coalesce("buffer_m", F.lit(0.0)).alias("buffer_m"))
-    widest = float(hard.agg(F.max("buffer_m")).first()[0] or 0.0)
-    inside = near_pairs(
-        centres(site_cells(sites, size)), hard, ["site_id"], F.col("buffer_m_b"), max(100.0, widest), max_within=widest
-    ).select("site_id", "i", "j").distinct()
-    lost = inside.groupBy("site_id").agg((F.count("*") * float(size * size)).alias("blocked_sqm"))
+    hard = constraints.filter("is_hard").select(
+        "site_id", _box_sides(g.rect_of()).alias("sides"), F.coalesce("buffer_m", F.lit(0.0)).alias("reach")
+    )
+    rows = rn.site_rows(sites, size)
+    land = rn.site_runs(rows, size)
+    free = rn.free_runs(land, rn.shape_runs(hard, rows, size)).groupBy("site_id").agg(rn.run_area(size).alias("_free"))
+    none = rn.shape_runs(hard.limit(0), rows, size)
+    every = rn.free_runs(land, none).groupBy("site_id").agg(rn.run_area(size).alias("_every"))
+    lost = every.join(free, "site_id", "left").select(
+        "site_id", (F.col("_every") - F.coalesce("_free", F.lit(0.0))).alias("blocked_sqm")
+    )
     s = g.materialize(sites.select("site_id", "ring"), site_sqm=g.area(F.col("ring")))
     return s.join(lost, "site_id", "left").select(
         "site_id", "site_sqm", F.coalesce("blocked_sqm", F.lit(0.0)).alias("blocked_sqm"),
@@ -92,16 +78,29 @@ def buildable_area(sites: DataFrame, constraints: DataFrame, size: float = 5.0)
 
 
 def green_remainder(
-    sites: DataFrame, plots: DataFrame, strips: DataFrame, size: float = 10.0, clearance: float = 2.0, min_area: float = 50.0
+    sites: DataFrame, plots: DataFrame, strips: DataFrame, size: float = 10.0, clearance: float = 2.0, min_area: float = 50.0,
+    setback: float = 0.0,
 ) -> DataFrame:
-    """Parts of a site left over by plots and widened road strips."""
-    taken = plots.select("site_id", "x", "y", "w", "h").unionByName(
-        strips.select(
-            "site_id", (F.col("x") - clearance).alias("x"), (F.col("y") - clearance).alias("y"),
-            (F.col("w") + 2 * clearance).alias("w"), (F.col("h") + 2 * clearance).alias("h"),
-        )
-    )
-    return part_areas(label_parts(_uncovered(site_cells(sites, size), taken, 0.0, 0.0)), size, min_area)
+    """Parts of the land inside the setback left over by plots and road strips widened by ``clearance``.
+
+    ``plots(site_id, x, y, w, h)``; ``strips(site_id, ring)``, convex and of any direction.  Land nearer to the outline
+    than ``setback`` is not counted, for concave outlines too.
+    """
+    zero = F.lit(0.0).alias("reach")
+    boxes = plots.select("site_id", _box_sides(g.rect_of()).alias("sides"), zero)
+    grown = g.materialize(strips, _w=g.obb(F.col("ring")))
+    ux, uy, w, c = F.col("_w.ux"), F.col("_w.uy"), F.col("_w.width") / 2 + clearance, F.col("_w")
+    half = F.col("_w.length") / 2 + clearance
+    wide = g.ring_of(*[
+        (c.cx + a * half * ux - b * w * uy, c.cy + a * half * uy + b * w * ux) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))
+    ])
+    rows = rn.site_rows(sites, size)
+    taken = rn.shape_runs(boxes.unionByName(grown.select("site_id", g.edges(wide).alias("sides"), zero)), rows, size)
+    if setback:
+        edge = sites.select("site_id", F.explode(g.edges(F.col("ring"))).alias("_e"))
+        rim = edge.select("site_id", F.array("_e").alias("sides"), F.lit(float(setback)).alias("reach"))
+        taken = taken.unionByName(rn.shape_runs(rim, rows, size, closed=False))
+    return rn.part_areas(rn.label_runs(rn.free_runs(rn.site_runs(rows, size), taken)), size, min_area)
 
 
 def union_area(parts: DataFrame, keys: list[str], size: float) -> DataFrame:
@@ -122,7 +121,7 @@ def union_area(parts: DataFrame, keys: list[str], size: float) -> DataFrame:
 def nearest_seed_regions(cells: DataFrame, seeds: DataFrame, start_m: float) -> DataFrame:
     """Nearest seed of every cell, searched in rings that double until each cell has one.
 
-    Cells of a site without seeds have a null seed.
+    Seeds without a place are none; cells of a site without seeds have a null seed.
     """
     s = seeds.select(
         "site_id", "node", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h")

@@ -8,6 +8,7 @@ from parcelgrid.fixtures import Fixtures, sites_with_ring
 from parcelgrid.functions import geometry as g
 from parcelgrid.operators import arrangement as ar, raster as ra, tiles as ti
 from parcelgrid.operators.sweeps import road_spacing_sweep
+from parcelgrid.plans import oracle_forms as o
 from parcelgrid.plans.queries_generate import convex_sites
 from parcelgrid.plans.queries_network import asset_points
 from parcelgrid.plans.registry import query, r4
@@ -24,15 +25,30 @@ def _raster(size: int, where: str = "true") -> str:
 _DIST = "sqrt(pow(greatest(0,px-r.x2,r.x1-px),2)+pow(greatest(0,py-r.y2,r.y1-py),2))"
 
 
+#: Distance of a cell centre to a road of any direction.
+_DIST = """sqrt(pow(px-(r.x1+t*(r.x2-r.x1)),2)+pow(py-(r.y1+t*(r.y2-r.y1)),2))"""
+_FAR = """st AS (SELECT * FROM roads UNION ALL SELECT site_id, 3, 'internal', 3*w/4, 0.0, w-20, h/3, 8.0 FROM sites),
+  fa AS (SELECT * FROM rc WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, greatest(0,least(1,((px-x1)*(x2-x1)+(py-y1)*(y2-y1))/(pow(x2-x1,2)+pow(y2-y1,2)))) AS t FROM st WHERE st.site_id=rc.site_id) r WHERE """
+
+
+def slanted_roads(fx: Fixtures) -> DataFrame:
+    """The roads of a site and one across the corner of the far side."""
+    slant = fx.sites.select(
+        "site_id", F.lit(3).cast("long").alias("road_no"), F.lit("internal").alias("road_class"), (F.col("w") * 3 / 4).alias("x1"),
+        F.lit(0.0).alias("y1"), (F.col("w") - 20).alias("x2"), (F.col("h") / 3).alias("y2"), F.lit(8.0).alias("width_m"),
+    )
+    return fx.roads.unionByName(slant)
+
+
 @query(
     "j7_dead_zones",
-    _raster(20) + f""", fa AS (SELECT * FROM rc WHERE NOT EXISTS (SELECT 1 FROM roads r WHERE r.site_id=rc.site_id AND {_DIST}<=100)),
+    _raster(20) + "," + _FAR + f"""round({_DIST},6)<=100)),
     nb AS (SELECT a.site_id, a.i, a.j, b.i AS i2, b.j AS j2 FROM fa a JOIN fa b ON a.site_id=b.site_id AND abs(a.i-b.i)+abs(a.j-b.j)=1),
     lb AS (SELECT site_id, i, j, i*1048576+j AS c FROM fa UNION SELECT nb.site_id, i2, j2, c FROM lb JOIN nb ON nb.site_id=lb.site_id AND nb.i=lb.i AND nb.j=lb.j AND c<nb.i2*1048576+nb.j2)
     SELECT site_id, part, count(*)*400.0::DOUBLE AS area_sqm FROM (SELECT site_id, i, j, min(c) AS part FROM lb GROUP BY 1,2,3) GROUP BY 1,2""",
 )
 def dead_zones(fx: Fixtures) -> DataFrame:
-    return ra.dead_zones(sites_with_ring(fx), fx.roads, 100.0, size=20.0).select("site_id", "part", "area_sqm")
+    return ra.dead_zones(sites_with_ring(fx), slanted_roads(fx), 100.0, size=20.0).select("site_id", "part", "area_sqm")
 
 
 @query(
@@ -47,20 +63,16 @@ def buildable_area(fx: Fixtures) -> DataFrame:
 
 @query(
     "a13_green_remainder",
-    _raster(20) + """, tk AS (SELECT site_id, x, y, w, h FROM assets UNION ALL
+    _raster(20) + f""", tk AS (SELECT site_id, x, y, w, h FROM assets UNION ALL
       SELECT site_id, CASE WHEN road_no=1 THEN x1 ELSE x1-width_m/2 END-2, CASE WHEN road_no=1 THEN y1-width_m/2 ELSE y1 END-2, CASE WHEN road_no=1 THEN x2-x1 ELSE width_m END+4, CASE WHEN road_no=1 THEN width_m ELSE y2-y1 END+4 FROM roads),
-    fa AS (SELECT * FROM rc WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.site_id=rc.site_id AND px BETWEEN x AND x+w AND py BETWEEN y AND y+h))
+    inn AS (SELECT c.site_id, c.px, c.py FROM (SELECT site_id, px, py, px AS x, py AS y, 0.0 AS w, 0.0 AS h FROM rc) c JOIN sites s USING (site_id) WHERE {o.site_contains('c', 's', '25.0')}),
+    fa AS (SELECT * FROM inn WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.site_id=inn.site_id AND px BETWEEN x AND x+w AND py BETWEEN y AND y+h))
     SELECT site_id, count(*)*400.0::DOUBLE AS green_sqm FROM fa GROUP BY 1""",
 )
 def green_remainder(fx: Fixtures) -> DataFrame:
-    v = F.col("x1") == F.col("x2")
-    half = F.col("width_m") / 2
-    strips = fx.roads.select(
-        "site_id", (F.col("x1") - F.when(v, half).otherwise(0.0)).alias("x"), (F.col("y1") - F.when(v, 0.0).otherwise(half)).alias("y"),
-        F.when(v, F.col("width_m")).otherwise(F.col("x2") - F.col("x1")).alias("w"),
-        F.when(v, F.col("y2") - F.col("y1")).otherwise(F.col("width_m")).alias("h"),
-    )
-    parts = ra.green_remainder(sites_with_ring(fx), fx.assets, strips, size=20.0)
+    path = g.ring_of((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")))
+    strips = fx.roads.select("site_id", F.explode(g.road_strips(path, F.col("width_m"))).alias("ring"))
+    parts = ra.green_remainder(sites_with_ring(fx), fx.assets, strips, size=20.0, setback=25.0)
     return parts.groupBy("site_id").agg(F.sum("area_sqm").alias("green_sqm"))
 
 
