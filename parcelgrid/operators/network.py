@@ -195,8 +195,11 @@ def steiner_approx(terminals: DataFrame, extra: DataFrame, start_m: float) -> Da
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Distance and predecessor of every node reachable from its site's source, by frontier relaxation."""
-    e = edges.select(*EDGE)
+    """Distance and predecessor of every node reachable from its site's source, by frontier relaxation.
+
+    Edges without a length, or of a negative or infinite one, are no way.
+    """
+    e = edges.select(*EDGE).filter((F.col("weight") >= 0) & (F.col("weight") < float("inf")))
     both = cut_lineage(
         e.unionByName(e.select("site_id", F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
     )

@@ -125,7 +125,7 @@ def nearest_seed_regions(cells: DataFrame, seeds: DataFrame, start_m: float) ->
     """
     s = seeds.select(
         "site_id", "node", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h")
-    )
+    ).filter(F.abs("x") + F.abs("y") < float("inf"))
     every = cut_lineage(centres(cells))
     todo = every.join(s.select("site_id"), "site_id", "left_semi")
     none = F.lit(None)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parcelgrid.operators import raster as ra, runs as rn
+from parcelgrid.operators import network as nw, raster as ra, runs as rn
 
 RING = "array<struct<x:double,y:double>>"
 SIZE = 2.0
@@ -120,6 +120,14 @@ def test_nodes_are_runs_and_seeds_without_a_place_end(spark):
     assert [r.seed for r in ra.nearest_seed_regions(cells_, seeds, 50.0).select("seed").distinct().collect()] == [None]
 
 
+def test_edges_without_a_length_are_no_way(spark):
+    edges = spark.createDataFrame(
+        [(1, 1, 2, 3.0), (1, 2, 3, None), (1, 3, 4, 1.0), (1, 2, 4, float("nan")), (1, 1, 4, -5.0), (1, 2, 5, 0.0)],
+        "site_id long, u long, v long, weight double")
+    source = spark.createDataFrame([(1, 1)], "site_id long, node long")
+    assert {r.node: r.dist for r in nw.shortest_paths(edges, source).collect()} == {1: 0.0, 2: 3.0, 5: 3.0}
+
+
 @pytest.mark.parametrize("closed", [True, False])
 def test_reach_of_a_point_is_a_disc(spark, closed):
     p = F.struct(F.lit(10.0).alias("x"), F.lit(11.0).alias("y"))
