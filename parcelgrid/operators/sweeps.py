@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelgrid.functions import geometry as g
 from parcelgrid.operators.generate import grid_candidates, grid_network
+from parcelgrid.operators.prefix import ranked
 from parcelgrid.operators.raster import centres, dead_area, site_cells
+from parcelgrid.session import cut_lineage
 
 
 def sweep_grid(
@@ -54,28 +56,72 @@ def _dominates(p: Column, q: Column, k: int) -> Column:
     return le & lt
 
 
+#: Vectors of a block of the Pareto front; a block is compared with itself by all pairs.
+BLOCK_VECTORS = 512
+
+
+def _blocks(vectors: DataFrame, key: str, fs: Sequence[str]) -> DataFrame:
+    """Vectors with ``_s, _b``: even stripes by the first objective, even blocks of a stripe by the second."""
+    r = ranked(vectors, [key], fs)
+    stripes = F.ceil(F.sqrt(F.col("n") / BLOCK_VECTORS))
+    r = r.withColumn("_s", F.floor((F.col("rn") - 1) * stripes / F.col("n"))).drop("rn", "n")
+    stripe = Window.partitionBy(key, "_s")
+    n, at = F.count("*").over(stripe), F.row_number().over(stripe.orderBy(*fs[1:], fs[0])) - 1
+    r = r.withColumns({"_n": n, "_at": at})
+    return r.withColumn("_b", F.floor(F.col("_at") * F.ceil(F.col("_n") / BLOCK_VECTORS) / F.col("_n"))).drop("_n", "_at")
+
+
 def pareto_front(objectives: DataFrame, k: int, key: str = "site_id") -> DataFrame:
-    """Candidates no other candidate of the same key dominates.
+    """Candidates no other candidate of the same key dominates (smaller is better); a null objective is the best one.
 
-    Equal objective vectors are tested once.  A few strong vectors per key - the best by each objective and by
-    their sums, found by one aggregate - remove almost everything before the pairwise anti-join, which sees
-    survivors only.
+    Equal objective vectors are tested once.  A few strong vectors per key - the best by each objective and by their
+    sums, found by one aggregate - remove almost everything.  The rest is cut into even blocks by its first two
+    objectives: each block keeps its own front, and a vector then goes to those other blocks only whose worst corner it
+    could dominate.  Blocks are compared by their corners, vectors never by their site.
     """
     fs = [f"f{i}" for i in range(1, k + 1)]
-    vectors = objectives.select(key, *fs).distinct()
+    objectives = cut_lineage(objectives)  # read three times
+    low = objectives.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(float("-inf"))) for f in fs})
+    vectors = low.select(key, *fs).distinct()
     v = F.struct(*fs)
     orders = [F.struct(F.col(f), *[F.col(x) for x in fs]) for f in fs]
     orders += [F.struct(F.col(a) + F.col(b), *[F.col(x) for x in fs]) for i, a in enumerate(fs) for b in fs[i + 1:]]
     strong = vectors.groupBy(key).agg(F.array_distinct(F.array(*[F.min_by(v, o) for o in orders])).alias("_strong"))
-    row = F.struct(*fs)
-    left = vectors.join(strong, key).filter(
-        ~F.exists("_strong", lambda s: _dominates(s, row, k))
+    left = vectors.join(strong, vectors[key].eqNullSafe(strong[key])).drop(strong[key]).filter(
+        ~F.exists("_strong", lambda s: _dominates(s, v, k))
     ).drop("_strong")
-    right = left.select(F.col(key).alias("_key"), F.struct(*fs).alias("_q"))
-    front = left.withColumn("_p", row).join(
-        right, (F.col(key) == F.col("_key")) & _dominates(F.col("_q"), F.col("_p"), k), "left_anti"
-    ).drop("_p")
-    return objectives.join(front, [key, *fs], "left_semi")
+    block = [key, "_s", "_b"]
+    cut = cut_lineage(_blocks(left, key, fs))
+
+    def beaten(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows that none of ``others(_k0, _k1, _k2, _q)`` in the same block dominates."""
+        same = F.col(key).eqNullSafe(F.col("_k0")) & (F.col("_s") == F.col("_k1")) & (F.col("_b") == F.col("_k2"))
+        return rows.withColumn("_p", v).join(others, same & _dominates(F.col("_q"), F.col("_p"), k), "left_anti").drop("_p")
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(block)], v.alias("_q"))
+
+    own = cut_lineage(beaten(cut, renamed(cut)))
+    corners = own.groupBy(*block).agg(*[F.min(f).alias(f"lo_{f}") for f in fs], *[F.max(f).alias(f"hi_{f}") for f in fs])
+    worst = corners.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(block)], *[f"hi_{f}" for f in fs])
+    reach = F.col(key).eqNullSafe(F.col("_k0")) & ((F.col("_s") != F.col("_k1")) | (F.col("_b") != F.col("_k2")))
+    for f in fs:
+        reach &= F.col(f"lo_{f}") <= F.col(f"hi_{f}")
+    targets = corners.select(*block, *[f"lo_{f}" for f in fs]).join(worst, reach).select(
+        *block, "_k0", "_k1", "_k2", *[f"hi_{f}" for f in fs]
+    ).withColumnRenamed(key, "_from")
+    sent = own.join(
+        targets, own[key].eqNullSafe(targets["_from"]) & (own["_s"] == targets["_s"]) & (own["_b"] == targets["_b"])
+    )
+    for f in fs:
+        sent = sent.filter(F.col(f) <= F.col(f"hi_{f}"))
+    front = beaten(own, sent.select("_k0", "_k1", "_k2", v.alias("_q"))).select(
+        F.col(key).alias("_key"), *[F.col(f).alias(f"_{f}") for f in fs]
+    )
+    on = F.col(key).eqNullSafe(F.col("_key"))
+    for f in fs:
+        on &= F.coalesce(F.col(f).cast("double"), F.lit(float("-inf"))) == F.col(f"_{f}")
+    return objectives.join(front, on, "left_semi")
 
 
 def road_spacing_sweep(

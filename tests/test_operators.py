@@ -96,6 +96,28 @@ def test_pareto_members_do_not_dominate_each_other(spark):
     assert {r.layout_id for r in front.collect()} == {r[1] for r in rows if not dominated(r)}
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_pareto_front_over_blocks(spark, monkeypatch, block):
+    """A flat front, a random cloud, ties and nulls, against all pairs."""
+    monkeypatch.setattr(sw, "BLOCK_VECTORS", block)
+    rng = random.Random(block)
+    rows = [(1, i, float(i), float(60 - i), 1.0) for i in range(60)] + [(1, 100 + i, i + 0.5, 60.5 - i, 1.0) for i in range(60)]
+    rows += [(2, i, *[rng.random() for _ in range(3)]) for i in range(120)] + [(None, i, 1.0, float(i % 3), 2.0) for i in range(9)]
+    rows += [(3, i, None if i % 4 else 5.0, float(i), float(-i)) for i in range(20)]
+    front = sw.pareto_front(spark.createDataFrame(rows, "site_id long, layout_id long, f1 double, f2 double, f3 double"), 3)
+    low = [(*r[:2], *[-math.inf if x is None else x for x in r[2:]]) for r in rows]
+
+    def dominated(r):
+        return any(q[0] == r[0] and all(a <= b for a, b in zip(q[2:], r[2:])) and q[2:] != r[2:] for q in low)
+
+    assert {(r.site_id, r.layout_id) for r in front.collect()} == {r[:2] for r in low if not dominated(r)}
+
+
+def test_a_front_of_many_incomparable_candidates(spark):
+    rows = spark.range(100_000).selectExpr("1 AS site_id", "id AS layout_id", "id AS f1", "100000 - id AS f2", "0 AS f3")
+    assert sw.pareto_front(rows, 3).count() == 100_000
+
+
 def test_pair_joins_are_bucketed_and_independent_of_partitioning(spark):
     rng = random.Random(1)
     rows = [(i % 3, i, *[float(rng.randint(0, 300)) for _ in range(2)], float(rng.randint(20, 250)), float(rng.randint(20, 90))) for i in range(60)]
