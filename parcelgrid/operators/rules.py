@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parcelgrid.functions import geometry as g
 from parcelgrid.operators.bucket import near_pairs
 from parcelgrid.operators.pairs import rect_in_site, road_access
 
@@ -28,6 +29,74 @@ def pair_rules(plots: DataFrame, fire_m: float, overlap_tol: float = 0.01, cell_
     )
 
 
+#: Parameter that limits each rule.
+LIMITS = {
+    "setback": "setback_m", "far": "far_max", "green": "green_min", "area": "plot_min_sqm", "width": "plot_min_width_m",
+    "access": "road_max_m", "fire": "fire_m", "overlap": "overlap_sqm",
+}
+
+
+def findings(layout_sites: DataFrame, plots: DataFrame, roads: DataFrame, reg: dict[str, float]) -> DataFrame:
+    """Everything that breaks a rule, one row for each: ``layout_id, rule, plot_no, other_no, measured, limit_value``.
+
+    ``setback``: clearance of an industrial plot to the outline, 0 where it crosses it or lies outside; ``area``, ``width``,
+    ``access`` (distance to the nearest road, null beyond the limit): industrial plots; ``fire`` and ``overlap``: pairs
+    with their distance or common area; ``far`` and ``green``: ratios of a layout, without a plot.  Sites without roads
+    have no access findings.  No rule stops at its first offender; rows are filtered where plots and pairs are met, so
+    what is left over is the findings alone.
+    """
+    reg = {"overlap_sqm": 0.01, **reg}
+    none = F.lit(None)
+
+    def row(df: DataFrame, rule: str, a: str | None, b: str | None, measured: Column) -> DataFrame:
+        number = lambda c: (none if c is None else F.col(c)).cast("long")
+        return df.select(
+            "layout_id", F.lit(rule).alias("rule"), number(a).alias("plot_no"), number(b).alias("other_no"),
+            measured.cast("double").alias("measured"), F.lit(float(reg[LIMITS[rule]])).alias("limit_value"),
+        )
+
+    site = layout_sites.select("layout_id", "site_id", "ring", "convex", "planes")
+    industrial = plots.filter("type = 'industrial'").select("layout_id", "plot_no", "x", "y", "w", "h")
+    j = industrial.join(site, "layout_id")
+    near = g.materialize(
+        j.filter(~rect_in_site("ring", reg["setback_m"], prepared=True)),
+        _in=rect_in_site("ring", 0.0, prepared=True), _r=g.rect_ring(*(F.col(k) for k in "xywh")),
+    )
+    gap = F.when(F.col("_in"), g.boundary_distance(F.col("ring"), F.col("_r"))).otherwise(0.0)
+    area = F.col("w") * F.col("h")
+    small = industrial.filter(area < reg["plot_min_sqm"])
+    narrow = industrial.filter(F.col("w") < reg["plot_min_width_m"])
+    served = j.select("layout_id", "site_id", "plot_no", *"xywh").join(roads.select("site_id").distinct(), "site_id", "left_semi")
+    cut_off = road_access(served, roads, reg["road_max_m"]).filter("not has_road_access")
+
+    lean = plots.select("layout_id", "plot_no", "type", *"xywh")
+    pairs = near_pairs(lean, lean, ["layout_id"], reg["fire_m"], 100.0, F.col("plot_no") < F.col("plot_no_b"))
+    both = (F.col("type") == "industrial") & (F.col("type_b") == "industrial") & (F.col("gap_m") < reg["fire_m"])
+    overlapping = F.col("overlap_sqm") > reg["overlap_sqm"]
+    pair = pairs.select("layout_id", "plot_no", "plot_no_b", F.explode(F.array_compact(F.array(
+        F.when(both, F.struct(F.lit("fire").alias("rule"), F.col("gap_m").alias("measured"), F.lit(float(reg["fire_m"])).alias("limit_value"))),
+        F.when(overlapping, F.struct(F.lit("overlap").alias("rule"), F.col("overlap_sqm").alias("measured"), F.lit(float(reg["overlap_sqm"])).alias("limit_value"))),
+    ))).alias("_f")).select("layout_id", "_f.rule", "plot_no", F.col("plot_no_b").alias("other_no"), "_f.measured", "_f.limit_value")
+
+    kind, zero = F.col("type"), F.lit(0.0)
+    used = plots.groupBy("layout_id").agg(
+        F.sum(F.when(kind == "industrial", area).otherwise(zero)).alias("_sell"),
+        F.sum(F.when(kind == "green_space", area).otherwise(zero)).alias("_green"),
+    )
+    whole = layout_sites.select("layout_id", "site_sqm").join(used, "layout_id", "left")
+    share = lambda c: F.when(F.col("site_sqm") > 0, F.coalesce(c, zero) / F.col("site_sqm")).otherwise(zero)
+    whole = whole.select("layout_id", share("_sell").alias("_far"), share("_green").alias("_share"))
+    out = row(near, "setback", "plot_no", None, gap)
+    for more in (
+        row(small, "area", "plot_no", None, area), row(narrow, "width", "plot_no", None, F.col("w")),
+        row(cut_off, "access", "plot_no", None, F.col("road_m")), pair,
+        row(whole.filter(F.col("_far") > reg["far_max"]), "far", None, None, F.col("_far")),
+        row(whole.filter(F.col("_share") < reg["green_min"]), "green", None, None, F.col("_share")),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
 def compliance_flags(
     layout_sites: DataFrame, plots: DataFrame, roads: DataFrame, reg: dict[str, float]
 ) -> DataFrame:
@@ -72,8 +141,9 @@ def compliance_flags(
 
 def compliance_report(flags: DataFrame, reg: dict[str, float]) -> DataFrame:
     """Seven rules in their order.  Setback, fire and overlap report the first offender only; plot size and
-    access count one violation per plot and failure.  Messages keep the first offender, so a row stays small
-    however many plots a layout has."""
+    access count one violation per plot and failure.  ``violations`` holds the first offender of each rule, as
+    columns, so a row stays small however many plots a layout has; :func:`findings` lists all of them."""
+    reg = {"overlap_sqm": 0.01, **reg}
     sell, green = F.col("sellable_ratio"), F.col("green_ratio")
     set_bad = F.col("first_setback").isNotNull()
     far_bad, far_low = sell > reg["far_max"], sell < reg["far_min"]
@@ -93,19 +163,24 @@ def compliance_report(flags: DataFrame, reg: dict[str, float]) -> DataFrame:
     def line(cond: Column, text: Column) -> Column:
         return F.when(cond, text)
 
-    violations = F.array_compact(
-        F.array(
-            line(set_bad, F.format_string(f"Plot %d violates {reg['setback_m']:g}m boundary setback", "first_setback")),
-            line(far_bad, F.format_string(f"FAR %.2f exceeds maximum {reg['far_max']:g}", sell)),
-            line(green_bad, F.format_string("Green space %.1f%% is below minimum", green * 100)),
-            line(dim_bad, F.format_string("Plot %d below minimum size", "first_dimension")),
-            line(access_bad, F.format_string("Plot %d lacks road access", "first_no_access")),
-            line(fire_bad, F.format_string(f"Plots %d and %d violate {reg['fire_m']:g}m fire distance",
-                                           F.col("fire.a"), F.col("fire.b"))),
-            line(over_bad, F.format_string("Plots %d and %d overlap by %.2fm2",
-                                           F.col("overlap.a"), F.col("overlap.b"), F.col("overlap.overlap_sqm"))),
-        )
-    )
+    none = F.lit(None)
+
+    def first(rule: str, cond: Column, a: Column | str | None, b: Column | None, measured: Column | None) -> Column:
+        value = lambda c, kind: (none if c is None else F.col(c) if isinstance(c, str) else c).cast(kind)
+        return F.when(cond, F.struct(
+            F.lit(rule).alias("rule"), value(a, "long").alias("plot_no"), value(b, "long").alias("other_no"),
+            value(measured, "double").alias("measured"), F.lit(float(reg[LIMITS[rule]])).alias("limit_value"),
+        ))
+
+    violations = F.array_compact(F.array(
+        first("setback", set_bad, "first_setback", None, None),
+        first("far", far_bad, None, None, sell),
+        first("green", green_bad, None, None, green),
+        first("area", dim_bad, "first_dimension", None, None),
+        first("access", access_bad, "first_no_access", None, None),
+        first("fire", fire_bad, F.col("fire.a"), F.col("fire.b"), F.col("fire.gap_m")),
+        first("overlap", over_bad, F.col("overlap.a"), F.col("overlap.b"), F.col("overlap.overlap_sqm")),
+    ))
     warnings = F.array_compact(
         F.array(
             line(~far_bad & far_low, F.lit("far_low")),

@@ -218,20 +218,20 @@ def intersection_area(fx: Fixtures) -> DataFrame:
 
 @query(
     "g14_distance",
-    f"""SELECT p.layout_id, p.plot_no, round({o.gap('p', 'q')},4) AS next_plot_m, round({o.road_gap('p', 'r')},4) AS road_m
+    f"""SELECT p.layout_id, p.plot_no, r.road_no, round({o.gap('p', 'q')},4) AS next_plot_m, round({o.road_gap('p', 'r')},4) AS road_m
         FROM plots p JOIN plots q ON q.layout_id=p.layout_id AND q.plot_no=p.plot_no+1
-        JOIN layouts l ON l.layout_id=p.layout_id JOIN roads r ON r.site_id=l.site_id AND r.road_no=1""",
+        JOIN layouts l ON l.layout_id=p.layout_id JOIN roads r ON r.site_id=l.site_id""",
 )
 def distance(fx: Fixtures) -> DataFrame:
     p = plots_with_ring(fx).select("layout_id", "plot_no", "ring")
     nxt = p.select("layout_id", (F.col("plot_no") - 1).alias("plot_no"), F.col("ring").alias("next_ring"))
-    road = fx.roads.filter("road_no = 1").select(
-        "site_id", g.ring_of((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))).alias("path")
+    road = fx.roads.select(
+        "site_id", "road_no", g.ring_of((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))).alias("path")
     )
     return (
         p.join(nxt, ["layout_id", "plot_no"]).join(fx.layouts, "layout_id").join(road, "site_id")
         .select(
-            "layout_id", "plot_no", r4(g.ring_distance(F.col("ring"), F.col("next_ring")), "next_plot_m"),
+            "layout_id", "plot_no", "road_no", r4(g.ring_distance(F.col("ring"), F.col("next_ring")), "next_plot_m"),
             r4(g.ring_path_distance(F.col("ring"), F.col("path")), "road_m"),
         )
     )

@@ -89,11 +89,11 @@ def clean_plots(fx: Fixtures) -> DataFrame:
     "j5_road_access",
     f"""SELECT p.layout_id, p.plot_no, round(CASE WHEN min({o.road_gap('p', 'r')})<=60 THEN min({o.road_gap('p', 'r')}) END,4) AS road_m,
         coalesce(min({o.road_gap('p', 'r')})<=60,false) AS has_road_access
-        FROM plots p JOIN layouts l ON l.layout_id=p.layout_id LEFT JOIN roads r ON r.site_id=l.site_id AND r.road_no=1
+        FROM plots p JOIN layouts l ON l.layout_id=p.layout_id LEFT JOIN roads r ON r.site_id=l.site_id
         GROUP BY 1,2""",
 )
 def road_access(fx: Fixtures) -> DataFrame:
-    a = pr.road_access(fx.plots.join(fx.layouts, "layout_id"), fx.roads.filter("road_no = 1"), 60.0)
+    a = pr.road_access(fx.plots.join(fx.layouts, "layout_id"), fx.roads, 60.0)
     return a.select("layout_id", "plot_no", r4(F.col("road_m"), "road_m"), "has_road_access")
 
 
@@ -263,6 +263,47 @@ def compliance_report(fx: Fixtures) -> DataFrame:
     )
 
 
+def _to_segment(x1: str, y1: str, x2: str, y2: str) -> str:
+    """Rectangle to an axis-parallel segment."""
+    return (f"sqrt(pow(greatest(0,p.x-greatest({x1},{x2}),least({x1},{x2})-p.x-p.w),2)"
+            f"+pow(greatest(0,p.y-greatest({y1},{y2}),least({y1},{y2})-p.y-p.h),2))")
+
+
+_ELL = ",".join(_to_segment(*c) for c in [
+    ("0", "0", "s.w", "0"), ("s.w", "0", "s.w", "s.h/2"), ("s.w/2", "s.h/2", "s.w", "s.h/2"), ("s.w/2", "s.h/2", "s.w/2", "s.h"),
+    ("0", "s.h", "s.w/2", "s.h"), ("0", "0", "0", "s.h")])
+_CUT = ",".join(_to_segment(*c) for c in [
+    ("0", "0", "s.w", "0"), ("s.w", "0", "s.w", "s.h-s.cut"), ("0", "s.h", "s.w-s.cut", "s.h"), ("0", "0", "0", "s.h")])
+_FROM_CORNER = "(s.w+s.h-s.cut-p.x-p.w-p.y-p.h)"
+
+
+@query(
+    "a2_findings",
+    _METRICS + f""",
+    ip AS (SELECT p.layout_id, p.plot_no, p.w, p.h, {o.site_contains('p', 's', '10.0')} AS ok, {o.site_contains('p', 's', '0.0')} AS inside,
+       CASE WHEN concave THEN least({_ELL}) ELSE least({_CUT}, CASE WHEN p.x+p.w+{_FROM_CORNER}/2 BETWEEN s.w-s.cut AND s.w THEN {_FROM_CORNER}/sqrt(2.0) ELSE 1e9 END) END AS gap,
+       (SELECT min({o.road_gap('p', 'r')}) FROM roads r WHERE r.site_id=s.site_id) AS road
+       FROM plots p JOIN layouts l USING (layout_id) JOIN sites s ON s.site_id=l.site_id WHERE type='industrial'),
+    pr AS (SELECT p.layout_id, p.plot_no AS a, q.plot_no AS b, p.type='industrial' AND q.type='industrial' AS both_, {o.gap('p', 'q')} AS gap, {o.overlap('p', 'q')} AS over_
+       FROM plots p JOIN plots q ON p.layout_id=q.layout_id AND p.plot_no<q.plot_no),
+    fi AS (SELECT layout_id, 'setback' AS rule, plot_no, NULL::BIGINT AS other_no, CASE WHEN inside THEN gap ELSE 0 END AS measured, 10.0 AS lim FROM ip WHERE NOT ok
+      UNION ALL SELECT layout_id, 'area', plot_no, NULL, w*h, 2500 FROM ip WHERE w*h<2500 UNION ALL SELECT layout_id, 'width', plot_no, NULL, w, 50 FROM ip WHERE w<50
+      UNION ALL SELECT layout_id, 'access', plot_no, NULL, NULL, 60 FROM ip WHERE road>60
+      UNION ALL SELECT layout_id, 'fire', a, b, gap, 5 FROM pr WHERE both_ AND gap<5 UNION ALL SELECT layout_id, 'overlap', a, b, over_, 0.01 FROM pr WHERE over_>0.01
+      UNION ALL SELECT layout_id, 'far', NULL, NULL, sellable_sqm/site_sqm, 0.7 FROM met WHERE sellable_sqm/site_sqm>0.7
+      UNION ALL SELECT layout_id, 'green', NULL, NULL, green_sqm/site_sqm, 0.15 FROM met WHERE green_sqm/site_sqm<0.15)
+    SELECT layout_id, rule, coalesce(plot_no,0) AS plot_no, coalesce(other_no,0) AS other_no, round(coalesce(measured,-1)::DOUBLE,4) AS measured, lim::DOUBLE AS limit_value FROM fi""",
+)
+def compliance_findings(fx: Fixtures) -> DataFrame:
+    """Every finding of every layout; 0 stands for no plot, -1 for no road in reach."""
+    f = ru.findings(layout_sites(fx), fx.plots, fx.roads, SMALL_SITES)
+    none = F.lit(0).cast("long")
+    return f.select(
+        "layout_id", "rule", F.coalesce("plot_no", none).alias("plot_no"), F.coalesce("other_no", none).alias("other_no"),
+        r4(F.coalesce("measured", F.lit(-1.0)), "measured"), "limit_value",
+    )
+
+
 @query(
     "layout_compliance_overview",
     _COMPLIANCE + """SELECT layout_id, sellable_sqm, round(gr,4) AS green_ratio, n_viol=0 AS is_compliant, n_viol AS n_violations FROM rep2""",
