@@ -7,6 +7,8 @@ each round and read one counter on the driver; no data comes back.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelgrid.functions import geometry as g
@@ -119,45 +121,91 @@ def mst(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return tree if tree is not None else edges.select(*EDGE).limit(0)
 
 
-def euclidean_mst(points: DataFrame, start_m: float) -> DataFrame:
-    """Spanning tree over all points without listing all pairs.
+#: Directions around a point; the edges of a spanning tree need six or more.
+SECTORS = 8
+
+
+def _sector_reach(k: int) -> Column:
+    """How far the box of the site extends from ``(px, py)`` within one sector."""
+    def exit_at(angle: float) -> Column:
+        c, s = math.cos(angle), math.sin(angle)
+        sides = []
+        if abs(c) > 1e-12:
+            sides.append(((F.col("maxx") if c > 0 else F.col("minx")) - F.col("px")) / c)
+        if abs(s) > 1e-12:
+            sides.append(((F.col("maxy") if s > 0 else F.col("miny")) - F.col("py")) / s)
+        return F.least(*sides) if len(sides) > 1 else sides[0]
+
+    step = 2 * math.pi / SECTORS
+    ends = [exit_at(k * step - math.pi), exit_at((k + 1) * step - math.pi)]
+    for x in ("minx", "maxx"):
+        for y in ("miny", "maxy"):
+            dx, dy = F.col(x) - F.col("px"), F.col(y) - F.col("py")
+            ends.append(F.when(_sector(dx, dy) == k, F.hypot(dx, dy)).otherwise(0.0))
+    return F.greatest(*ends)
+
+
+def _sector(dx: Column, dy: Column) -> Column:
+    turn = (F.atan2(dy, dx) + math.pi) / (2 * math.pi / SECTORS)
+    return F.pmod(F.floor(turn), F.lit(SECTORS)).cast("int")
+
+
+def cone_edges(points: DataFrame) -> DataFrame:
+    """Edges from each point to the nearest one in each of ``SECTORS`` directions: at most that many per point, and all
+    edges of the spanning tree are among them.
+
+    ``points(site_id, node, px, py)``, no two of a site at one place.  Neighbours are looked for within a radius that
+    starts at the mean spacing of the site and doubles; a point drops out when each sector holds one or ends, within
+    the box of the site, before the radius does.  After the first rounds only points at the rim are left.
+    """
+    box = points.groupBy("site_id").agg(
+        *[f(c).alias(f"{n}{c[1]}") for c in ("px", "py") for f, n in ((F.min, "min"), (F.max, "max"))], F.count("*").alias("_n")
+    )
+    spacing = F.sqrt(F.greatest(
+        (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")),
+        F.pow(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")), 2) / F.col("_n"), F.lit(1e-12),
+    ) / F.col("_n"))
+    # in units of the spacing, so that one radius suits sites of every density
+    p = cut_lineage(points.join(box.withColumn("_u", spacing), "site_id").select(
+        "site_id", "node", "px", "py", "minx", "maxx", "miny", "maxy", "_u", (F.col("px") / F.col("_u")).alias("x"),
+        (F.col("py") / F.col("_u")).alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"),
+    ))
+    others = p.select("site_id", "node", "px", "py", "x", "y", "w", "h")
+    todo, edges, radius = p, None, 1.5
+    while True:
+        near = near_pairs(todo.select(*others.columns), others, ["site_id"], radius, radius, F.col("node") != F.col("node_b"))
+        dx, dy = F.col("px_b") - F.col("px"), F.col("py_b") - F.col("py")
+        edge = F.struct(F.hypot(dx, dy).alias("weight"), F.least("node", "node_b").alias("u"), F.greatest("node", "node_b").alias("v"))
+        best = cut_lineage(near.groupBy("site_id", "node", _sector(dx, dy).alias("sector")).agg(F.min(edge).alias("_e")))
+        found = best.select("site_id", "_e.u", "_e.v", "_e.weight")
+        edges = found if edges is None else edges.unionByName(found)
+        held = best.groupBy("site_id", "node").agg(F.collect_set("sector").alias("_held"))
+        open_ = F.exists(
+            F.array(*[F.struct(F.lit(k).alias("k"), _sector_reach(k).alias("reach")) for k in range(SECTORS)]),
+            lambda s: (s["reach"] > radius * F.col("_u")) & ~F.array_contains(F.coalesce("_held", F.array().cast("array<int>")), s["k"]),
+        )
+        todo = cut_lineage(todo.join(held, ["site_id", "node"], "left").filter(open_).drop("_held"))
+        if todo.isEmpty():
+            return edges.distinct()
+        radius *= 2
+
+
+def euclidean_mst(points: DataFrame, start_m: float | None = None) -> DataFrame:
+    """Spanning tree over all points without listing all pairs: the spanning tree of their cone edges.
 
-    Each round looks for edges within a radius, between different components only, and every component takes its
-    cheapest one: edges beyond the radius are longer, so that is the cheapest of all.  The radius doubles from
-    round to round; sites that are connected drop out.  Copies of one location hang on their smallest id at
-    length 0.  The search ends when every site is connected; the diameter of the largest site is the furthest that it
-    can have to look, and a point without a place is an error.
+    Copies of one location hang on their smallest id at length 0.  A point without a place is an error.  Edges of equal
+    length are taken in the order of their ends, so the tree is unique.  ``start_m`` is not used any more.
     """
     pts = cut_lineage(points.select("site_id", "node", "px", "py"))
     placed = F.col("px").isNotNull() & F.col("py").isNotNull() & ~F.isnan("px") & ~F.isnan("py")
     if not pts.filter(~placed).isEmpty():
         raise ValueError("a point has no place")
     spot = pts.groupBy("site_id", "px", "py").agg(F.min("node").alias("rep"))
-    tree = pts.join(spot, ["site_id", "px", "py"]).filter("node <> rep").select(
+    copies = pts.join(spot, ["site_id", "px", "py"]).filter("node <> rep").select(
         "site_id", F.col("rep").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("weight")
     )
-    work = cut_lineage(spot.select("site_id", F.col("rep").alias("node"), "px", "py", F.col("rep").alias("comp")))
-    radius = float(start_m)
-    while True:
-        p = work.select(
-            "site_id", "node", "comp", F.col("px").alias("x"), F.col("py").alias("y"), F.lit(0.0).alias("w"),
-            F.lit(0.0).alias("h"),
-        )
-        differ = (F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b"))
-        live = near_pairs(p, p, ["site_id"], radius, radius, differ).select(
-            "site_id", F.col("gap_m").alias("weight"), F.col("node").alias("u"), F.col("node_b").alias("v"),
-            F.col("comp").alias("cu"), F.col("comp_b").alias("cv"),
-        )
-        picked = cut_lineage(_cheapest(live))
-        found = not picked.isEmpty()
-        if found:
-            tree = tree.unionByName(picked.select(*EDGE).distinct())
-            work = cut_lineage(_relabel(work, _hook(picked)))
-        open_sites = work.groupBy("site_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        work = cut_lineage(work.join(open_sites.select("site_id"), "site_id", "left_semi"))
-        if work.isEmpty():
-            return tree.select(*EDGE)
-        radius *= 2
+    places = cut_lineage(spot.select("site_id", F.col("rep").alias("node"), "px", "py"))
+    return copies.unionByName(mst(places, cone_edges(places)))
 
 
 def loop_network(points: DataFrame, max_d: float = 500.0, redundancy: float = 0.15) -> DataFrame:

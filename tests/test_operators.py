@@ -85,6 +85,38 @@ def test_euclidean_mst_with_copies_and_far_clusters(spark):
     assert len(tree) == len(pts) - 1 and sum(r.weight for r in tree) == pytest.approx(total)
 
 
+def test_cone_edges_hold_the_tree_and_stay_linear(spark):
+    rng = random.Random(6)
+    sites = {
+        1: [(rng.random() * 900, rng.random() * 300) for _ in range(150)], 2: [(float(k), 5.0) for k in range(40)],
+        3: [(float(i), float(j)) for i in range(8) for j in range(8)], 4: [(7.0, 7.0)],
+        5: [(rng.random(), rng.random()) for _ in range(60)] + [(1e5 + rng.random(), rng.random()) for _ in range(60)],
+        6: [(math.cos(k / 9), math.sin(k / 9)) for k in range(56)],
+    }
+    rows = [(s, 100 * s + i, x, y) for s, pts in sites.items() for i, (x, y) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "site_id long, node long, px double, py double")
+    edges = nw.cone_edges(df).collect()
+    assert len(edges) <= nw.SECTORS * len(rows)
+    tree = {}
+    for r in nw.euclidean_mst(df).collect():
+        tree.setdefault(r.site_id, set()).add((r.u, r.v))
+    for s, pts in sites.items():
+        root = list(range(len(pts)))
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        want = set()
+        pairs = ((math.dist(a, b), i, j) for (i, a), (j, b) in itertools.combinations(enumerate(pts), 2))
+        for _, i, j in sorted(pairs, key=lambda e: (round(e[0], 9), *e[1:])):
+            if find(i) != find(j):
+                root[find(i)] = find(j)
+                want.add((100 * s + i, 100 * s + j))
+        assert tree.get(s, set()) == want, s
+
+
 def test_pareto_members_do_not_dominate_each_other(spark):
     rng = random.Random(9)
     rows = [(i % 2, i, *[float(rng.randint(0, 6)) for _ in range(3)]) for i in range(80)]
