@@ -191,7 +191,7 @@ words AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR length(text) > 40 * n_words
-            OR 2 * length(regexp_replace(text, '[^\p{L}]+', '', 'g')) < length(text)) AS kept
+            OR 2 * length(regexp_replace(text, '[^\p{L}\p{M}]+', '', 'g')) < length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))) AS kept
 FROM judged
 """
 
