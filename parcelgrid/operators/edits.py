@@ -82,40 +82,61 @@ def network_nodes(lots: DataFrame, service: DataFrame, xlnt: DataFrame) -> DataF
     return tag(lots, "lot").unionByName(tag(service, "service")).unionByName(tag(xlnt, "xlnt"))
 
 
+def _gaps(lo: Column, hi: Column, cuts: Column) -> Column:
+    """What sorted intervals leave of ``[lo, hi]``, as an array of ``a, b``."""
+    start = F.struct(lo.alias("at"), F.array().cast("array<struct<a:double,b:double>>").alias("gaps"))
+
+    def step(state: Column, c: Column) -> Column:
+        gap = F.array(F.struct(state["at"].alias("a"), F.least(c["lo"], hi).alias("b")))
+        return F.struct(
+            F.greatest(state["at"], c["hi"]).alias("at"),
+            F.when(c["lo"] > state["at"], F.concat(state["gaps"], gap)).otherwise(state["gaps"]).alias("gaps"),
+        )
+
+    last = lambda state: F.when(
+        state["at"] < hi, F.concat(state["gaps"], F.array(F.struct(state["at"].alias("a"), hi.alias("b"))))
+    ).otherwise(state["gaps"])
+    return F.aggregate(cuts, start, step, last)
+
+
 def widen_roads(
     lots: DataFrame, roads: DataFrame, min_piece: float = 50.0, min_change: float = 0.1, cell_m: float = 100.0
 ) -> DataFrame:
-    """Cut the added strip of straight, axis-parallel roads out of every lot it crosses.
+    """Cut the added strips of straight, axis-parallel roads out of every lot they cross.
 
-    ``roads(site_id, x1, y1, x2, y2, width_m, new_width_m)``: one widened road per site.  A cut lot gives up
-    to two pieces, pieces up to ``min_piece`` vanish; narrowing changes nothing.
+    ``roads(site_id, x1, y1, x2, y2, width_m, new_width_m)``: any number of widened roads per site.  All strips of a lot
+    are collected first and cut it together, so no land is kept twice; the pieces are the gaps between the strips, across
+    times along, numbered from 1 by ``(x, y)``.  Pieces up to ``min_piece`` vanish; narrowing changes nothing, and a lot
+    that no strip meets stays whole as piece 0.  Roads of another direction are an error.
     """
     grow = F.col("new_width_m") - F.col("width_m")
+    vertical, horizontal = F.col("x1") == F.col("x2"), F.col("y1") == F.col("y2")
     r = roads.filter(grow > min_change).select(
         "site_id",
-        (F.least("x1", "x2") - F.when(F.col("x1") == F.col("x2"), grow / 2).otherwise(0.0)).alias("x"),
-        (F.least("y1", "y2") - F.when(F.col("y1") == F.col("y2"), grow / 2).otherwise(0.0)).alias("y"),
-        F.when(F.col("x1") == F.col("x2"), grow).otherwise(F.abs(F.col("x2") - F.col("x1"))).alias("w"),
-        F.when(F.col("y1") == F.col("y2"), grow).otherwise(F.abs(F.col("y2") - F.col("y1"))).alias("h"),
-        (F.col("x1") == F.col("x2")).alias("vertical"),
+        (F.least("x1", "x2") - F.when(vertical, grow / 2).otherwise(0.0)).alias("x"),
+        (F.least("y1", "y2") - F.when(horizontal, grow / 2).otherwise(0.0)).alias("y"),
+        F.when(vertical, grow).otherwise(F.abs(F.col("x2") - F.col("x1"))).alias("w"),
+        F.when(horizontal, grow).when(vertical, F.abs(F.col("y2") - F.col("y1"))).otherwise(
+            F.raise_error(F.lit("a widened road is not axis-parallel")).cast("double")).alias("h"),
+        vertical.alias("vertical"),
     )
     ids = ["layout_id", "plot_no"]
     lean = lots.select("site_id", *ids, "x", "y", "w", "h")
-    met = F.coalesce(F.col("overlap_sqm") > 0, F.lit(False))
     overlapping = g.rect_overlap(g.rect_of(), {k: F.col(f"{k}_b") for k in "xywh"}) > 0
-    hit = near_pairs(lean, r, ["site_id"], 0.0, cell_m, overlapping).filter(met)
-    x2, y2, bx2, by2 = (F.col("x") + F.col("w"), F.col("y") + F.col("h"), F.col("x_b") + F.col("w_b"),
-                        F.col("y_b") + F.col("h_b"))
-
-    def piece(no: int, x: Column, y: Column, w: Column, h: Column) -> Column:
-        return F.struct(F.lit(no).alias("piece"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
-
-    x, y, w, h, xb, yb = (F.col(k) for k in ("x", "y", "w", "h", "x_b", "y_b"))
-    pieces = F.when(
-        F.col("vertical_b"),
-        F.array(piece(1, x, y, xb - x, h), piece(2, bx2, y, x2 - bx2, h)),
-    ).otherwise(F.array(piece(1, x, y, w, yb - y), piece(2, x, by2, w, y2 - by2)))
-    cut = hit.select("site_id", *ids, F.explode(pieces).alias("p")).select("site_id", *ids, "p.*")
-    cut = cut.filter((F.col("w") > 0) & (F.col("h") > 0) & (F.col("w") * F.col("h") > min_piece))
+    hit = near_pairs(lean, r, ["site_id"], 0.0, cell_m, overlapping)
+    across = F.struct(F.col("x_b").alias("lo"), (F.col("x_b") + F.col("w_b")).alias("hi"))
+    along = F.struct(F.col("y_b").alias("lo"), (F.col("y_b") + F.col("h_b")).alias("hi"))
+    strips = hit.groupBy("site_id", *ids, "x", "y", "w", "h").agg(
+        F.array_sort(F.collect_list(F.when(F.col("vertical_b"), across))).alias("_xs"),
+        F.array_sort(F.collect_list(F.when(~F.col("vertical_b"), along))).alias("_ys"),
+    )
+    x, y = F.col("x"), F.col("y")
+    gaps = g.materialize(strips, _gx=_gaps(x, x + F.col("w"), F.col("_xs")), _gy=_gaps(y, y + F.col("h"), F.col("_ys")))
+    pieces = F.flatten(F.transform("_gx", lambda a: F.transform("_gy", lambda b: F.struct(
+        a["a"].alias("x"), b["a"].alias("y"), (a["b"] - a["a"]).alias("w"), (b["b"] - b["a"]).alias("h")))))
+    kept = F.filter(pieces, lambda p: p["w"] * p["h"] > min_piece)
+    cut = gaps.select("site_id", *ids, F.posexplode(kept).alias("_no", "_p")).select(
+        "site_id", *ids, (F.col("_no") + 1).alias("piece"), "_p.x", "_p.y", "_p.w", "_p.h"
+    )
     whole = lean.join(hit.select(*ids), ids, "left_anti").withColumn("piece", F.lit(0))
     return whole.unionByName(cut)
