@@ -37,3 +37,17 @@ def adjacency_audit(grid: DataFrame, tiles: DataFrame) -> DataFrame:
     north = g.select("site_id", (F.col("row") + 1).alias("row"), "col", "tile_id", F.lit("n").alias("side"))
     pairs = east.unionByName(north).join(b, ["site_id", "row", "col"])
     return pairs.join(tile_compatibility(tiles), ["tile_id", "side", "other"], "left_anti")
+
+
+def kind_areas(grid: DataFrame, kinds: DataFrame, cell_m: float) -> DataFrame:
+    """Area of each kind of tile on a site: ``site_id, kind, n_cells, area_sqm``; kinds that a site lacks have zero.
+
+    ``grid(site_id, row, col, tile_id)``, ``kinds(tile_id, kind)``.  A tile without a kind counts as ``unknown``.
+    """
+    counted = grid.groupBy("site_id", "tile_id").agg(F.count("*").alias("_n"))
+    kind = F.coalesce("kind", F.lit("unknown")).alias("kind")
+    have = counted.join(kinds, "tile_id", "left").groupBy("site_id", kind).agg(F.sum("_n").alias("n_cells"))
+    names = F.array_sort(F.collect_set("kind")).alias("_kinds")
+    every = grid.select("site_id").distinct().crossJoin(kinds.select(names)).select("site_id", F.explode("_kinds").alias("kind"))
+    full = every.join(have, ["site_id", "kind"], "full").select("site_id", "kind", F.coalesce("n_cells", F.lit(0).cast("long")).alias("n_cells"))
+    return full.withColumn("area_sqm", F.col("n_cells") * float(cell_m * cell_m))

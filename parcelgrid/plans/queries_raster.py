@@ -182,3 +182,30 @@ def tile_compatibility(fx: Fixtures) -> DataFrame:
 )
 def tile_adjacency_audit(fx: Fixtures) -> DataFrame:
     return ti.adjacency_audit(tile_cells(fx), tiles(fx)).select("site_id", "row", "col", "side", "tile_id", "other")
+
+
+@query(
+    "j10_kind_areas",
+    _GRID + """, kd AS (SELECT t AS tile_id, CASE WHEN t IN (1,2) THEN 'road' WHEN t IN (3,4) THEN 'building' WHEN t=5 THEN 'green' WHEN t=6 THEN 'parking' ELSE 'empty' END AS kind FROM (SELECT unnest(range(8)) AS t)),
+    have AS (SELECT site_id, kind, count(*) AS n FROM gd JOIN kd USING (tile_id) GROUP BY 1,2)
+    SELECT s.site_id, k.kind, coalesce(n,0) AS n_cells, coalesce(n,0)*225.0::DOUBLE AS area_sqm FROM (SELECT DISTINCT site_id FROM gd) s CROSS JOIN (SELECT DISTINCT kind FROM kd) k LEFT JOIN have h ON h.site_id=s.site_id AND h.kind=k.kind""",
+)
+def tile_kind_areas(fx: Fixtures) -> DataFrame:
+    names = ["empty", "road", "road", "building", "building", "green", "parking", "empty"]
+    kinds = tiles(fx).select("tile_id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("tile_id") + 1).alias("kind"))
+    return ti.kind_areas(tile_cells(fx), kinds, 15.0)
+
+
+@query(
+    "j9_turned_tiles",
+    _TILES + "," + _GRID + """, rt AS (SELECT layout_id, plot_no, tile_id, (layout_id%4)::INT AS quarter FROM (SELECT layout_id, plot_no, ((layout_id*7+plot_no*3)%8)::INT AS tile_id FROM plots))
+    SELECT layout_id, plot_no, CASE quarter WHEN 0 THEN n WHEN 1 THEN w WHEN 2 THEN s ELSE e END AS edge_n, CASE quarter WHEN 0 THEN e WHEN 1 THEN n WHEN 2 THEN w ELSE s END AS edge_e,
+      CASE quarter WHEN 0 THEN s WHEN 1 THEN e WHEN 2 THEN n ELSE w END AS edge_s, CASE quarter WHEN 0 THEN w WHEN 1 THEN s WHEN 2 THEN e ELSE n END AS edge_w FROM rt JOIN tl USING (tile_id)""",
+)
+def turned_tiles(fx: Fixtures) -> DataFrame:
+    placed = fx.plots.select(
+        "layout_id", "plot_no", ((F.col("layout_id") * 7 + F.col("plot_no") * 3) % 8).cast("int").alias("tile_id"),
+        (F.col("layout_id") % 4).cast("int").alias("quarter"),
+    ).join(F.broadcast(tiles(fx)), "tile_id")
+    turned = ti.rotate_tile(placed, F.col("quarter"))
+    return turned.select("layout_id", "plot_no", *[f"edge_{s}" for s in ti.SIDES])

@@ -323,19 +323,19 @@ def compliance_overview(fx: Fixtures) -> DataFrame:
         count(CASE WHEN share<0.95 THEN 1 END) AS n_outside FROM ps GROUP BY 1)
     SELECT layout_id, coalesce(n,0) AS n_plots, coalesce(n_small,0) AS n_small, coalesce(n_outside,0) AS n_outside,
       round(coalesce(t,0)/site_sqm,4) AS far, round(0.8-coalesce(t,0)/site_sqm,4) AS green_estimate,
-      (CASE WHEN coalesce(t,0)/site_sqm>0.7 THEN 2 ELSE 1 END)::BIGINT AS n_critical,
+      (coalesce(t,0)/site_sqm>0.7)::BIGINT AS n_critical,
       (CASE WHEN coalesce(n_small+n_outside,0)>0 THEN 1 ELSE 0 END)::BIGINT AS n_moderate,
-      1-coalesce(t,0)/site_sqm-0.2<0.15 AS green_warning, false AS compliant FROM met LEFT JOIN pg USING (layout_id)""",
+      1-coalesce(t,0)/site_sqm-0.2<0.15 AS green_warning, coalesce(t,0)/site_sqm<=0.7 AND coalesce(n_small+n_outside,0)=0 AS compliant FROM met LEFT JOIN pg USING (layout_id)""",
 )
 def quick_compliance(fx: Fixtures) -> DataFrame:
-    """Setback 0 (so one critical finding everywhere): the site itself is the buildable area."""
+    """No setback is asked for: the site itself is the buildable area."""
     x, y, w, h = (F.col(k) for k in "xywh")
     j = plots_on_sites(fx)
     share = F.when(pr.rect_in_site("ring", 0.0, prepared=True), 1.0).otherwise(
         g.area_in_rect(F.col("ring"), x, y, w, h) / (w * h)
     )
     p = j.select("layout_id", "w", "h", share.alias("inside_share"))
-    q = ru.quick_compliance(layout_sites(fx), p, road_width=12.0, setback=0.0, min_plot=2000.0)
+    q = ru.quick_compliance(layout_sites(fx), p, road_width=12.0, setback=0.0, min_plot=2000.0, min_setback=0.0)
     return q.withColumn("far", F.round("far", 4)).withColumn("green_estimate", F.round("green_estimate", 4))
 
 
