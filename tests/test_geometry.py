@@ -98,3 +98,24 @@ def test_sampled_layouts_do_not_overlap_and_stay_inside(spark):
         for b in rows:
             if a.candidate_no == b.candidate_no and a.plot_no < b.plot_no:
                 assert not (a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h)
+
+
+def test_area_in_a_rectangle_equals_the_clipped_area(spark):
+    """Star-shaped rings either way round, with upright, level and slanted sides, against the clipped ring."""
+    rng, rows = random.Random(11), []
+    for k in range(300):
+        n = rng.randint(3, 9)
+        turns = sorted(rng.sample(range(24), n))
+        if max((b - a) % 24 for a, b in zip(turns, turns[1:] + turns[:1])) >= 12:
+            continue  # not around the centre
+        points = [(50 + rng.randint(10, 45) * math.cos(t * math.pi / 12), 50 + rng.randint(10, 45) * math.sin(t * math.pi / 12)) for t in turns]
+        points = [(float(round(x)), float(round(y))) for x, y in points] if k % 2 else points
+        ring = [{"x": x, "y": y} for x, y in (points if k % 3 else points[::-1])]
+        rows.append((ring, *[float(rng.choice([rng.randint(0, 80), rng.uniform(0, 80)])) for _ in range(2)], *[float(rng.randint(1, 60)) for _ in range(2)]))
+    rows += [([], 0.0, 0.0, 5.0, 5.0), (None, 0.0, 0.0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "ring array<struct<x:double,y:double>>, x double, y double, w double, h double")
+    x, y, w, h = (F.col(c) for c in "xywh")
+    clipped = g.area(g.clip_convex(F.col("ring"), g.rect_planes(x, y, x + w, y + h)))
+    got = df.select(g.area_in_rect(F.col("ring"), x, y, w, h).alias("a"), clipped.alias("b")).collect()
+    assert len(got) > 100 and sum(r.a is None for r in got) == 1
+    assert all(abs(r.a - r.b) < 1e-5 for r in got if r.a is not None)
