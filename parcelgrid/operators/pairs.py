@@ -157,7 +157,10 @@ def gate_assets(sites: DataFrame, assets: DataFrame, margin: float = 1.0, min_cl
 
 
 def gate_findings(gated: DataFrame, existing: DataFrame, tol: float = 0.1, cell_m: float = 100.0) -> DataFrame:
-    """Errors and warnings ``(site_id, asset_id, severity, finding, other_id)``."""
+    """Errors and warnings ``(site_id, asset_id, severity, finding, other_id)``.
+
+    ``existing`` are rectangles, or with columns ``whole`` and ``ring`` what clipping has left of them.
+    """
     single = gated.select(
         "site_id",
         "asset_id",
@@ -178,7 +181,8 @@ def gate_findings(gated: DataFrame, existing: DataFrame, tol: float = 0.1, cell_
     new = gated.filter(F.col("boundary").isin("inside", "clipped")).select(
         "site_id", "asset_id", "type", "whole", "ring", "x", "y", "w", "h"
     )
-    old = existing.select("site_id", "asset_id", "type", "x", "y", "w", "h")
+    kept = [c for c in ("whole", "ring") if c in existing.columns]
+    old = existing.select("site_id", "asset_id", "type", "x", "y", "w", "h", *kept)
     road_a, road_b = F.col("type") == "internal_road", F.col("type_b") == "internal_road"
     boxes_meet = g.rect_overlap(g.rect_of(), {k: F.col(f"{k}_b") for k in "xywh"}) > tol
 
@@ -186,8 +190,9 @@ def gate_findings(gated: DataFrame, existing: DataFrame, tol: float = 0.1, cell_
         real = F.when(F.col("plain"), F.col("overlap_sqm")).otherwise(g.intersection_area(F.col("ring"), other))
         return g.materialize(pairs, real=real).filter(F.col("real") > tol)
 
-    rect_b = g.rect_ring(*(F.col(f"{k}_b") for k in "xywh"))
-    with_old = near_pairs(new, old, ["site_id"], 0.0, cell_m, boxes_meet).withColumn("plain", F.col("whole"))
+    rect_b = F.col("ring_b") if kept else g.rect_ring(*(F.col(f"{k}_b") for k in "xywh"))
+    plain = F.col("whole") & F.col("whole_b") if kept else F.col("whole")
+    with_old = near_pairs(new, old, ["site_id"], 0.0, cell_m, boxes_meet).withColumn("plain", plain)
     with_old = exact(with_old, rect_b).select(
         "site_id",
         "asset_id",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelgrid.fixtures import Fixtures
+from parcelgrid.fixtures import VIEWS, Fixtures, sites_with_ring
 from parcelgrid.functions import geometry as g, registry as rg
 from parcelgrid.plans.queries_geometry import plots_with_ring
-from parcelgrid.plans.queries_rules import ASSET_KEYWORDS, typed_assets
+from parcelgrid.plans.queries_rules import _GATE, ASSET_KEYWORDS, typed_assets
 from parcelgrid.plans.registry import query, r4
+from parcelgrid.session import shared_folder
 from parcelgrid.sources import asset_text, dxf, geojson
 from parcelgrid.streaming import jobs
 
@@ -262,6 +265,24 @@ def design_state(fx: Fixtures) -> DataFrame:
     return jobs.design_state(fx.edits).select("design_id", "target", "dx", "dy", "deleted", "to_green", "n_edits")
 
 
+@query(
+    "st1_asset_gate",
+    _GATE + """SELECT site_id, asset_id, round(w*h,4) AS kept_sqm FROM assets WHERE is_existing UNION ALL
+        SELECT site_id, asset_id, round(kept,4) FROM gate2 WHERE site_id IN (SELECT site_id FROM res WHERE n_errors=0)""",
+)
+def asset_gate(fx: Fixtures) -> DataFrame:
+    """The stored assets after a stream has read all arriving ones; files that exist at the start are one batch."""
+    folder = f"{shared_folder(fx.spark)}/gate-{uuid.uuid4().hex}"
+    jobs.seed_assets(fx.spark, typed_assets(fx).filter("is_existing"), f"{folder}/store")
+    parts = fx.spark.readStream.schema(fx.part.schema).parquet(f"{fx.sf_dir}/part.parquet*")
+    arriving = fx.spark.sql(VIEWS["assets"], part=parts, supplier=fx.supplier)
+    kinds = F.array(*[F.lit(k) for k in ASSET_KEYWORDS])
+    arriving = arriving.withColumn("type", F.element_at(kinds, (F.col("kind_no") + 1).cast("int"))).filter("not is_existing")
+    stream = jobs.start_asset_gate(arriving, sites_with_ring(fx), f"{folder}/store", f"{folder}/refused", f"{folder}/checkpoint")
+    stream.awaitTermination()
+    return jobs.current_assets(fx.spark, f"{folder}/store").select("site_id", "asset_id", r4(F.col("kept_sqm"), "kept_sqm"))
+
+
 @query(
     "st3_session_activity",
     """g AS (SELECT session_id, created_at, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at) < INTERVAL '2' MINUTE THEN 0 ELSE 1 END AS n FROM messages),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from parcelgrid.fixtures import Fixtures, sites_with_ring
+from parcelgrid.fixtures import Fixtures, site_ring, sites_with_ring
 from parcelgrid.functions import geometry as g
-from parcelgrid.operators import edits as ed, metrics as m, pairs as pr, rules as ru, windows as wi
+from parcelgrid.operators import design_fold as df, edits as ed, metrics as m, pairs as pr, rules as ru, windows as wi
 from parcelgrid.operators import sweeps as sw
 from parcelgrid.operators.prefix import ranked
 from parcelgrid.plans import oracle_forms as o
 from parcelgrid.plans.registry import query, r4
+from parcelgrid.session import cut_lineage
 from parcelgrid.sources.regulations import load_regulations, thresholds
 
 SMALL_SITES = thresholds(setback_m=10.0, fire_m=5.0, plot_min_sqm=2500.0, plot_min_width_m=50.0, road_max_m=60.0)
@@ -673,6 +674,58 @@ def apply_edits(fx: Fixtures) -> DataFrame:
     )
 
 
+def design_log(fx: Fixtures) -> DataFrame:
+    """The edit log with selections as scale edits of the whole design, and with level roads to add."""
+    scale, road = F.col("action") == "select", F.col("action") == "add_road"
+    x1 = F.col("dy") * 20 - 95.5
+    return fx.edits.select(
+        "design_id", "edit_no", F.when(scale, "scale").otherwise(F.col("action")).alias("action"),
+        F.when(~scale & ~road, F.col("target")).alias("target"), "dx", "dy",
+        F.when(scale, F.when(F.col("edit_no") % 2 == 0, 1.0314159).otherwise(0.9692653)).alias("factor"),
+        F.when(road, x1).alias("x1"), F.when(road, F.col("dx") * 15 + 0.7).alias("y1"),
+        F.when(road, x1 + 210).alias("x2"), F.when(road, F.col("dx") * 15 + 0.7).alias("y2"),
+    )
+
+
+@query(
+    "s2_design_fold",
+    """lg AS (SELECT design_id, edit_no, CASE action WHEN 'select' THEN 'scale' ELSE action END AS action, CASE WHEN action NOT IN ('select','add_road') THEN target END AS target, dx, dy,
+         dy*20-95.5 AS x1, dx*15+0.7 AS y1, CASE WHEN action='select' THEN CASE edit_no%2 WHEN 0 THEN 1.0314159::DOUBLE ELSE 0.9692653::DOUBLE END ELSE 1.0::DOUBLE END AS f FROM edits),
+    sc AS (SELECT *, exp(sum(ln(f)) OVER (PARTITION BY design_id ORDER BY edit_no)) AS s, exp(sum(ln(f)) OVER (PARTITION BY design_id)) AS t FROM lg),
+    si AS (SELECT *, CASE WHEN concave THEN 5*w/12 ELSE (w*h*w/2-cut*cut/2*(w-cut/3))/(w*h-cut*cut/2) END AS cx, CASE WHEN concave THEN 5*h/12 ELSE (w*h*h/2-cut*cut/2*(h-cut/3))/(w*h-cut*cut/2) END AS cy FROM sites),
+    ce AS (SELECT d.design_id, d.t, si.* FROM (SELECT DISTINCT design_id, t FROM sc) d JOIN si ON site_id=design_id%(SELECT count(*) FROM supplier)),
+    go AS (SELECT design_id, target, min(edit_no) AS g FROM sc WHERE action='delete' GROUP BY 1,2),
+    mk AS (SELECT sc.*, coalesce(edit_no>g,false) AS late FROM sc LEFT JOIN go USING (design_id, target) WHERE action IN ('move','delete','convert_to_green')),
+    fo AS (SELECT design_id, target, sum(CASE WHEN action='move' AND NOT late THEN dx/s ELSE 0 END) AS mx, sum(CASE WHEN action='move' AND NOT late THEN dy/s ELSE 0 END) AS my,
+         bool_or(action='delete' AND NOT late) AS del, bool_or(action='convert_to_green' AND NOT late) AS grn, count(*) AS n, count(CASE WHEN late THEN 1 END) AS nl FROM mk GROUP BY 1,2),
+    el AS (SELECT design_id, 'L'||i AS target, i*20 AS x, i*10 AS y FROM (SELECT DISTINCT design_id FROM edits), (SELECT unnest(range(1,16)) AS i)),
+    rd AS (SELECT sc.design_id, edit_no, s, sc.t, cx, cy, y1, greatest(x1,0) AS xa, least(x1+210, CASE WHEN y1>=h THEN -1 WHEN concave THEN CASE WHEN y1<h/2 THEN w ELSE w/2 END ELSE least(w, w-(y1-(h-cut))) END) AS xb
+         FROM sc JOIN ce USING (design_id) WHERE action='add_road')
+    SELECT design_id, target, CASE WHEN coalesce(grn,false) THEN 'green' ELSE 'lot' END AS kind, round(cx+t*(x-cx+coalesce(mx,0)),4) AS a, round(cy+t*(y-cy+coalesce(my,0)),4) AS b, round(40*t,4) AS c, round(30*t,4) AS d
+      FROM el JOIN ce USING (design_id) LEFT JOIN fo USING (design_id, target) WHERE NOT coalesce(del,false)
+    UNION ALL SELECT design_id, 'R'||edit_no, 'road', round(cx+t/s*(xa-cx),4), round(cy+t/s*(y1-cy),4), round(cx+t/s*(xb-cx),4), round(cy+t/s*(y1-cy),4) FROM rd WHERE xb>xa
+    UNION ALL SELECT design_id, 'R'||edit_no, 'outside', 1, 0, 0, 0 FROM rd WHERE xb<=xa
+    UNION ALL SELECT design_id, target, 'late', nl, 0, 0, 0 FROM fo SEMI JOIN el USING (design_id, target) WHERE nl>0
+    UNION ALL SELECT design_id, target, 'unknown', n, 0, 0, 0 FROM fo ANTI JOIN el USING (design_id, target)""",
+)
+def design_fold(fx: Fixtures) -> DataFrame:
+    """Lots and added roads of every design after its log, and the edits that changed nothing."""
+    log, lots = design_log(fx), design_elements(fx)
+    n_sites = fx.supplier.agg(F.count("*")).scalar()
+    designs = fx.edits.select("design_id").distinct().withColumn("site_id", F.col("design_id") % n_sites)
+    outlines = cut_lineage(designs.join(fx.sites, "site_id").select("design_id", site_ring().alias("ring")))
+    c = g.centroid(F.col("ring"))
+    centres = g.materialize(outlines, _c=c).select("design_id", F.col("_c.x").alias("cx"), F.col("_c.y").alias("cy"))
+    fold = tuple(cut_lineage(part) for part in df.fold_log(log))
+    zero = F.lit(0.0)
+    live = df.final_elements(lots, centres, fold).select("design_id", "target", "kind", F.col("x").alias("a"), F.col("y").alias("b"), F.col("w").alias("c"), F.col("h").alias("d"))
+    roads = df.final_roads(log, outlines, fold).select("design_id", "target", F.lit("road").alias("kind"), F.col("x1").alias("a"), F.col("y1").alias("b"), F.col("x2").alias("c"), F.col("y2").alias("d"))
+    refused = df.refused_edits(log, lots, outlines, fold).select(
+        "design_id", "target", F.col("reason").alias("kind"), F.col("n").cast("double").alias("a"), zero.alias("b"), zero.alias("c"), zero.alias("d"))
+    rows = live.unionByName(roads).unionByName(refused)
+    return rows.select("design_id", "target", "kind", *[r4(F.col(k), k) for k in "abcd"])
+
+
 @query(
     "s4_network_nodes",
     _BLOCKS + """SELECT site_id, block_id AS node, CASE WHEN rn=1 THEN 'xlnt' WHEN rn<=3 THEN 'service' ELSE 'lot' END AS role FROM rk""",

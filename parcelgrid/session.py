@@ -30,14 +30,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from the written table.
-
-    Lost executors then cost nothing but a read, and unlike an RDD checkpoint the rows are computed once and the
-    planner knows their size.  The folder is the one the cluster names; a machine-local one is only chosen in
-    local mode, where nothing else is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; a machine-local one only in local mode, where none is set."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -45,6 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="parcelgrid-checkpoint-")
         sc.setCheckpointDir(folder)
-    path = f"{folder}/step-{uuid.uuid4().hex}"
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and go on from the written table.
+
+    Lost executors then cost nothing but a read, and unlike an RDD checkpoint the rows are computed once and the
+    planner knows their size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

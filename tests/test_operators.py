@@ -12,7 +12,6 @@ from parcelgrid.operators import network as nw, pairs as pr, sweeps as sw, windo
 from parcelgrid.operators.prefix import PLACE_BITS, ordered_ranges, ranked
 from parcelgrid.sources import dxf, geojson
 from parcelgrid.sources.regulations import load_regulations
-from parcelgrid.streaming import jobs
 
 
 def test_ranked_equals_a_plain_window_with_ties_and_one_hot_group(spark):
@@ -191,28 +190,3 @@ def test_regulations_file_overrides_defaults(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"setback_m": 20}')
     row = load_regulations(spark, str(tmp_path / "r.json")).first()
     assert (row.setback_m, row.far_max) == (20.0, 0.7)
-
-
-def test_design_state_stream_equals_the_batch(spark, tmp_path):
-    rows = [(i % 3, f"L{i % 4}", ["move", "delete", "convert_to_green"][i % 3], 1.0, 2.0) for i in range(30)]
-    schema = "design_id long, target string, action string, dx double, dy double"
-    edits = spark.createDataFrame(rows, schema)
-    edits.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = jobs.start_design_state(stream, "design_state", str(tmp_path / "cp"))
-    assert q.awaitTermination(90)
-    assert sorted(map(tuple, spark.table("design_state").collect())) == sorted(map(tuple, jobs.design_state(edits).collect()))
-
-
-def test_asset_gate_stream(spark, tmp_path):
-    cols = "site_id long, asset_id long, type string, x double, y double, w double, h double"
-    sites = spark.range(2).select(F.col("id").alias("site_id"), g.rect_ring(F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(100.0)).alias("ring"))
-    spark.createDataFrame([(0, 1, "factory", 10.0, 10.0, 20.0, 20.0)], cols).write.parquet(str(tmp_path / "store"))
-    spark.createDataFrame(
-        [(0, 2, "factory", 15.0, 15.0, 20.0, 20.0), (1, 3, "factory", 15.0, 15.0, 20.0, 20.0)], cols
-    ).coalesce(1).write.parquet(str(tmp_path / "in"))
-    arriving = spark.readStream.schema(cols).parquet(str(tmp_path / "in"))
-    q = jobs.start_asset_gate(spark, arriving, sites, *[str(tmp_path / d) for d in ("store", "ok", "bad", "cp")])
-    assert q.awaitTermination(120)
-    assert [r.asset_id for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == [3]
-    assert [r.asset_id for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [2]
