@@ -293,27 +293,60 @@ def path_to(paths: DataFrame, targets: DataFrame) -> DataFrame:
         out = out.unionByName(at)
 
 
-def visibility_edges(edges: DataFrame, points: DataFrame, obstacles: DataFrame, cell_m: float = 100.0) -> DataFrame:
-    """Edges whose segment does not pass through the inside of an obstacle rectangle; touching is allowed."""
+def _walked_cells(segments: DataFrame, cell_m: float) -> DataFrame:
+    """One row for each grid cell ``cx, cy`` that the segment ``ax, ay, bx, by`` meets: linear in its length.
+
+    Columns of cells come first; within a column the segment covers the range between its heights at the two borders.
+    """
+    left, right = F.least("ax", "bx"), F.greatest("ax", "bx")
+    columns = segments.withColumn("cx", F.explode(F.sequence(F.floor(left / cell_m), F.floor(right / cell_m))))
+    slope = (F.col("by") - F.col("ay")) / F.when(F.col("bx") != F.col("ax"), F.col("bx") - F.col("ax"))
+
+    def height(x: Column) -> Column:
+        return F.col("ay") + (x - F.col("ax")) * slope
+
+    ya = F.coalesce(height(F.greatest(left, F.col("cx") * cell_m)), F.col("ay"))
+    yb = F.coalesce(height(F.least(right, (F.col("cx") + 1) * cell_m)), F.col("by"))
+    # rounding of a height must not lose a cell
+    low, high = (F.floor((y / cell_m) + d) for y, d in ((F.least(ya, yb), -1e-6), (F.greatest(ya, yb), 1e-6)))
+    return columns.withColumn("cy", F.explode(F.sequence(low, high)))
+
+
+def visibility_edges(
+    edges: DataFrame, points: DataFrame, obstacles: DataFrame, cell_m: float = 100.0, buffer: str | None = None
+) -> DataFrame:
+    """Edges that keep clear of all obstacles of their site; touching is allowed.
+
+    ``obstacles(site_id, ring)`` are simple rings of any shape, or rectangles ``(site_id, x, y, w, h)``.  With ``buffer``,
+    the name of a column, an edge must also keep that distance; null counts as 0.  Segments and obstacles meet in the
+    grid cells that the segment runs through.  An edge whose ends have no place, and an obstacle without one, block nothing.
+    """
     p = points.select("site_id", "node", "px", "py")
-    e = edges.join(p.select("site_id", F.col("node").alias("u"), F.col("px").alias("ax"), F.col("py").alias("ay")), ["site_id", "u"])
+    e = edges.select("site_id", "u", "v").distinct()
+    e = e.join(p.select("site_id", F.col("node").alias("u"), F.col("px").alias("ax"), F.col("py").alias("ay")), ["site_id", "u"])
     e = e.join(p.select("site_id", F.col("node").alias("v"), F.col("px").alias("bx"), F.col("py").alias("by")), ["site_id", "v"])
-    boxes = e.select(
-        "site_id", "u", "v", "ax", "ay", "bx", "by", F.least("ax", "bx").alias("x"), F.least("ay", "by").alias("y"),
-        F.abs(F.col("bx") - F.col("ax")).alias("w"), F.abs(F.col("by") - F.col("ay")).alias("h"),
+    ring = F.col("ring") if "ring" in obstacles.columns else g.rect_ring(*(F.col(k) for k in "xywh"))
+    keep = F.coalesce(F.col(buffer), F.lit(0.0)) if buffer else F.lit(0.0)
+    o = g.materialize(obstacles.select("site_id", ring.alias("ring"), keep.alias("keep")), _b=g.bounds(F.col("ring")))
+    cells = lambda lo, hi: F.explode(F.sequence(
+        F.floor((F.col(lo) - F.col("keep")) / cell_m - 1e-6), F.floor((F.col(hi) + F.col("keep")) / cell_m + 1e-6)))
+    o = o.select("site_id", "ring", "keep", "_b", cells("_b.minx", "_b.maxx").alias("cx"), "_b.miny", "_b.maxy")
+    o = o.select("site_id", "ring", "keep", "_b", "cx", cells("miny", "maxy").alias("cy"))
+    placed = F.coalesce(F.col("ax") + F.col("ay") + F.col("bx") + F.col("by"), F.lit(float("nan")))
+    walked = _walked_cells(e.filter(~F.isnan(placed)), cell_m)
+    near = (
+        (F.least("ax", "bx") < F.col("_b.maxx") + F.col("keep")) & (F.greatest("ax", "bx") > F.col("_b.minx") - F.col("keep"))
+        & (F.least("ay", "by") < F.col("_b.maxy") + F.col("keep")) & (F.greatest("ay", "by") > F.col("_b.miny") - F.col("keep"))
     )
-    ob = obstacles.select("site_id", "x", "y", "w", "h")
-
-    def turn(cx: Column, cy: Column) -> Column:
-        return (F.col("bx") - F.col("ax")) * (cy - F.col("ay")) - (F.col("by") - F.col("ay")) * (cx - F.col("ax"))
-
-    x, y, x2, y2 = F.col("x_b"), F.col("y_b"), F.col("x_b") + F.col("w_b"), F.col("y_b") + F.col("h_b")
-    turns = [turn(x, y), turn(x2, y), turn(x2, y2), turn(x, y2)]
-    through = (
-        (F.least("ax", "bx") < x2) & (F.greatest("ax", "bx") > x) & (F.least("ay", "by") < y2) & (F.greatest("ay", "by") > y)
-        & (F.least(*turns) < -g.EPS) & (F.greatest(*turns) > g.EPS)
+    met = walked.join(o, ["site_id", "cx", "cy"]).filter(near)
+    a, b = g.pt(F.col("ax"), F.col("ay")), g.pt(F.col("bx"), F.col("by"))
+    inside = F.exists(
+        g.clip_segment(a, b, F.col("ring")),
+        lambda s: (F.hypot(s[1].x - s[0].x, s[1].y - s[0].y) > g.EPS)
+        & g.point_in_ring(F.col("ring"), g.pt((s[0].x + s[1].x) / 2, (s[0].y + s[1].y) / 2), boundary=False),
     )
-    blocked = near_pairs(boxes, ob, ["site_id"], 0.0, cell_m).filter(through).select("site_id", "u", "v")
+    close = (F.col("keep") > 0) & (g.ring_path_distance(F.col("ring"), F.array(a, b)) < F.col("keep") - g.EPS)
+    blocked = met.filter(inside | close).select("site_id", "u", "v")
     return edges.join(blocked, ["site_id", "u", "v"], "left_anti")
 
 

@@ -206,3 +206,32 @@ def drainage_flow(fx: Fixtures) -> DataFrame:
 def visibility_edges(fx: Fixtures) -> DataFrame:
     p = asset_points(fx)
     return nw.visibility_edges(nw.candidate_edges(p, 150.0), p, fx.site_constraints).select("site_id", "u", "v")
+
+
+_CORNERS = ("(-20,-20)", "(20,-20)", "(20,20)", "(-20,20)")
+
+
+def _to_segment(corner: str) -> str:
+    x, y = corner.strip("()").split(",")
+    t = f"greatest(0.0,least(1.0,(({x}-au)*(bu-au)+({y}-av)*(bv-av))/greatest((bu-au)*(bu-au)+(bv-av)*(bv-av),1e-12)))"
+    return f"sqrt(pow({x}-au-{t}*(bu-au),2)+pow({y}-av-{t}*(bv-av),2))"
+
+
+def _turn(corner: str) -> str:
+    x, y = corner.strip("()").split(",")
+    return f"((bu-au)*({y}-av)-(bv-av)*({x}-au))"
+
+
+@query(
+    "j8_polygon_obstacles",
+    _PTS + f""", ed AS (SELECT e.*, a.px AS ax, a.py AS ay, b.px AS bx, b.py AS by_ FROM {_edges('pt', '150')} e JOIN pt a ON a.site_id=e.site_id AND a.node=e.u JOIN pt b ON b.site_id=e.site_id AND b.node=e.v),
+    tu AS (SELECT e.site_id, u, v, buffer_m*sqrt(2.0) AS keep, ax-x-20+ay-y-20 AS au, ax-x-ay+y AS av, bx-x-20+by_-y-20 AS bu, bx-x-by_+y AS bv FROM ed e JOIN site_constraints USING (site_id)),
+    ds AS (SELECT *, least({', '.join(_to_segment(c) for c in _CORNERS)}, sqrt(pow(greatest(0.0,abs(au)-20),2)+pow(greatest(0.0,abs(av)-20),2)), sqrt(pow(greatest(0.0,abs(bu)-20),2)+pow(greatest(0.0,abs(bv)-20),2))) AS d,
+      least(au,bu)<20 AND greatest(au,bu)>-20 AND least(av,bv)<20 AND greatest(av,bv)>-20 AND least({', '.join(_turn(c) for c in _CORNERS)})<-1e-9 AND greatest({', '.join(_turn(c) for c in _CORNERS)})>1e-9 AS through FROM tu)
+    SELECT site_id, u, v FROM ed ANTI JOIN (SELECT DISTINCT site_id, u, v FROM ds WHERE through OR d<keep-1e-9) USING (site_id,u,v)""",
+)
+def polygon_obstacles(fx: Fixtures) -> DataFrame:
+    """Edges that keep the buffers of constraints shaped as diamonds."""
+    p, x, y = asset_points(fx), F.col("x"), F.col("y")
+    diamonds = fx.site_constraints.select("site_id", "buffer_m", g.ring_of((x + 20, y), (x + 40, y + 20), (x + 20, y + 40), (x, y + 20)).alias("ring"))
+    return nw.visibility_edges(nw.candidate_edges(p, 150.0), p, diamonds, buffer="buffer_m").select("site_id", "u", "v")
