@@ -30,7 +30,7 @@ INPUT = PATH_SIZE + WORD_SIZE + MEASURES
 BATCH_BLOCKS = 1 << 15
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|textarea|select)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(script|style|template|iframe|textarea|select)(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
     r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|</?[a-z][^>]*+\Z",
@@ -41,6 +41,19 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
+#: Drawings and formulas stand inside a line until they end or one of ``BREAKS`` does; ``<svg/>`` is closed at once.
+FOREIGN = frozenset(("svg", "math"))
+BREAKS = frozenset(
+    "article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p "
+    "pre section table tbody td tfoot th thead tr ul".split()
+)
+#: Steps of a path that are kept at either end; between them only the names of landmarks are.
+OUTER, INNER = 32, 32
+#: Containers of article and other parts alike, which therefore tell nothing by themselves.
+WRAPS = (
+    ("table", "tbody", "tr", "td"), ("table", "tr", "th"), ("dl", "dt"), ("dl", "dd"), ("pre",), ("noscript",), ("blockquote", "p"),
+    ("figure", "figcaption"), ("ul", "li"), ("ol", "li"), ("h1",), ("h2",), ("h3",), ("section", "p"), ("div",), ("object",),
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an element ends by starting, up to the containers of the kind.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
@@ -52,6 +65,22 @@ ASIDE = frozenset(
     "share sharing social subscribe newsletter signup popup modal breadcrumb breadcrumbs pagination toolbar search "
     "login copyright legal widget footnotes".split()
 )
+LANDMARKS = ARTICLE | ASIDE
+#: Landmarks that are elements by themselves.
+ELEMENTS = ("nav", "header", "footer", "aside", "form", "dialog")
+
+
+def path_to(path: tuple[str, ...], step: str) -> tuple[str, ...]:
+    """The path with one more step, each step once.  A path of any depth keeps all of its landmarks and is bounded."""
+    if step in path:
+        return path
+    path = (*path, step)
+    names = [p for p in path if " " not in p and p in LANDMARKS]
+    if len(path) - len(names) <= OUTER + INNER:
+        return path
+    middle = path[OUTER]
+    kept = (n for n in middle.split(" ") if n in LANDMARKS and n not in path)
+    return (*kept, *path[:OUTER], *path[OUTER + 1 :])
 
 
 @dataclass
@@ -66,7 +95,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked = links = 0
+    linked = links = foreign = 0
 
     def close() -> None:
         nonlocal linked
@@ -93,6 +122,16 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             continue
         tag = tag.lower()
+        if tag in FOREIGN:
+            if m[2]:
+                foreign = max(0, foreign - 1)
+            elif not m[4].rstrip().endswith("/"):
+                foreign += 1
+            continue
+        if foreign:
+            if tag not in BREAKS:
+                continue
+            foreign = 0
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links + (-1 if m[2] else 1))
@@ -119,8 +158,7 @@ def blocks_of(page: str) -> list[Block]:
                 break
             del stack[k:]
         names = [w for g in _NAMES.finditer(m[4]) for w in re.split(r"[^a-z0-9]+", (g[1] or g[2] or g[3] or "").lower()) if w] if m[4] else []
-        path = (stack[-1][1] if stack else ()) + (" ".join([tag, *names]),)
-        stack.append((tag, path[-24:]))
+        stack.append((tag, path_to(stack[-1][1] if stack else (), " ".join([tag, *names]))))
     if at < len(page):
         add(page[at:])
     close()
@@ -268,39 +306,57 @@ def padded(pages: Sequence[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
 
 
 def training_pages(pages: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sample pages as they are, and twice more with parts from other pages put into containers of all kinds."""
+    """Sample pages as they are, and twice more with parts from other pages put into containers of all kinds.
+
+    In those, some articles lose their landmark or stand in containers without a name, and blocks of all parts are wrapped
+    in tables, lists and the like, so that a name or a tag alone decides little and the neighbourhood of a block counts.
+    """
     r = np.random.default_rng(3)
     parsed = [b for b in map(blocks_of, pages) if b]
     texts = [b.text for blocks in parsed for b in blocks][:20_000]
     tags, asides, articles = ("div", "section", "ul"), sorted(ASIDE), sorted(ARTICLE)
     out = []
 
-    def add(blocks: list[Block]) -> None:
-        labels = [landmark_label(b.path) for b in blocks]
+    def wrapped(path: tuple[str, ...]) -> tuple[str, ...]:
+        return (*path, *WRAPS[int(r.integers(len(WRAPS)))]) if r.random() < 0.4 else path
+
+    def shortened(text: str) -> str:
+        """Articles and other parts alike hold short blocks without a stop: terms, cells, code."""
+        few = " ".join(text.split(" ")[: int(r.integers(1, 5))]).rstrip(".!?")
+        return few if few and r.random() < 0.25 else text
+
+    def add(blocks: list[Block], labels: list[float | None] | None = None) -> None:
+        labels = labels or [landmark_label(b.path) for b in blocks]
         y = np.array([v or 0.0 for v in labels])
         out.append((block_vectors(blocks), y, np.array([float(v is not None) for v in labels])))
 
-    def mix(blocks: list[Block]) -> list[Block]:
-        mixed, renamed = [], str(r.choice(articles))
+    def mix(blocks: list[Block]) -> tuple[list[Block], list[float | None]]:
+        mixed, labels, renamed = [], [], str(r.choice(articles))
+        # without a landmark of its own, under any name or none
+        head = "main" if renamed == "main" else f"div {renamed}" if r.random() < 0.6 else str(r.choice(("div", "section", f"div c{r.integers(99)}")))
         for b in blocks:
-            path = b.path
-            if landmark_label(path) == 1.0 and r.random() < 0.5:
-                head = "main" if renamed == "main" else f"div {renamed}"
-                path = tuple(head if set(s.split(" ")) & ARTICLE else s for s in path)
-            mixed.append(Block(path, b.text, b.linked))
-        for _ in range(int(r.integers(1, 4))):
-            name, at = str(r.choice(asides)), int(r.integers(0, len(mixed) + 1))
+            path, label = b.path, landmark_label(b.path)
+            if label == 1.0:
+                if r.random() < 0.8:
+                    path = tuple(head if set(s.split(" ")) & ARTICLE else s for s in path)
+                path = wrapped(path)
+            text = shortened(b.text) if label == 1.0 else b.text
+            mixed.append(Block(path, text, min(b.linked, len(text))))
+            labels.append(label)
+        for _ in range(int(r.integers(1, 6))):
+            name, at = str(r.choice(ELEMENTS if r.random() < 0.4 else asides)), int(r.integers(0, len(mixed) + 1))
             inside = mixed[at - 1].path if at and r.random() < 0.5 else ("html", "body")
-            bare = name in ("nav", "header", "footer", "aside", "form", "dialog") and r.random() < 0.5
+            bare = name in ELEMENTS and r.random() < 0.7
             leaf = ("p",) if r.random() < 0.5 else ()
             path = (*inside, name if bare else f"{r.choice(tags)} {name}", *leaf)
-            mixed[at:at] = [Block(path, texts[int(r.integers(len(texts)))]) for _ in range(int(r.integers(1, 4)))]
-        return mixed
+            part = [Block(wrapped(path), shortened(texts[int(r.integers(len(texts)))])) for _ in range(int(r.integers(1, 4)))]
+            mixed[at:at], labels[at:at] = part, [0.0] * len(part)
+        return mixed, labels
 
     for blocks in parsed:
         add(blocks)
         for _ in range(2):
-            add(mix(blocks))
+            add(*mix(blocks))
     return out
 
 
